@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from veilframe.llm.quality_rules import SQL as OP7_SQL
-from veilframe.llm.quality_rules import op7_quality_rules
+from veilframe.llm import chat_format, media, packing, quality_rules, secret_scan, sp_viterbi
 
 
 def queries() -> dict:
-    return {"op7_quality_rules": op7_quality_rules}
+    return {
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_chat_formatting": chat_format.op4_chat_formatting,
+        "op5_media_columns": media.op5_media_columns,
+        "op6_sentencepiece": sp_viterbi.op6_sentencepiece,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op10_secret_scans": secret_scan.op10_secret_scans,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": OP7_SQL}
+    return {
+        "op4_chat_formatting": chat_format.SQL,
+        "op7_quality_rules": quality_rules.SQL,
+    }
