@@ -7,8 +7,9 @@ apart when encoded together are kept apart in any context).  Only the last ``win
 still be the start of a piece; whenever the paths from all of them share a boundary, the ids before it are committed
 and forgotten.  Memory is bounded by the window, not by the text.
 
-A boundary before a space mark, or beside a line feed where no piece holds one, is shared by all paths whatever the
-text, so texts are cut there first and the encodings of the parts are remembered (a bounded memory for each worker).
+Some boundaries are shared by all paths whatever the text: before a space mark, beside a line feed, between a word
+character and another one, so far as the vocabulary has no piece across them.  Texts are cut there first and the
+encodings of the parts are remembered (a bounded memory for each worker).
 
 Defined cases: null and empty texts have no ids; characters outside the vocabulary become their UTF-8 bytes; the mark
 U+2581 in a text reads as a space when decoded (``decoded_ok`` is false there); repeated rows give a row each; an
@@ -21,6 +22,7 @@ import hashlib
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -181,13 +183,26 @@ class Codec:
     def __init__(self, path: str):
         self.model = Model(path)
         self.parts: dict[str, bytes] = _Remembered(self.model)
-        self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if not self.model.feed else f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        feed = "" if self.model.feed else "\n"
+        self.coarse = re.compile(f"{MARK}*[^{MARK}{feed}]+|{MARK}+|\n").findall
+        # Where no piece joins a word character and another one, their border is a boundary of every path too.
+        self.fine = re.compile(f"{MARK}*\\w+|{MARK}*[^\\w{MARK}{feed}]+|{MARK}+|\n").findall
+        odd = [p for p in self.model.ids if re.search(f"\\w[^\\w{MARK}]|[^\\w{MARK}]\\w", p)]
+        #: Characters of which every piece across such a border has one; texts with them are cut coarsely.
+        self.across: list[str] = []
+        overall = Counter(c for p in self.model.ids for c in set(p))
+        while odd:
+            counts = Counter(c for p in odd for c in set(p))
+            most = max(counts, key=lambda c: (counts[c], -overall[c]))
+            self.across.append(most)
+            odd = [p for p in odd if most not in p]
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as 32-bit numbers."""
         if not text:
             return b""
-        return b"".join(map(self.parts.__getitem__, self.cut(MARK + text.replace(" ", MARK))))
+        cut = self.coarse if any(c in text for c in self.across) else self.fine
+        return b"".join(map(self.parts.__getitem__, cut(MARK + text.replace(" ", MARK))))
 
     def decode_ids(self, ids) -> str:
         raw = b"".join(map(self.model.raw.__getitem__, ids))
