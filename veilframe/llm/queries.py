@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from veilframe.llm import chat_format, media, packing, quality_rules, secret_scan, sp_viterbi
+from veilframe.llm import chat_format, katz, line_dedup, media, ngram_join, packing, quality_rules, secret_scan, sp_viterbi
 
 
 def queries() -> dict:
     return {
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_chat_formatting": chat_format.op4_chat_formatting,
         "op5_media_columns": media.op5_media_columns,
         "op6_sentencepiece": sp_viterbi.op6_sentencepiece,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_lm_scoring": katz.op8_lm_scoring,
+        "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_secret_scans": secret_scan.op10_secret_scans,
     }
 
