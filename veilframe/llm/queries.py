@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veilframe.llm import chat_format, katz, line_dedup, media, ngram_join, packing, quality_rules, secret_scan, sp_viterbi
+from veilframe.llm import chat_format, katz, line_dedup, media, ngram_join, packing, quality_fm, quality_rules, secret_scan, sp_viterbi
 
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": quality_fm.op1_quality_classifier,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_chat_formatting": chat_format.op4_chat_formatting,
