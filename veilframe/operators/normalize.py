@@ -3,6 +3,7 @@ look-alikes of other scripts are spelled in Latin letters."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -46,29 +47,48 @@ class Normalized:
     to_ascii: list[int] = field(repr=False, default_factory=list)
 
 
+_STRIP = re.compile(r"[\W_]+")
+_SPECIAL_CHARS = re.compile(r"[^\x20-\x7e\n\r\t]")
+
+
 def normalize(text: str) -> Normalized:
-    if text.isascii() and text.isprintable():
-        same = list(range(len(text) + 1))
-        return Normalized(text, text, "".join(c for c in text if c.isalnum()).lower(), same, same, same, same)
     u: list[str] = []
     a: list[str] = []
-    fu, fa, tu, ta = [], [], [], []
-    for i, c in enumerate(text):
-        tu.append(len(u))
-        ta.append(len(a))
-        if c < "\x80":
-            if not is_invisible(c):
-                u.append(c)
-                a.append(c)
-                fu.append(i)
-                fa.append(i)
-            continue
-        for x in () if is_invisible(c) else unicodedata.normalize("NFKC", c):
-            u.append(x)
-            fu.append(i)
-        for x in to_ascii(c):
-            if not is_invisible(x):
-                a.append(x)
-                fa.append(i)
+    fu: list[int] = []
+    fa: list[int] = []
+    tu: list[int] = []
+    ta: list[int] = []
+    nu = na = at = 0
+    for m in _SPECIAL_CHARS.finditer(text):
+        i = m.start()
+        if i > at:  # a run of plain characters reads as itself
+            run = text[at:i]
+            u.append(run)
+            a.append(run)
+            fu.extend(range(at, i))
+            fa.extend(range(at, i))
+            tu.extend(range(nu, nu + i - at))
+            ta.extend(range(na, na + i - at))
+            nu += i - at
+            na += i - at
+        at = i + 1
+        tu.append(nu)
+        ta.append(na)
+        c = text[i]
+        x = "" if is_invisible(c) else unicodedata.normalize("NFKC", c)
+        y = "".join(z for z in (to_ascii(c) if c >= "\x80" else c) if not is_invisible(z))
+        u.append(x)
+        a.append(y)
+        fu.extend([i] * len(x))
+        fa.extend([i] * len(y))
+        nu += len(x)
+        na += len(y)
     n = len(text)
-    return Normalized("".join(u), "".join(a), "".join(c for c in a if c.isalnum()).lower(), fu + [n], fa + [n], tu + [len(u)], ta + [len(a)])
+    u.append(text[at:])
+    a.append(text[at:])
+    fu.extend(range(at, n + 1))
+    fa.extend(range(at, n + 1))
+    tu.extend(range(nu, nu + n - at + 1))
+    ta.extend(range(na, na + n - at + 1))
+    ascii_ = "".join(a)
+    return Normalized("".join(u), ascii_, _STRIP.sub("", ascii_).lower(), fu, fa, tu, ta)
