@@ -128,27 +128,28 @@ def repeated_lines(docs: DataFrame, bits: int, min_words: int = MIN_WORDS) -> Da
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows of docs with their text without the later copies, and _removed_lines, _removed_words, _emptied."""
-    rows, bits = numbered(docs)
-    gone = repeated_lines(rows.select("row", "text"), bits, min_words).groupBy("row").agg(F.collect_list("idx").alias("_idx"), F.sum("w").alias("_removed_words"))
-    joined = rows.join(gone, "row", "left").drop("row")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_idx"), i)), "\n")
-    text = F.when(F.col("_idx").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", text).withColumn("_removed_lines", F.coalesce(F.size("_idx"), F.lit(0)).cast("long"))
-    out = out.withColumn("_removed_lines", F.greatest("_removed_lines", F.lit(0).cast("long"))).withColumn("_removed_words", F.coalesce("_removed_words", F.lit(0)).cast("long"))
-    return out.withColumn("_emptied", (F.col("_removed_lines") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(NON_WS)).drop("_idx")
+    """A row for each row of docs: doc (the row as a struct), text without the later copies, removed_lines,
+    removed_words, and emptied (this left the text without a word)."""
+    rows, bits = numbered(docs.select("doc_id", "text", F.struct("*").alias("doc")))
+    gone = repeated_lines(rows.select("row", "text"), bits, min_words).groupBy("row").agg(F.collect_list("idx").alias("idx"), F.count("*").alias("n"), F.sum("w").alias("words"))
+    joined = rows.join(gone, "row", "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("idx"), i)), "\n")
+    text = F.when(F.col("idx").isNull(), F.col("text")).otherwise(kept)
+    emptied = F.col("idx").isNotNull() & ~F.coalesce(kept, F.lit("")).rlike(NON_WS)
+    zero = F.lit(0).cast("long")
+    return joined.select("doc_id", "doc", text.alias("text"), F.coalesce("n", zero).alias("removed_lines"), F.coalesce("words", zero).alias("removed_words"), emptied.alias("emptied"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_removed_lines").alias("removed_lines"), F.col("_removed_words").alias("removed_words"), F.col("_emptied").alias("emptied"), "text")
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("doc")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline form: later copies leave the texts; documents that this leaves without a word go.
 
-    ``n_chars``, where there is such a column, follows the text.
+    ``n_chars``, where there is such a column, follows a text that changed.
     """
-    out = dedup(docs).filter(~F.col("_emptied"))
-    cols = [F.when(F.col("_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols)
+    out = dedup(docs).filter(~F.col("emptied"))
+    n_chars = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None
+    own = {"text": F.col("text"), "n_chars": n_chars}
+    return out.select(*[own[c].alias(c) if c in own else F.col(f"doc.`{c}`") for c in docs.columns])

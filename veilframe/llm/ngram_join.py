@@ -322,6 +322,6 @@ def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline form: of each class one document stays, that with the least row id; the input's columns stay."""
-    rows, _ = numbered(docs)
-    keep = classes(rows).filter("row = class_row").select("row")
-    return rows.join(keep, "row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, _ = numbered(docs.select("doc_id", "text", F.struct("*").alias("doc")))
+    keep = classes(rows.select("row", "text")).filter("row = class_row").select("row")
+    return rows.join(keep, "row", "left_semi").select(*[F.col(f"doc.`{c}`") for c in docs.columns])

@@ -115,14 +115,14 @@ class Ledger:
         return self.findings().filter(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("found").alias("found"))
 
 
-def scan_documents(docs: DataFrame, ledger_path: str | None = None, carry: list[str] | None = None) -> DataFrame:
-    """Rows of docs with ``found``: the spans of their texts, by the ledger at ledger_path (or a new one)."""
+def scan_documents(docs: DataFrame, ledger_path: str | None = None, whole: bool = False) -> DataFrame:
+    """A row for each row of docs: doc_id and ``found``, the spans of its text by the ledger at ledger_path (or a new
+    one); with ``whole`` also ``doc``, the row as a struct."""
     spark = docs.sparkSession
     ledger = Ledger(spark, ledger_path or scratch(spark, "ledger"))
     ledger.scan(docs.select("text"))
-    paths = docs.select(*[F.col(f"`{c}`") for c in (carry or ["doc_id"])], blob_id(F.col("text")).alias("_blob"))
-    found = ledger.findings_of().withColumnRenamed("blob", "_blob")
-    joined = paths.join(found, "_blob", "left").drop("_blob")
+    paths = docs.select("doc_id", *([F.struct("*").alias("doc")] if whole else []), blob_id(F.col("text")).alias("blob"))
+    joined = paths.join(ledger.findings_of(), "blob", "left").drop("blob")
     return joined.withColumn("found", F.coalesce("found", F.array().cast(SPAN)))
 
 
@@ -156,7 +156,8 @@ def masked(text: Column, found: Column) -> Column:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline form: spans are masked in the texts; every row and the input's columns stay."""
-    found = scan_documents(docs, carry=docs.columns)
-    text = F.when(F.size("found") > 0, masked(F.col("text"), F.col("found"))).otherwise(F.col("text"))
-    cols = {"text": text, "n_chars": F.when(F.size("found") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return found.select(*[cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in docs.columns])
+    out, text = scan_documents(docs, whole=True), F.col("doc.text")
+    new = F.when(F.size("found") > 0, masked(text, F.col("found"))).otherwise(text)
+    n_chars = F.when(F.size("found") > 0, F.length(new).cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None
+    own = {"text": new, "n_chars": n_chars}
+    return out.select(*[own[c].alias(c) if c in own else F.col(f"doc.`{c}`") for c in docs.columns])

@@ -1,16 +1,15 @@
-"""Reading tables, cutting lineage in the shared folder and shipping this package to executors."""
+"""Reading tables, cutting lineage in the shared folder, and a few expressions."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.ship import ship
+
 #: The word separators of all contracts: space and the five ASCII controls from tab to carriage return.
 WS_CLASS = r"[ \x09-\x0D]+"
 NON_WS = r"[^ \x09-\x0D]"
@@ -49,18 +48,7 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers anywhere import this package: it is sent once a session as a zip of its sources."""
-    sc = spark.sparkContext
-    if getattr(sc, "_veilframe_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    out = os.path.join(tempfile.mkdtemp(prefix="veilframe-src-"), "veilframe_src.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(out)
-    sc._veilframe_shipped = True
+__all__ = ["NON_WS", "WS_CLASS", "fingerprint", "let", "materialize", "remove", "scratch", "shared_dir", "ship", "table", "words"]
 
 
 def let(value: Column, body) -> Column:
