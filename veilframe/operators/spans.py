@@ -75,8 +75,11 @@ def spans_of(text: Column, rule: Rule) -> Column:
 
 def all_spans(text: Column, rules: RuleSet) -> Column:
     """Spans of all dictionary and regular-expression rules by start, the longer first, then in rule order."""
-    chosen = rules.of("D") + rules.of("R")
-    parts = [F.transform(spans_of(text, r), lambda x, k=k: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), F.lit(k).alias("k"), x.alias("x"))) for k, r in enumerate(chosen)]
+
+    def keyed(order: int):
+        return lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), F.lit(order).alias("k"), x.alias("x"))
+
+    parts = [F.transform(spans_of(text, r), keyed(k)) for k, r in enumerate(rules.of("D") + rules.of("R"))]
     return F.transform(F.sort_array(F.concat(*parts)), lambda x: x["x"])
 
 
