@@ -19,8 +19,14 @@ def _t(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a small table has fewer splits than those; large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _docs(spark, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _rule(pack_name: str, rule: str) -> Rule:
