@@ -192,13 +192,12 @@ def sniff(df: DataFrame, column: str, declared: str | None = None) -> DataFrame:
     ship(df.sparkSession)
 
     @F.pandas_udf("type string, embedded array<struct<type:string,start:long,length:long>>")
-    def run(data: "pd.Series", said: "pd.Series") -> "pd.DataFrame":  # noqa: F821
+    def run(data, said):
         import pandas as pd
 
         out = [sniff_bytes(d, s) if d is not None else (None, []) for d, s in zip(data, said)]
         return pd.DataFrame({"type": [k for k, _ in out], "embedded": [[{"type": t, "start": s, "length": n} for t, s, n in e] for _, e in out]})
 
-    run.func.__annotations__ = {}
     return df.withColumn("media", run(F.col(column), F.col(declared) if declared else F.lit(None).cast("string")))
 
 

@@ -269,7 +269,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     ship(coded.sparkSession)
 
     @F.pandas_udf("string")
-    def run(ids: "pd.Series") -> "pd.Series":  # noqa: F821
+    def run(ids):
         c = codec(path)
         return ids.map(lambda x: None if x is None else c.decode_ids(x.tolist()))
 
