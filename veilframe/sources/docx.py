@@ -26,5 +26,4 @@ def read_docx(spark, path: str) -> DataFrame:
     def run(data):
         return data.map(text_of)
 
-    run.func.__annotations__ = {}
     return spark.read.format("binaryFile").load(path).select("path", run("content").alias("text"))
