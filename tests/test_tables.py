@@ -114,3 +114,30 @@ def test_eval_file(spark, tmp_path):
     df = evaluate.read_eval(spark, str(tmp_path / "e.jsonl")).withColumn("out", F.lit("I am [NAME_1]"))
     row = evaluate.entity_recall(df, "out").first()
     assert (row.tp, row.fn, row.recall, row.precision) == (1, 0, 1.0, 1.0)
+
+
+def test_session_stream(spark, tmp_path):
+    from veilframe.operators.sessions import session_stream
+    from veilframe.sources.rules import Rule, RuleSet
+
+    rules = RuleSet([Rule("name", "R", "IndividualName", "Redact", "Anna Lee|Anna|Bob")])
+    schema = "username string, seq long, text string"
+    for k, rows in enumerate([[("u", 1, "Anna Lee"), ("v", 1, "Bob")], [("u", 2, "Bob and Anna")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = session_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), rules, idle=None).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(r.username, r.seq): r.sanitized_text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("u", 1): "[NAME_1]", ("v", 1): "[NAME_1]", ("u", 2): "[NAME_2] and [NAME_1]"}
+
+
+def test_legacy_shield(spark):
+    from veilframe.operators.legacy import shield
+
+    df = spark.createDataFrame([(1, "Foo 123-45-6789 foo 123-45-6789 bar"), (2, None)], "id int, text string")
+    got = {r.id: (r.sanitized_text, r.token_map) for r in shield(df, ["foo", "b.r"]).collect()}
+    assert got[1] == ("[TERM_1] [SSN_1] [TERM_2] [SSN_2] bar", {"[SSN_1]": "123-45-6789", "[SSN_2]": "123-45-6789", "[TERM_1]": "Foo", "[TERM_2]": "foo"}) and got[2] == (None, None)
+
+
+def test_guard_hook(spark):
+    df = spark.createDataFrame([("x", True), ("y", False), ("z", None)], "text string, bad boolean")
+    assert [r.s for r in df.select(T.guard_status(F.col("text"), classifier=F.col("bad")).alias("s")).collect()] == ["classifier", "ok", "classifier"]

@@ -51,3 +51,14 @@ def seal(value: Column, owner: Column, pepper: bytes, info: str) -> Column:
 def unseal(sealed: Column, owner: Column, pepper: bytes, info: str) -> Column:
     """The value, or null for another owner, key or an altered ciphertext."""
     return F.try_aes_decrypt(sealed, derive_key(pepper, bound_info(info, owner)), F.lit("GCM"), F.lit("DEFAULT"), owner.cast("binary"))
+
+
+def request_mac(key: bytes, method: Column, user: Column, at: Column, params: Column) -> Column:
+    """Hex MAC of method, user, time and the parameters (a map) with their keys in order."""
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(params)))
+    return F.lower(F.hex(hmac_sha256(key, F.concat_ws(":", method, user, at.cast("string"), F.to_json(ordered)))))
+
+
+def request_ok(key: bytes, method: Column, user: Column, at: Column, params: Column, signature: Column, now: Column, window: int = 5) -> Column:
+    """Is the signature right and the time within the window?"""
+    return (F.abs(now - at) <= window) & (request_mac(key, method, user, at, params) == signature)

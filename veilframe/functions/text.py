@@ -52,9 +52,15 @@ def entropy_hit(text: Column) -> Column:
     return F.exists(runs, lambda r: entropy(r) > SMUGGLED_BITS)
 
 
-def guard_status(text: Column, check: Column | None = None) -> Column:
-    """ok, injection or smuggling; a guarded row keeps its place with this status."""
-    status = F.when(injection_hit(text), "injection").when(entropy_hit(text), "smuggling").otherwise("ok")
+def guard_status(text: Column, check: Column | None = None, classifier: Column | None = None) -> Column:
+    """ok, injection, smuggling or classifier; a guarded row keeps its place with this status.
+
+    classifier is a hook for a model's verdict (a boolean column); null, where the model could not be asked, is a refusal.
+    """
+    status = F.when(injection_hit(text), "injection").when(entropy_hit(text), "smuggling")
+    if classifier is not None:
+        status = status.when(F.coalesce(classifier, F.lit(True)), "classifier")
+    status = status.otherwise("ok")
     return status if check is None else F.when(check, status).otherwise("ok")
 
 

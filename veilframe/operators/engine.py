@@ -215,3 +215,25 @@ def name_spans(df: DataFrame, column: str = "text", heuristics: RuleSet | None =
             yield pd.DataFrame(rows, columns=[*keep, "start", "end", "label", "match"])
 
     return df.select(*keep, F.col(column)).mapInPandas(run, schema)
+
+
+def name_candidates(df: DataFrame, column: str = "text", words: Words | None = None) -> DataFrame:
+    """A row for each span that only a model could settle: the other columns, start, end, kind, match."""
+    ship(df.sparkSession)
+    keep = [c for c in df.columns if c != column]
+    schema = ", ".join([*(f"`{c}` {dict(df.dtypes)[c]}" for c in keep), "start int", "end int", "kind string", "match string"])
+    lists = words or Words()
+
+    def run(frames):
+        import pandas as pd
+
+        from veilframe.operators.names import find_candidates
+
+        for pdf in frames:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                text = normalize(getattr(row, column) or "").unicode
+                rows += [[*(getattr(row, c) for c in keep), a, b, kind, text[a:b]] for a, b, kind, _ in find_candidates(text, [], lists)]
+            yield pd.DataFrame(rows, columns=[*keep, "start", "end", "kind", "match"])
+
+    return df.select(*keep, F.col(column)).mapInPandas(run, schema)

@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from veilframe.functions.crypto import seal, unseal
 from veilframe.operators.engine import Engine, Span, placeholder_prefix
 from veilframe.ship import ship
 from veilframe.sources.rules import RuleSet
@@ -86,6 +88,52 @@ def scrub_sessions(df: DataFrame, user: str, order: str, rules: RuleSet, column:
     return rows.mapInPandas(run, schema)
 
 
+SESSION_INFO = "session-state"
+IDLE = 3600
+
+
+def seal_sessions(states: DataFrame, pepper: bytes) -> DataFrame:
+    """states (username, state as JSON, updated_at) as they are stored: sealed for their user."""
+    return states.select("username", seal(F.col("state"), F.col("username"), pepper, SESSION_INFO).alias("session_data"), "updated_at")
+
+
+def open_sessions(stored: DataFrame, pepper: bytes) -> DataFrame:
+    """The latest state of each user; null where it was altered or sealed for another."""
+    now = latest(stored.withColumn("_tie", F.xxhash64("session_data")), "username", "updated_at", "_tie")
+    return now.select("username", unseal(F.col("session_data"), F.col("username"), pepper, SESSION_INFO).cast("string").alias("state"), "updated_at")
+
+
+def session_stream(turns: DataFrame, rules: RuleSet, words: Words | None = None, idle: int | None = IDLE) -> DataFrame:
+    """A streaming frame (username, seq, text) scrubbed with session tokens; the state of a user who is silent for
+    ``idle`` seconds is dropped (None: kept; queries that stop once their input is read need that).  Needs the RocksDB
+    state store."""
+    ship(turns.sparkSession)
+    return turns.groupBy("username").transformWithStateInPandas(_Sessions(rules, words, idle), "username string, seq long, sanitized_text string", "Append", "ProcessingTime" if idle else "None")
+
+
+class _Sessions(StatefulProcessor):
+    def __init__(self, rules: RuleSet, words: Words | None, idle: int | None):
+        self.rules, self.words, self.idle = rules, words, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("session", "state string", *([self.idle * 1000] if self.idle else []))
+        self.engine = Engine(self.rules, self.words)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - Spark's names
+        import json
+
+        import pandas as pd
+
+        tokens = SessionTokens.from_state(json.loads(self.kept.get()[0])) if self.kept.exists() else SessionTokens()
+        turns = sorted((seq, text or "") for pdf in rows for seq, text in zip(pdf["seq"], pdf["text"]))
+        out = [(key[0], seq, self.engine.report(text, tokens)["sanitized_text"]) for seq, text in turns]
+        self.kept.update((json.dumps(tokens.state(), ensure_ascii=False),))
+        yield pd.DataFrame(out, columns=["username", "seq", "sanitized_text"])
+
+    def close(self) -> None:
+        pass
+
+
 def latest(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     """Upsert by key: the last row wins (map-side, no window)."""
     rest = [c for c in df.columns if c != key]

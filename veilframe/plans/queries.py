@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import crypto, text as T
-from veilframe.operators import audit, engine, evaluate, retrieval, sessions, spans
+from veilframe.operators import audit, engine, evaluate, legacy, retrieval, sessions, spans
 from veilframe.sources.rules import CATEGORIES, Rule, RuleSet, pack
 from veilframe.streaming import rehydrate
 
@@ -405,7 +405,40 @@ def image_redaction(spark, d):
     return _t(spark, d, "pages").select("page_id", F.octet_length(T.blank_image(F.left("html", F.lit(2000)).cast("binary"))).cast("long").alias("n"), (F.hex(T.blank_image(F.left("html", F.lit(2000)).cast("binary"))).rlike("[^0]")).alias("dirty"))
 
 
+def legacy_shield(spark, d):
+    return legacy.shield(_docs(spark, d), ["the", "und"]).select("doc_id", F.size("token_map").cast("long").alias("n_tokens"), F.length("sanitized_text").cast("long").alias("n_chars"))
+
+
+_LEGACY_SQL = r"""WITH d AS (SELECT doc_id, text, len(regexp_extract_all(text, '\d{3}-\d{2}-\d{4}')) AS n FROM documents),
+s AS (SELECT doc_id, n, length(text) - 11 * n + coalesce(list_sum(list_transform(range(1, n + 1), lambda i: 6 + length(CAST(i AS VARCHAR)))), 0) AS len, text FROM d),
+m AS (SELECT doc_id, n, len, unnest(regexp_extract_all(text, '(?i)the|und')) AS t, len(regexp_extract_all(text, '(?i)the|und')) AS k FROM s)
+SELECT doc_id, n + coalesce(u, 0) AS n_tokens, CAST(len + 5 * coalesce(k, 0) AS BIGINT) AS n_chars FROM s LEFT JOIN (SELECT doc_id, count(DISTINCT t) AS u, max(k) AS k FROM m GROUP BY doc_id) USING (doc_id)"""
+
+
+def name_candidates(spark, d):
+    return engine.name_candidates(_docs(spark, d))
+
+
+def session_store(spark, d):
+    """Stored twice, opened once: the later state of each user."""
+    ev = _t(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("last"))
+    states = ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), F.col("last").cast("string").alias("state"), F.explode(F.array(F.lit(1), F.lit(2))).alias("updated_at"))
+    stored = sessions.seal_sessions(states.withColumn("state", F.concat_ws("/", "state", F.col("updated_at").cast("string"))), PEPPER)
+    return sessions.open_sessions(stored, PEPPER)
+
+
+def request_mac(spark, d):
+    ev = _t(spark, d, "events")
+    params = F.create_map(F.lit("z"), F.lit("1"), F.lit("a"), F.col("event_type"))
+    mac = crypto.request_mac(KEY, F.lit("sanitize"), F.col("user_id").cast("string"), F.col("event_id"), params)
+    return ev.select("event_id", mac.alias("mac"))
+
+
 _NAMED = {
+    "legacy_shield": (legacy_shield, _LEGACY_SQL),
+    "name_candidates": (name_candidates, None),
+    "session_store": (session_store, "SELECT 'u' || user_id AS username, max(event_id) || '/2' AS state, 2 AS updated_at FROM events GROUP BY user_id"),
+    "request_mac": (request_mac, "SELECT event_id, lower(hex(" + _hmac_sql("""encode('sanitize:' || user_id || ':' || event_id || ':{"a":"' || event_type || '","z":"1"}')""") + ")) AS mac FROM events"),
     "sanitize_base": (sanitize_base, None),
     "rule_frequency": (rule_frequency, " UNION ALL ".join(f"SELECT {_quoted(r)} AS rule, sum(len(regexp_extract_all(text, {_quoted(_rule(p, r).pattern)}))) AS n FROM documents" for p, r in FREQUENT)),
     "mask_email": (mask_email, f"SELECT doc_id, regexp_replace(text, {_quoted(EMAIL.pattern)}, '[EMAIL]', 'g') AS masked FROM documents"),
