@@ -325,3 +325,18 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, _ = numbered(docs.select("doc_id", "text", F.struct("*").alias("doc")))
     keep = classes(rows.select("row", "text")).filter("row = class_row").select("row")
     return rows.join(keep, "row", "left_semi").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM w, unnest(range(1, greatest(2, len(w) - 3))) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS fp FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, x.fp AS fa, y.fp AS fb FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+e AS (SELECT a, b, fa, fb FROM l UNION ALL SELECT b, a, fb, fa FROM l),
+reach AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node),
+cls AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node),
+deg AS (SELECT a, count(*) AS n_links, 1 + count(*) FILTER (fa = fb) AS copies, count(DISTINCT fb) FILTER (fa <> fb) AS linked_texts FROM e GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(copies, 1) AS copies, coalesce(linked_texts, 0) AS linked_texts
+FROM documents LEFT JOIN cls ON node = doc_id LEFT JOIN deg ON a = doc_id
+"""

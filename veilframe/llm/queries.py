@@ -24,4 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat_formatting": chat_format.SQL,
         "op7_quality_rules": quality_rules.SQL,
+        "op9_ngram_join": ngram_join.SQL,
+        "op10_secret_scans": secret_scan.SQL,
     }

@@ -161,3 +161,21 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     n_chars = F.when(F.size("found") > 0, F.length(new).cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None
     own = {"text": new, "n_chars": n_chars}
     return out.select(*[own[c].alias(c) if c in own else F.col(f"doc.`{c}`") for c in docs.columns])
+
+
+def _sql() -> str:
+    """The same in SQL: gaps between matches give the starts."""
+    parts = []
+    for order, (_, pattern, least, group) in enumerate(KINDS):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"SELECT doc_id, {order} AS k, string_split_regex(text, {p}) AS g, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {group}) AS v, {least} AS least FROM d")
+    names = "[" + ", ".join(f"'{k[0]}'" for k in KINDS) + "]"
+    counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{BASE[k][0]}" for k in range(len(BASE)))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), a AS ({' UNION ALL '.join(parts)}),
+s AS (SELECT doc_id, k, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS s, length(m[i]) AS n FROM a, unnest(range(1, len(m) + 1)) AS r(i) WHERE length(v[i]) >= least),
+t AS (SELECT doc_id, k, s, ({names})[k + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS span FROM s)
+SELECT doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY s, k) FILTER (k < {len(BASE)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, k), '') AS spans
+FROM d LEFT JOIN t USING (doc_id) GROUP BY doc_id"""
+
+
+SQL = _sql()
