@@ -6,8 +6,6 @@ and zero-width characters dropped) before rules look at it, and offsets are thos
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,12 +166,19 @@ def sanitize(df: DataFrame, rules: RuleSet, column: str = "text") -> DataFrame:
 
 
 def rule_hits(df: DataFrame, rules: list[Rule], column: str = "text") -> DataFrame:
-    """A row for each match (leftmost, not overlapping) of each rule: the other columns, rule, s, e, match."""
-    text = F.col(column)
-    keep = [F.col(c) for c in df.columns if c != column]
+    """A row for each match (leftmost, not overlapping) of each rule: the other columns, rule, s, e, match.
+
+    One scan looks for all rules; a rule that is nowhere in a text costs one search there.
+    """
+    text, none = F.col(column), F.array().cast("array<struct<rule:string,s:int,e:int>>")
+
+    def tagged(rule_id: str):
+        return lambda m: F.struct(F.lit(rule_id).alias("rule"), m["s"].alias("s"), m["e"].alias("e"))
+
     parts = []
     for r in rules:
         pattern = dictionary_pattern(r.pattern) if r.kind == "D" else java_pattern(r.pattern)
-        hit = df.filter(text.rlike(pattern)).select(*keep, text, F.explode(matches(text, pattern)).alias("m"))
-        parts.append(hit.select(*[F.col(c) for c in df.columns if c != column], F.lit(r.id).alias("rule"), F.col("m.s").alias("s"), F.col("m.e").alias("e"), F.substring(text, F.col("m.s") + 1, F.col("m.e") - F.col("m.s")).alias("match")))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(F.when(text.rlike(pattern), F.transform(matches(text, pattern), tagged(r.id))).otherwise(none))
+    keep = [F.col(f"`{c}`") for c in df.columns if c != column]
+    found = df.select(*keep, text, F.explode(F.concat(*parts)).alias("_m"))
+    return found.select(*keep, "_m.rule", "_m.s", "_m.e", F.substring(text, F.col("_m.s") + 1, F.col("_m.e") - F.col("_m.s")).alias("match"))
