@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.llm.util import NON_WS, fingerprint, materialize, remove, table, words
+from veilframe.llm.util import NON_WS, fingerprint, materialize, remove, salted_join, table, words
 
 MIN_WORDS = 20
 
@@ -51,7 +51,7 @@ def line_table(docs: DataFrame, bits: int) -> DataFrame:
 def _repeated(named: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of named whose keys occur several times, with ``name``: the least pos that has them."""
     groups = named.groupBy(*keys).agg(F.min("pos").alias("name"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return named.join(groups, keys)
+    return salted_join(named, groups, keys, F.col("pos"))
 
 
 def _same_row(a: Column, b: Column, bits: int) -> Column:
@@ -91,7 +91,7 @@ def longest_earlier(levels: list[DataFrame], bits: int) -> tuple[DataFrame, str]
         root = at_root.select("pos", F.lit(0).cast("long").alias("c"), F.lit(-1).cast("long").alias("q"), F.lit(True).alias("seeks"), "name")
         everyone = root if here is None else root.unionByName(here)
         parts = everyone.filter("name IS NOT NULL").groupBy("c", "q", "name").agg(F.min("pos").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        joined = everyone.join(parts, ["c", "q", "name"], "left")
+        joined = salted_join(everyone, parts, ["c", "q", "name"], F.col("pos"), "left")
         goes = F.col("first").isNotNull() & (F.col("pos") > F.col("first"))
         moved = joined.select("pos", F.when(goes, F.col("c") + (1 << k)).otherwise(F.col("c")).alias("c"), F.when(goes, F.col("first")).otherwise(F.col("q")).alias("q"), "seeks").filter("c > 0")
         witnesses = parts.select(F.col("first").alias("pos"), (F.col("c") + (1 << k)).alias("c"), F.col("first").alias("q"), F.lit(False).alias("seeks"))

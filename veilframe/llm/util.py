@@ -48,7 +48,7 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-__all__ = ["NON_WS", "WS_CLASS", "fingerprint", "let", "materialize", "remove", "scratch", "shared_dir", "ship", "table", "words"]
+__all__ = ["NON_WS", "WS_CLASS", "fingerprint", "let", "materialize", "remove", "salted_join", "scratch", "shared_dir", "ship", "table", "words"]
 
 
 def let(value: Column, body) -> Column:
@@ -64,3 +64,14 @@ def words(text: Column) -> Column:
 def fingerprint(*cols: Column) -> list[Column]:
     """128 bits of a value, as two longs."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit("veilframe"), *cols)]
+
+
+#: Tasks that the rows of one key are dealt to.
+SALTS = 16
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """big joined with small, whose keys are unique, so that a key with a third of all rows fills no single task."""
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
