@@ -28,3 +28,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 200
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_pages_are_blanked(spark, sf_dir, monkeypatch):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    assert any(len(x) > 2000 for x in pages.values())
+    assert {r.page_id: r.n for r in q.queries()["image_redaction_whole"](spark, sf_dir).collect()} == {i: len(x.encode()) for i, x in pages.items()}
+    # a redaction that lets through what is beyond 2000 characters is seen
+    monkeypatch.setattr(q.T, "blank_image", lambda data: q.F.concat(q.F.unhex(q.F.repeat(q.F.lit("00"), 2000)), q.F.substring(data, 2001, 1 << 30)))
+    long = {i for i, x in pages.items() if len(x.encode()) > 2000}
+    assert long <= {r.page_id for r in q.queries()["image_redaction"](spark, sf_dir).filter("dirty").collect()}

@@ -401,8 +401,19 @@ def standalone_word(spark, d):
     return _docs(spark, d).filter(T.standalone_word(F.col("text"), "the")).select("doc_id")
 
 
+def _left_over(html):
+    """Whether blanking the whole of html leaves a byte of it, or another number of bytes."""
+    blank = T.blank_image(html.cast("binary"))
+    return F.hex(blank).rlike("[^0]") | (F.octet_length(blank) != F.octet_length(html))
+
+
 def image_redaction(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.octet_length(T.blank_image(F.left("html", F.lit(2000)).cast("binary"))).cast("long").alias("n"), (F.hex(T.blank_image(F.left("html", F.lit(2000)).cast("binary"))).rlike("[^0]")).alias("dirty"))
+    """dirty looks at whole pages; n is of their first 2000 characters, as in the SQL."""
+    return _t(spark, d, "pages").select("page_id", F.octet_length(T.blank_image(F.left("html", F.lit(2000)).cast("binary"))).cast("long").alias("n"), _left_over(F.col("html")).alias("dirty"))
+
+
+def image_redaction_whole(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.octet_length(T.blank_image(F.col("html").cast("binary"))).cast("long").alias("n"), _left_over(F.col("html")).alias("dirty"))
 
 
 def legacy_shield(spark, d):
@@ -480,6 +491,7 @@ _NAMED = {
     "chat_texts": (chat_texts, "SELECT conv_id, turn, text AS content FROM conversations WHERE text IS NOT NULL"),
     "standalone_word": (standalone_word, "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}])the($|[^\\p{L}\\p{N}])')"),
     "image_redaction": (image_redaction, "SELECT page_id, octet_length(encode(left(html, 2000))) AS n, false AS dirty FROM pages"),
+    "image_redaction_whole": (image_redaction_whole, "SELECT page_id, octet_length(encode(html)) AS n, false AS dirty FROM pages"),
 }
 
 
