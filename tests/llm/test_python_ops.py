@@ -271,6 +271,45 @@ def test_discounts_leave_mass():
     assert all(0 < x < 1 for x in katz.discounts({})[1:]) and all(0 < x < 1 for x in katz.discounts({1: 1, 2: 50})[1:])
 
 
+def test_lm_rare_words_stay_units_of_their_own(spark, monkeypatch):
+    """Every word keeps its own pairs, however few words and pairs the cache takes and however the tokens are dealt."""
+    from pyspark.sql import functions as F
+    from veilframe.llm.util import ship
+
+    ship(spark)
+    df, rows = small_corpus(spark)
+    docs = df.withColumn("held_out", katz.held_out(F.col("doc_id"))).unionByName(spark.createDataFrame([(-1, "w3 zz w4 w39 w38", True)], "doc_id long, text string, held_out boolean"))
+    rows = [*rows, (-1, "w3 zz w4 w39 w38")]
+    monkeypatch.setattr(katz, "UNITS", 12)
+    monkeypatch.setattr(katz, "PAIRS", 40)
+    monkeypatch.setattr(katz, "COUNT_BUCKET", 700, raising=False)
+    trained = katz.train(docs.filter("NOT held_out"))
+    got = {r.doc_id: r for r in katz.score(docs, trained, 900).collect()}
+    toks = {i: plain.words(plain.lower(t)) + [None] for i, t in rows}
+    train = [i for i in toks if not got[i].held_out]
+    c = collections.Counter(w for i in train for w in toks[i])
+    assert sum(12 * k < sum(c.values()) for k in c.values()) > 20  # most words are below the cache's count
+    pairs = collections.Counter((a, b) for i in train for a, b in zip(["^", *toks[i]], toks[i]))
+    d = katz.discounts(collections.Counter(pairs.values()))
+    norm = sum(c.values()) + 0.1 * (len(c) + katz.CLASSES)
+    after = collections.defaultdict(dict)
+    for (a, b), r in pairs.items():
+        after[a][b] = r
+
+    def prob(a, b):
+        if not after.get(a):
+            return (c[b] + 0.1) / norm
+        total, kept = sum(after[a].values()), sum(r * (d[r] if r < len(d) else 1.0) for r in after[a].values())
+        s = max(1 - 1 / (total + 1), 0) / (kept / total) if 1 - kept / total < 1 / (total + 1) else 1.0
+        if (r := pairs[a, b]):
+            return s * (d[r] if r < len(d) else 1.0) * r / total
+        return (1 - s * kept / total) / (1 - sum((c[x] + 0.1) / norm for x in after[a])) * (c[b] + 0.1) / norm
+
+    for i, ws in toks.items():
+        assert math.isclose(got[i].score, sum(math.log10(prob(a, b)) for a, b in zip(["^", *ws], ws)), rel_tol=1e-9)
+        assert got[i].n_known == sum(c[w] > 0 for w in ws)
+
+
 # ---- n-gram join
 
 

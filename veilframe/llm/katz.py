@@ -1,9 +1,7 @@
 """LM scoring: a Katz back-off model with Good-Turing discounts.
 
-Tokens are the words of a text (A-Z lower-cased), then one end.  Units of the n-gram tables are words with at least
-``N / UNITS`` occurrences in training (so at most UNITS words, at any size of the corpus) and, for all rarer words, the
-class of words with the same last two bytes.  No token is left out: a rare word's probability is its class's times
-``(c + 0.1) / (tokens of the class + 0.1 * (words of the class + 1))``, with one slot for words that training has not.
+Tokens are the words of a text (A-Z lower-cased), then one end.  Every word of the training texts is a unit of its own,
+however rare it is and however large the corpus; a word that training has not takes one of CLASSES slots.
 
     P(b | a) = s(a) * d(r) * r / c(a)     where the pair (a, b) occurs r > 0 times in training
              = alpha(a) * P(b)            else
@@ -12,10 +10,16 @@ d(r) are Katz's Good-Turing discounts for r up to 5; alpha(a) gives exactly what
 seen after a, so each context sums to one.  s(a) is 1 except where no discount leaves anything; there it sets
 1/(c(a)+1) aside.
 
-Counts of words and of pairs are written to tables in the shared folder.  Scoring reads texts once more: what is
-bounded by a constant (frequent words, contexts, pairs with at least N / PAIRS occurrences) is broadcast; every other
-token goes to the bucket of its word or pair, packed in arrays, where it meets the tables' counts; the buckets return
-sums for each document, packed by the chunk of texts that it came with.  As every token with a frequent key stays in its task, no bucket can be hot.
+Words are 64-bit hashes and so are pairs of them.  Training deals the pairs to the buckets of their second words, where
+counts of pairs and of rare words are sums, and writes the table (first word, pair, count, count of the second word) to
+the shared folder.  A token's score is a value of its word, plus one of its pair where training has the pair.  Scoring
+reads the texts, with the same splits in each of its turns, and deals each token to the bucket of its word and each pair to that of its first word, packed in
+arrays; there the table's pairs of the same words give the contexts' sums and both values.  The buckets return sums for
+each document, packed by the chunk of texts that it came with.
+
+What is bounded by constants (words with at least N / UNITS occurrences, pairs with at least N / PAIRS) is broadcast as a
+cache, so that no bucket can be hot: tokens of frequent keys stay in their task, and pairs of a frequent word are dealt by
+the pair.  No probability depends on the cache.
 
 Defined cases: null text is empty text (one token, the end); a null doc_id counts as held out; repeated rows are each
 scored, and each counted in training; without training tokens only the smoothing constants remain; an empty table gives
@@ -24,27 +28,35 @@ no rows.
 
 from __future__ import annotations
 
+import functools
+import gc
 import math
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.util import materialize, ship, table
+from veilframe.llm.util import materialize, remove, ship, table
 
 FOLDS = 10
 ADD = 0.1
 #: Bounds of what is broadcast, whatever the corpus.
 UNITS = 1 << 18
 PAIRS = 1 << 18
+#: Slots of the words that training has not.
 CLASSES = 1 << 16
-BEGIN = UNITS + CLASSES
-SHIFT = 20
+#: The hash that stands before the first token of a text.
+BEGIN = 0xB5026F5AA96619E9
 #: Counts up to this are discounted.
 GOOD_TURING = 5
-#: Tokens of a bucket.
+#: What a bucket holds in scoring (a token counts as a word and as a pair, and the table's pairs as one each), and tokens of
+#: one in the counting of pairs.
 BUCKET = 6_000_000
+COUNT_BUCKET = 2_000_000
+#: The buckets are worked off in so many turns, each of which reads the texts; less lies on disk at once.
+TURNS = 2
 #: Texts looked at together are at most about this many bytes.
 FLUSH = 24 << 20
 
@@ -54,33 +66,50 @@ def held_out(doc_id) -> "F.Column":
 
 
 def _tokens(column):
-    """(word hashes with an end after each text, tokens of each text, class of each token)."""
+    """(word hashes with an end after each text, tokens of each text)."""
     import numpy as np
 
     from veilframe.llm import kernel as K
 
-    lower = np.arange(256, dtype=np.uint32)
-    lower[65:91] += 32
     for at, rows, buf, offsets in K.chunks(column, FLUSH // 8):
-        starts, lengths = K.word_bounds(buf, offsets)
         hashes, counts, _ = K.word_hashes(buf, offsets, lower=True)
-        ends = starts + lengths - 1
-        kind = lower[buf[ends]] if len(ends) else np.zeros(0, np.uint32)
-        if len(ends):
-            kind = kind + np.where(lengths > 1, lower[buf[np.maximum(ends - 1, 0)]], 0).astype(np.uint32) * 256
-        stops = np.cumsum(counts)
-        yield at, rows, np.insert(hashes, stops, K.END), counts + 1, np.insert(kind, stops, 0)
+        yield at, rows, np.insert(hashes, np.cumsum(counts), K.END), counts + 1
+
+
+def _before(hashes, counts):
+    """The token before each token."""
+    import numpy as np
+
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[np.cumsum(counts) - counts] = np.uint64(BEGIN)
+    return before
+
+
+def _pair(a, b):
+    import numpy as np
+
+    from veilframe.llm import kernel as K
+
+    return K.mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
+
+
+def _firsts(keys):
+    """Places of the first of each run of equal keys."""
+    import numpy as np
+
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
 
-def _tally(keys, weights=None):
+def _tally(keys, weights, *more):
+    """(distinct keys, sums of their weights, the first of each of more)."""
     import numpy as np
 
-    if weights is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys, kind="stable")
-    keys, weights = keys[order], weights[order]
-    firsts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[firsts], np.add.reduceat(weights, firsts) if len(firsts) else weights
+    order = np.argsort(keys)
+    keys = keys[order]
+    firsts = _firsts(keys)
+    sums = np.add.reduceat(weights[order], firsts) if len(firsts) else weights
+    return keys[firsts], sums, *(x[order[firsts]] for x in more)
 
 
 class _Counter:
@@ -89,23 +118,33 @@ class _Counter:
     def __init__(self, most: int = 3_000_000):
         self.parts, self.held, self.most = [], 0, most
 
-    def add(self, keys) -> bool:
-        self.parts.append(_tally(keys))
+    def add(self, *words) -> bool:
+        """Counts tokens, or pairs of them where two arrays are given."""
+        import numpy as np
+
+        self.parts.append(self._sums(np.ones(len(words[0]), np.int64), *words))
         self.held += len(self.parts[-1][0])
         if self.held > self.most:
-            self.parts = [self._merged()]
+            self._merge()
             self.held = len(self.parts[0][0])
             return self.held > self.most // 2
         return False
 
-    def _merged(self):
+    @staticmethod
+    def _sums(weights, *words):
+        keys, sums, *words = _tally(words[0] if len(words) == 1 else _pair(*words), weights, *(words if len(words) > 1 else ()))
+        return (sums, *(words or (keys,)))
+
+    def _merge(self):
         import numpy as np
 
-        return _tally(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))
+        whole = [np.concatenate(x) for x in zip(*self.parts)]
+        self.parts = []
+        self.parts = [self._sums(*whole)]
 
     def take(self):
-        out = self._merged() if self.parts else None
-        self.parts, self.held = [], 0
+        self._merge()
+        out, self.parts, self.held = self.parts[0], [], 0
         return out
 
 
@@ -113,76 +152,134 @@ def _count_words(batches: Iterator) -> Iterator:
     import numpy as np
 
     seen = _Counter()
-    kinds: list = []  # (words, their classes), chunk by chunk
 
     def give():
-        keys, counts = seen.take()
-        k, v = (np.concatenate([x[i] for x in kinds]) for i in (0, 1))
-        order = np.argsort(k, kind="stable")
-        kind = v[order][np.searchsorted(k[order], keys)]
-        kinds.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(counts.astype(np.int64))], names=["word", "kind", "c"])
+        counts, keys = seen.take()
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["word", "c"])
 
     for batch in batches:
-        for _, _, hashes, _, kind in _tokens(batch.column("text")):
-            keys, first = np.unique(hashes, return_index=True)
-            kinds.append((keys, kind[first]))
+        for _, _, hashes, _ in _tokens(batch.column("text")):
             if seen.add(hashes):
                 yield give()
     if seen.parts:
         yield give()
 
 
-class Units:
-    """Units of tokens, and their unigram probabilities."""
+class Cache:
+    """The frequent words (and the end), and the totals of the training texts."""
 
-    def __init__(self, words, counts, class_tokens, class_words, n: int, v: int):
+    def __init__(self, words, counts, n: int, v: int):
         import numpy as np
 
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         self.n, self.v = n, v
-        self.class_log = np.log10(class_tokens + ADD * (class_words + 1))
-        tokens = np.concatenate([self.counts, np.zeros(UNITS - len(words)), class_tokens]).astype(np.float64)
-        real = np.concatenate([np.ones(len(words)), np.zeros(UNITS - len(words)), np.ones(CLASSES)])
-        self.p = np.append((tokens + ADD * real) / (n + ADD * real.sum()), 0.0)
+        self.norm = n + ADD * (v + CLASSES)
 
-    def of(self, hashes, kinds):
-        """(unit of each token, place among the frequent words or -1)."""
+    def of(self, hashes):
+        """Place of each token among the frequent words, or -1."""
         import numpy as np
 
         if not len(self.words):
-            return (UNITS + kinds).astype(np.int64), np.full(len(hashes), -1)
+            return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        hit = self.words[at] == hashes
-        return np.where(hit, at, UNITS + kinds.astype(np.int64)), np.where(hit, at, -1)
+        return np.where(self.words[at] == hashes, at, -1)
+
+    def contexts(self, hashes):
+        """The same with the begin, which comes after the words."""
+        import numpy as np
+
+        return np.where(hashes == np.uint64(BEGIN), len(self.words), self.of(hashes))
+
+
+def _pieces(bucket, n_buckets: int):
+    """(bucket, places of its keys) for each bucket that has keys."""
+    import numpy as np
+
+    order = np.argsort(bucket.astype(np.uint16) if n_buckets <= 1 << 16 else bucket, kind="stable")
+    ends = np.cumsum(np.bincount(bucket, minlength=n_buckets))
+    for b in np.flatnonzero(np.diff(np.r_[0, ends])):
+        yield int(b), order[(ends[b - 1] if b else 0) : ends[b]]
 
 
-def _pairs(units, counts):
-    """The key of each token's pair with the unit before it."""
+def _bucket(keys, n: int):
     import numpy as np
 
-    before = np.empty_like(units)
-    before[1:] = units[:-1]
-    before[np.cumsum(counts) - counts] = BEGIN
-    return (before << SHIFT) | units
+    from veilframe.llm import kernel as K
+
+    return (K.mix(keys.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+_COUNTED = "bucket int, a binary, b binary, c binary"
+_TABLE = "a long, pair long, c long, cb long"
+
+
+def _parts(batches: Iterator, most: int = 300_000) -> Iterator:
+    """Columns of the table of pairs, batches of it together."""
+    import numpy as np
+
+    def columns(held):
+        a, pair, c, cb = (np.concatenate([x.column(name).to_numpy() for x in held]) for name in ("a", "pair", "c", "cb"))
+        return a.view(np.uint64), pair.view(np.uint64), c, cb
+
+    held: list = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= most:
+            yield columns(held)
+            held = []
+    if held:
+        yield columns(held)
+
 
+def _count_pairs(shared, n_buckets: int):
+    """Pairs of a task to packed rows, by the second word, or by the pair where that word is frequent."""
 
-def _count_pairs(shared):
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
 
-        units, seen = shared.value, _Counter()
+        cache, seen = shared.value, _Counter(1_000_000)
 
         def give():
-            keys, counts = seen.take()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "c"])
+            counts, a, b = seen.take()
+            bucket = _bucket(np.where(cache.of(b) < 0, b, _pair(a, b)), n_buckets)
+            for k, i in _pieces(bucket, n_buckets):  # one row a batch: the JVM holds little of them at once
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x[i].tobytes()], pa.binary()) for x in (a, b, counts))], names=["bucket", "a", "b", "c"])
 
         for batch in batches:
-            for _, _, hashes, counts, kinds in _tokens(batch.column("text")):
-                if seen.add(_pairs(units.of(hashes, kinds)[0], counts)):
-                    yield give()
+            for _, _, hashes, counts in _tokens(batch.column("text")):
+                if seen.add(_before(hashes, counts), hashes):
+                    yield from give()
         if seen.parts:
-            yield give()
+            yield from give()
+
+    return run
+
+
+def _sum_pairs(shared):
+    """One bucket: its pairs with their counts and those of their second words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        cache = shared.value
+        parts: list[list] = [[], [], []]
+        for batch in batches:
+            for x, name, kind in zip(parts, "abc", (np.uint64, np.uint64, np.int64)):
+                x += [np.frombuffer(y, kind) for y in batch.column(name).to_pylist()]
+        a, b, c = (np.concatenate(x) for x in parts)
+        parts.clear()
+        keys, c, a, b = _tally(_pair(a, b), c, a, b)
+        place = cache.of(b)
+        rare = place < 0
+        cb = np.zeros(len(b), np.int64)
+        cb[~rare] = cache.counts[place[~rare]]
+        words, sums = _tally(b[rare], c[rare])
+        cb[rare] = sums[np.searchsorted(words, b[rare])]
+        order = np.argsort(a)
+        for i in range(0, len(order), 100_000):
+            k = order[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x[k].view(np.int64)) for x in (a, keys, c, cb)], names=["a", "pair", "c", "cb"])
 
     return run
 
@@ -200,62 +297,66 @@ def discounts(n_r: dict[int, int], k: int = GOOD_TURING) -> list[float]:
     return out
 
 
-def _contexts(shared, d: list[float]):
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
+class Rates:
+    """What holds for all contexts: the discounts and the sum of all units."""
 
-        p, table_ = shared.value.p, np.array(d)
-        for batch in batches:
-            pair, c = batch.column("pair").to_numpy(), batch.column("c").to_numpy()
-            a, at = np.unique(pair >> SHIFT, return_inverse=True)
-            kept = c * np.where(c < len(table_), table_[np.minimum(c, len(table_) - 1)], 1.0)
-            sums = [np.bincount(at, w) for w in (c, kept, p[pair & ((1 << SHIFT) - 1)])]
-            yield pa.RecordBatch.from_arrays([pa.array(a), *map(pa.array, sums)], names=["a", "total", "kept", "p"])
+    def __init__(self, d: list[float], norm: float):
+        import numpy as np
 
-    return run
+        self.d, self.norm = np.array(d), norm
 
+    def kept(self, c):
+        import numpy as np
 
-class Katz:
-    """All of the model that is bounded by constants."""
+        return c * np.where(c < len(self.d), self.d[np.minimum(c, len(self.d) - 1)], 1.0)
 
-    def __init__(self, units: Units, d: list[float], a, total, kept, p):
+    def context(self, total, kept, cb, followers):
+        """(log10 of alpha(a), what a adds to the value of its pairs) from the sums over the pairs of each a."""
         import numpy as np
 
-        size = BEGIN + 1
-        self.units, self.d = units, np.array(d)
-        self.total, self.scale, self.alpha = np.zeros(size), np.ones(size), np.ones(size)
-        share = kept / total
-        least = 1 / (total + 1)
+        share, least = kept / total, 1 / (total + 1)
         scale = np.where(1 - share < least, (1 - least) / share, 1.0)
-        self.total[a], self.scale[a] = total, scale
-        self.alpha[a] = (1 - scale * share) / np.maximum(1 - p, 1e-12)
-        self.hot = np.zeros(0, np.int64), np.zeros(0)
-        with np.errstate(divide="ignore"):
-            self.log_alpha, self.log_p = np.log10(self.alpha), np.log10(units.p)
-
-    def back_off(self, pair):
-        """log10 of alpha(a) P(b)."""
-        return self.log_alpha[pair >> SHIFT] + self.log_p[pair & ((1 << SHIFT) - 1)]
-
-    def seen(self, pair, c):
-        """log10 of the discounted probability of pairs seen c times."""
+        log_alpha = np.log10((1 - scale * share) / np.maximum(1 - (cb + ADD * followers) / self.norm, 1e-12))
+        return log_alpha, np.log10(scale / total) - log_alpha + math.log10(self.norm)
+
+    def gain(self, a, c, cb):
+        """What a seen pair's score is above that of backing off."""
         import numpy as np
 
-        a = pair >> SHIFT
-        d = np.where(c < len(self.d), self.d[np.minimum(c, len(self.d) - 1)], 1.0)
-        return np.log10(self.scale[a] * d * c / self.total[a])
+        return a + np.log10(self.kept(c)) - np.log10(cb + ADD)
 
 
-def _packed(kind: int, chunk: int, bucket, keys, values, n_buckets: int):
-    """Rows (bucket, kind, chunk, keys, values), one for each bucket that has keys."""
-    import numpy as np
+def _contexts(shared, rates: Rates):
+    """Sums over the pairs of each frequent context."""
 
-    order = np.argsort(bucket, kind="stable")
-    keys, values = keys[order], values[order]
-    ends = np.cumsum(np.bincount(bucket, minlength=n_buckets))
-    for b in np.flatnonzero(np.diff(np.r_[0, ends])):
-        i, j = (ends[b - 1] if b else 0), ends[b]
-        yield int(b), kind, chunk, keys[i:j].tobytes(), values[i:j].tobytes()
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        cache = shared.value
+        sums = np.zeros((4, len(cache.words) + 1))
+        for a, _, c, cb in _parts(batches):
+            firsts = _firsts(a)
+            place = cache.contexts(a[firsts])
+            often = place >= 0
+            for k, w in enumerate((c, rates.kept(c), cb, np.ones(len(c)))):
+                sums[k] += np.bincount(place[often], np.add.reduceat(w, firsts)[often], minlength=sums.shape[1])
+        k = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(x[k]) for x in sums)], names=["place", "total", "kept", "cb", "followers"])
+
+    return run
+
+
+class Katz:
+    """All of the model that is bounded by constants."""
+
+    def __init__(self, cache: Cache, rates: Rates, place, total, kept, cb, followers):
+        import numpy as np
+
+        self.cache, self.rates = cache, rates
+        self.log_c = np.log10(cache.counts + ADD)
+        self.log_alpha, self.adds = np.zeros(len(cache.words) + 1), np.zeros(len(cache.words) + 1)
+        self.log_alpha[place], self.adds[place] = rates.context(total, kept, cb, followers)
+        self.hot, self.hot_gain = np.zeros(0, np.uint64), np.zeros(0)
 
 
 def _batch(rows):
@@ -268,70 +369,91 @@ def _batch(rows):
 _PACKED = "bucket int, kind int, chunk long, keys binary, vals binary"
 
 
-def _bucket(keys, n: int):
+def _pack_docs(doc) -> bytes:
+    """Ascending numbers as the bytes of their steps, plane by plane, which compresses well."""
     import numpy as np
 
-    from veilframe.llm import kernel as K
-
-    return (K.mix(keys.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+    return np.diff(doc, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _pack_words(shared, n_buckets: int):
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
+def _unpack_docs(body: bytes):
+    import numpy as np
 
-        for batch in batches:
-            keys = batch.column("word").to_numpy().view(np.uint64)
-            yield _batch(list(_packed(0, 0, _bucket(keys, n_buckets), keys, np.log10(batch.column("c").to_numpy() + ADD), n_buckets)))
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
 
-    return run
 
+def _pack_pairs(shared, n_buckets: int, turn: int, turns: int):
+    """The table to packed rows: kinds 0 (pairs of rare words, by the first word) and 1 (pairs of frequent ones, by the pair)."""
 
-def _pack_pairs(shared, n_buckets: int):
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
         model = shared.value
-        for batch in batches:
-            keys, c = batch.column("pair").to_numpy(), batch.column("c").to_numpy()
-            yield _batch(list(_packed(1, 0, _bucket(keys, n_buckets), keys, model.seen(keys, c) - model.back_off(keys), n_buckets)))
+        for a, keys, c, cb in _parts(batches):
+            place = model.cache.contexts(a)
+            bucket = _bucket(np.where(place < 0, a, keys), n_buckets)
+            rare = np.flatnonzero((place < 0) & (bucket % turns == turn))
+            out = []
+            for k, i in _pieces(bucket[rare], n_buckets):
+                i = rare[i]
+                out.append((k, 0, 0, np.concatenate([a[i], keys[i]]).tobytes(), np.concatenate([c[i], cb[i]]).tobytes()))
+            often = np.flatnonzero((place >= 0) & (bucket % turns == turn))
+            if len(model.hot) and len(often):
+                often = often[model.hot[np.minimum(np.searchsorted(model.hot, keys[often]), len(model.hot) - 1)] != keys[often]]
+            gain = model.rates.gain(model.adds[place[often]], c[often], cb[often])
+            for k, i in _pieces(bucket[often], n_buckets):
+                out.append((k, 1, 0, keys[often[i]].tobytes(), gain[i].tobytes()))
+            yield _batch(out)
 
     return run
 
 
-def _score(shared, n_buckets: int):
-    """Texts to packed rows: kinds 2 (rare words), 3 (pairs that are not frequent) and 4 (what the task knows already)."""
+def _score(shared, n_buckets: int, turn: int, turns: int):
+    """Texts to packed rows: kinds 2 (rare words) and 3 (pairs that are not frequent) of this turn's buckets, and in the
+    first turn 4 (what the task knows already)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         from pyspark import TaskContext
 
         model = shared.value
-        units, (hot, hot_log) = model.units, model.hot
+        cache, hot = model.cache, model.hot
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, held = batch.column("doc_id"), np.asarray(batch.column("held_out").to_pylist(), bool)
-            for at, rows, hashes, counts, kinds in _tokens(batch.column("text")):
+            for at, rows, hashes, counts in _tokens(batch.column("text")):
                 doc = np.repeat(np.arange(rows, dtype=np.int64), counts)
-                unit, place = units.of(hashes, kinds)
-                pair = _pairs(unit, counts)
+                place = cache.of(hashes)
                 rare = place < 0
-                base = np.zeros(len(doc))
-                base[~rare] = np.log10(units.counts[place[~rare]] + ADD)
-                score = model.back_off(pair)
+                before = _before(hashes, counts)
+                after_rare = np.r_[False, rare[:-1]]
+                after_rare[np.cumsum(counts) - counts] = False
+                pair = _pair(before, hashes)
+                often, k = np.zeros(len(pair), bool), np.zeros(len(pair), np.int64)
                 if len(hot):
-                    k = np.minimum(np.searchsorted(hot, pair), len(hot) - 1)
-                    often = hot[k] == pair
-                    score[often] = hot_log[k[often]]
-                else:
-                    often = np.zeros(len(pair), bool)
-                score[rare] -= units.class_log[kinds[rare]]
-                out = [*_packed(2, chunk, _bucket(hashes[rare], n_buckets), hashes[rare], doc[rare].astype("<u4"), n_buckets)]
-                out += _packed(3, chunk, _bucket(pair[~often], n_buckets), pair[~often], doc[~often].astype("<u4"), n_buckets)
+                    able = np.flatnonzero(~after_rare)
+                    k[able] = np.minimum(np.searchsorted(hot, pair[able]), len(hot) - 1)
+                    often[able] = hot[k[able]] == pair[able]
+                to = _bucket(hashes, n_buckets)
+                w = np.flatnonzero(rare & (to % turns == turn))
+                out = [(b, 2, chunk, hashes[w[i]].tobytes(), _pack_docs(doc[w[i]])) for b, i in _pieces(to[w], n_buckets)]
+                to = _bucket(np.where(after_rare, before, pair), n_buckets)
+                x = np.flatnonzero(~often & (to % turns == turn))
+                out += [(b, 3, chunk, pair[x[i]].tobytes(), _pack_docs(doc[x[i]])) for b, i in _pieces(to[x], n_buckets)]
+                chunk += 1
+                if turn:
+                    yield _batch(out)
+                    continue
+                base, score = np.zeros(len(doc)), np.zeros(len(doc))
+                base[~rare] = model.log_c[place[~rare]]
+                score[~rare] = base[~rare] + model.log_alpha[place[~rare]]
+                score[often] += model.hot_gain[k[often]]
                 some = ids.slice(at, rows)
                 known = np.bincount(doc, ~rare, minlength=rows)
-                docs = np.rec.fromarrays([some.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(some.is_null()), held[at : at + rows], counts, known, np.bincount(doc, base, minlength=rows), np.bincount(doc, score, minlength=rows)], dtype=_DOC)
-                out.append((chunk % n_buckets, 4, chunk, b"", docs.tobytes()))
+                whole = np.bincount(doc, score, minlength=rows) + model.log_alpha[-1] - counts * math.log10(cache.norm)
+                docs = np.rec.fromarrays([some.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(some.is_null()), held[at : at + rows], counts, known, np.bincount(doc, base, minlength=rows), whole], dtype=_DOC)
+                out.append(((chunk - 1) // turns % max(1, n_buckets // turns) * turns, 4, chunk - 1, b"", docs.tobytes()))
                 yield _batch(out)
-                chunk += 1
 
     return run
 
@@ -342,42 +464,73 @@ _BODY = "chunk long, whole boolean, body binary"
 _ROWS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: counts of the tables meet the tokens; sums for each document."""
+def _lookup(keys, table, otherwise):
+    """(which keys the sorted table has, for each of its values the key's or otherwise)."""
     import numpy as np
 
-    tables: dict[int, list] = {0: [], 1: []}
-    waiting = []
-    docs = []
-    for batch in batches:
-        for kind, chunk, keys, vals in zip(*(batch.column(c).to_pylist() for c in ("kind", "chunk", "keys", "vals"))):
-            if kind < 2:
-                tables[kind].append((np.frombuffer(keys, np.uint64), np.frombuffer(vals, np.float64)))
-            elif kind < 4:
-                waiting.append((kind, chunk, keys, vals))
+    known, *values = table
+    if not len(known):
+        return np.zeros(len(keys), bool), *(np.full(len(keys), o) for o in otherwise)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    hit = known[at] == keys
+    return hit, *(np.where(hit, v[at], o) for v, o in zip(values, otherwise))
+
+
+def _meet(rates: Rates):
+    """One bucket: the table's pairs meet the tokens; sums for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        rare: list[tuple] = [(np.zeros((2, 0), np.uint64), np.zeros((2, 0), np.int64))]
+        often: list[tuple] = [(np.zeros(0, np.uint64), np.zeros(0))]
+        waiting, docs = [], []
+        for batch in batches:
+            for kind, chunk, keys, vals in zip(*(batch.column(c).to_pylist() for c in ("kind", "chunk", "keys", "vals"))):
+                if kind == 0:
+                    rare.append((np.frombuffer(keys, np.uint64).reshape(2, -1), np.frombuffer(vals, np.int64).reshape(2, -1)))
+                elif kind == 1:
+                    often.append((np.frombuffer(keys, np.uint64), np.frombuffer(vals, np.float64)))
+                elif kind < 4:
+                    waiting.append((kind, chunk, keys, vals))
+                else:
+                    docs.append((chunk, vals))
+        (a, pair), (c, cb) = (np.concatenate(x, axis=1) for x in zip(*rare))
+        rare.clear()
+        order = np.argsort(a)
+        a = a[order]
+        pair = pair[order]
+        c = c[order]
+        cb = cb[order]
+        firsts = _firsts(a)
+        sizes = np.diff(np.r_[firsts, len(a)])
+        by_word = lambda x: np.add.reduceat(x, firsts) if len(firsts) else np.zeros(0)
+        total, after = by_word(c), by_word(cb)
+        kept = total + sum((rates.d[r] - 1) * r * by_word((c == r).astype(np.int64)) for r in range(1, len(rates.d)))  # whole numbers: no order of rows shows
+        log_alpha, adds = rates.context(total, kept, after, sizes)
+        log_c = np.log10(total + ADD)
+        words = a[firsts], log_c, log_c + log_alpha
+        gain = rates.gain(np.repeat(adds, sizes), c, cb)
+        keys, gain = np.concatenate([pair, *(k for k, _ in often)]), np.concatenate([gain, *(g for _, g in often)])
+        often.clear()
+        order = np.argsort(keys)
+        pairs = keys[order], gain[order]
+
+        for kind, chunk, keys, vals in waiting:
+            keys = np.frombuffer(keys, np.uint64)
+            doc = _unpack_docs(vals)
+            firsts = _firsts(doc)
+            zero = np.zeros(len(firsts))
+            if kind == 2:
+                found = _lookup(keys, words, (math.log10(ADD), math.log10(ADD)))
+                sums = [np.add.reduceat(x.astype(float), firsts) for x in found]
             else:
-                docs.append((chunk, vals))
-    known = {}
-    for kind, parts in tables.items():
-        k = np.concatenate([a for a, _ in parts]) if parts else np.zeros(0, np.uint64)
-        v = np.concatenate([b for _, b in parts]) if parts else np.zeros(0)
-        order = np.argsort(k)
-        known[kind] = k[order], v[order]
-        parts.clear()
+                sums = [zero, zero, np.add.reduceat(_lookup(keys, pairs, (0.0,))[1], firsts)]
+            yield _bodies([(chunk, False, np.rec.fromarrays([doc[firsts], *sums], dtype=_SUM).tobytes())])
+        if docs:
+            yield _bodies([(chunk, True, vals) for chunk, vals in docs])
 
-    for kind, chunk, keys, vals in waiting:
-        keys, doc = np.frombuffer(keys, np.uint64), np.frombuffer(vals, "<u4")
-        k, v = known[kind - 2]
-        at = np.minimum(np.searchsorted(k, keys), max(0, len(k) - 1))
-        hit = k[at] == keys if len(k) else np.zeros(len(keys), bool)
-        got = np.where(hit, v[at] if len(k) else 0.0, math.log10(ADD) if kind == 2 else 0.0)
-        who, inverse = np.unique(doc, return_inverse=True)
-        sums, zero = np.bincount(inverse, got), np.zeros(len(who))
-        # a rare word's log10(c + 0.1) is part of both scores
-        out = np.rec.fromarrays([who, np.bincount(inverse, hit) if kind == 2 else zero, sums if kind == 2 else zero, sums], dtype=_SUM)
-        yield _bodies([(chunk, False, out.tobytes())])
-    if docs:
-        yield _bodies([(chunk, True, vals) for chunk, vals in docs])
+    return run
 
 
 def _bodies(rows: list[tuple]) -> pa.RecordBatch:
@@ -405,44 +558,64 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _ROWS.split(", ")])
 
 
+def _release(spark) -> None:
+    """Shuffle files that no frame needs any more go once both collectors have run; Python tells the JVM of its frames
+    from a thread of its own, which a second is given to."""
+    gc.collect()
+    time.sleep(1)
+    spark.sparkContext._jvm.System.gc()
+
+
 def train(docs: DataFrame):
-    """The model of docs (column text): (Katz, table of words, table of pairs)."""
+    """The model of docs (column text): (Katz, table of pairs)."""
     import numpy as np
 
+    from veilframe.llm import kernel as K
+
     spark = docs.sparkSession
     sc = spark.sparkContext
-    words, _ = materialize(docs.select("text").mapInArrow(_count_words, "word long, kind int, c long").groupBy("word", "kind").agg(F.sum("c").alias("c")), "words")
+    words, path = materialize(docs.select("text").mapInArrow(_count_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    often = F.col("c") * UNITS >= n
-    top = words.filter(often).select("word", "c").toPandas()  # at most UNITS rows
-    by_class = words.filter(~often).groupBy("kind").agg(F.sum("c").alias("c"), F.count("*").alias("w")).toPandas()  # at most CLASSES rows
-    class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    class_tokens[by_class["kind"].to_numpy(int)], class_words[by_class["kind"].to_numpy(int)] = by_class["c"], by_class["w"]
-    units = Units(top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), class_tokens, class_words, n, v)
-    shared = sc.broadcast(units)
-    pairs, _ = materialize(docs.select("text").mapInArrow(_count_pairs(shared), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")), "pairs")
+    end = int(K.END.view(np.int64))
+    top = words.filter((F.col("c") * UNITS >= n) | (F.col("word") == end)).toPandas()  # at most UNITS + 1 rows
+    remove(spark, path)
+    _release(spark)
+    cache = Cache(top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), n, v)
+    shared = sc.broadcast(cache)
+    counted = docs.select("text").mapInArrow(_count_pairs(shared, max(1, math.ceil(n / COUNT_BUCKET))), _COUNTED)
+    pairs, _ = materialize(counted.groupBy("bucket").applyInArrow(_sum_pairs(shared), _TABLE), "pairs")
+    del counted
+    _release(spark)
+    cache.pairs = pairs.count()
     d = discounts({r["c"]: r["n"] for r in pairs.filter(F.col("c") <= GOOD_TURING + 1).groupBy("c").agg(F.count("*").alias("n")).collect()})
-    ctx = pairs.mapInArrow(_contexts(shared, d), "a long, total double, kept double, p double").groupBy("a").agg(F.sum("total").alias("total"), F.sum("kept").alias("kept"), F.sum("p").alias("p")).toPandas()  # at most UNITS + CLASSES + 1 rows
-    model = Katz(units, d, *(ctx[c].to_numpy() for c in ("a", "total", "kept", "p")))
-    hot = pairs.filter(F.col("c") * PAIRS >= n).toPandas().sort_values("pair")  # at most PAIRS rows
-    keys = hot["pair"].to_numpy(np.int64)
-    model.hot = keys, model.seen(keys, hot["c"].to_numpy(np.int64))
-    return model, words.filter(~often), pairs.filter(F.col("c") * PAIRS < n)
+    rates = Rates(d, cache.norm)
+    sums = ("total", "kept", "cb", "followers")
+    ctx = pairs.mapInArrow(_contexts(shared, rates), "place long, total double, kept double, cb double, followers double").groupBy("place").agg(*[F.sum(x).alias(x) for x in sums]).toPandas()  # at most UNITS + 2 rows
+    model = Katz(cache, rates, ctx["place"].to_numpy(np.int64), *(ctx[x].to_numpy(float) for x in sums))
+    hot = pairs.filter(F.col("c") * PAIRS >= n).toPandas()  # at most PAIRS rows
+    place = cache.contexts(hot["a"].to_numpy(np.int64).view(np.uint64))
+    hot, place = hot[place >= 0], place[place >= 0]
+    keys = hot["pair"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    model.hot, model.hot_gain = keys[order], rates.gain(model.adds[place], hot["c"].to_numpy(np.int64), hot["cb"].to_numpy(np.int64))[order]
+    return model, pairs
 
 
 def score(docs: DataFrame, trained, bucket: int = BUCKET) -> DataFrame:
     """docs (doc_id, text, held_out) scored."""
-    model, words, pairs = trained
+    model, pairs = trained
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)
-    n_buckets = max(1, math.ceil(model.units.n / bucket))
-    packed = (
-        docs.mapInArrow(_score(shared, n_buckets), _PACKED)
-        .union(words.select("word", "c").mapInArrow(_pack_words(shared, n_buckets), _PACKED))
-        .union(pairs.mapInArrow(_pack_pairs(shared, n_buckets), _PACKED))
-    )
-    out = packed.groupBy("bucket").applyInArrow(_meet, _BODY).groupBy("chunk").applyInArrow(_add_up, _ROWS)
-    n, v = model.units.n, model.units.v
+    n, v = model.cache.n, model.cache.v
+    n_buckets = max(1, math.ceil((2 * n + model.cache.pairs) / bucket))
+    turns = min(TURNS, n_buckets)
+    sums = []
+    for turn in range(turns):
+        packed = docs.mapInArrow(_score(shared, n_buckets, turn, turns), _PACKED).union(pairs.mapInArrow(_pack_pairs(shared, n_buckets, turn, turns), _PACKED))
+        sums.append(materialize(packed.groupBy("bucket").applyInArrow(_meet(model.rates), _BODY), "sums")[0])
+        del packed
+        _release(docs.sparkSession)
+    out = functools.reduce(DataFrame.union, sums).groupBy("chunk").applyInArrow(_add_up, _ROWS)
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * math.log10(n + ADD * (v + 1))).alias("base_score"), "score",
