@@ -53,6 +53,50 @@ def test_gap_purge_and_anchor(ledger):
         audit.under_pressure(ledger, F.lit(1), F.lit(True), F.lit(1), 0.5, 10)
 
 
+@pytest.mark.parametrize("column", ["ts", "username", "is_blocked", "redactions_json", "raw"])
+def test_a_null_field_leaves_the_chain_whole(spark, column):
+    rows = [(1, i, "t", "u", False, "[]", "x") for i in range(1, 6)]
+    ev = spark.createDataFrame(rows, "c long, i long, ts string, username string, is_blocked boolean, redactions_json string, raw string")
+    out = audit.append(ev.withColumn(column, F.when(F.col("i") != 2, F.col(column))), "c", "i", KEY, PEPPER, segment=10).cache()
+    assert out.filter("integrity_hash IS NULL").count() == 0
+    assert verdicts(out) == {(1, i): "archived" if column == "raw" and i == 2 else "intact" for i in range(1, 6)}
+    put = {"is_blocked": False, "raw": None}.get(column, "")
+    if column != "raw":
+        assert verdicts(out.withColumn(column, F.coalesce(F.col(column), F.lit(put))))[1, 2] == "tampered"
+
+
+def test_a_ledger_needs_chains(spark):
+    ev = spark.createDataFrame([(None, 1, "t", "u", False, "[]", "x")], "c long, i long, ts string, username string, is_blocked boolean, redactions_json string, raw string")
+    with pytest.raises(Exception, match="needs a chain"):
+        audit.append(ev, "c", "i", KEY, PEPPER).collect()
+
+
+URLS = {
+    "http://instance-data/": "metadata", "http://a.metadata.google.internal/": "metadata", "http://x.instance-data:80/": "metadata", "http://[fe80::1]/": "metadata", "http://[::ffff:169.254.169.254]/": "metadata",
+    "http://2852039166/": "metadata", "http://0xA9FEA9FE/": "metadata", "http://0251.0376.0251.0376/": "metadata", "http://169.254.43518": "metadata", "http://[::]/": "private", "http://0.1.2.3/": "private",
+    "http://2130706433/": "private", "http://127.1/": "private", "http://[::1]:8080/": "private", "http://[fd12:3456::1]/": "private", "http://[::ffff:10.0.0.1]/": "private", "http://[::ffff:a00:1]/": "private",
+    "http://172.31.255.255/": "private", "http://172.32.0.1/": "ok", "http://u:p@10.0.0.1/": "private", "http://%31%30.0.0.1/": "private", "http:\\\\localhost\\x": "private", " http://a.localhost ": "private",
+    "http://8.8.8.8/": "ok", "http://[2001:db8::1]/": "ok", "http://256.1.1.1/": "scheme", "http://1.2.3.4.5/": "scheme", "http://[1::2::3]/": "scheme", "http://[1:2]/": "scheme", "http:///": "scheme", "file:///etc": "scheme",
+    "": "scheme", "http://99999999999999999999/": "scheme", "http://a.example/?u=http://10.0.0.1/": "ok", "http://metadata.example/": "ok",
+}
+
+
+def test_url_guard(spark):
+    df = spark.createDataFrame([(u,) for u in URLS], "u string")
+    look = lambda **kw: {r.u: r.v for r in df.select("u", T.url_verdict(F.col("u"), **kw).alias("v")).collect()}
+    assert look() == URLS
+    assert look(production=False) == {u: "ok" if v == "private" else v for u, v in URLS.items()}
+    listed = look(allowed_hosts=("127.0.0.1", "::1", "[fe80::1]"))
+    assert listed["http://127.1/"] == "ok" and listed["http://[::1]:8080/"] == "ok" and listed["http://8.8.8.8/"] == "not allowed" and listed["http://[fe80::1]/"] == "metadata"
+    assert spark.createDataFrame([(None,)], "u string").select(T.url_verdict(F.col("u")).alias("v")).first().v in (None, "scheme")
+
+
+def test_restore_takes_any_key(spark):
+    rows = [("[token-1] a[b+]c \\\\E x", {"[token-1]": "T", "a[b": "1", "a[b+]c": "2", "\\\\E": "$1"}), ("aab", {"a": "1", "aa": "2", "": "9"}), ("x", {}), ("x", None), (None, {"a": "b"})]
+    df = spark.createDataFrame(rows, "t string, m map<string,string>")
+    assert [r.x for r in df.select(T.restore(F.col("t"), F.col("m")).alias("x")).collect()] == ["T 2 $1 x", "2b", "x", "x", None]
+
+
 def test_jobs(spark):
     docs = spark.createDataFrame([(1, "ann", "red apple pie"), (2, "ann", "apple"), (3, "bob", "red apple")], "doc_id long, owner string, text string")
     asked = spark.createDataFrame([("ann", "t", "the RED apple", "1"), ("cat", "t", "apple", "2")], "username string, thread_id string, query string, created_at string")

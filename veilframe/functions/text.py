@@ -118,18 +118,94 @@ def resolve_key(target: Column, explicit: Column, ambient: Column) -> Column:
     return F.when(target.isNotNull(), F.coalesce(explicit, F.lit(""))).otherwise(F.coalesce(explicit, ambient, F.lit("local")))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _number(digits: Column, base: int) -> Column:
+    return F.conv(digits, base, 10).cast("decimal(20,0)")
+
+
+def _ipv4(host: Column) -> Column:
+    """The number of an address of one to four decimal, octal or hexadecimal parts; -1 for one that is none, null for a name."""
+    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+
+    def value(p: Column) -> Column:
+        return (
+            F.when(p.rlike("^0x0*[0-9a-f]{0,9}$"), _number(F.concat(F.lit("0"), F.substring(p, 3, 1 << 30)), 16))
+            .when(p.rlike("^00*[0-7]{0,12}$"), _number(p, 8)).when(p.rlike("^[1-9][0-9]{0,10}$"), _number(p, 10))
+        )
+
+    def of(v: Column) -> Column:
+        n = F.size(v)
+        heads, last = F.slice(v, F.lit(1), n - 1), F.element_at(v, -1)
+        fine = (n <= 4) & ~F.exists(v, lambda x: x.isNull()) & ~F.exists(heads, lambda x: x > 255) & (last.cast("double") < F.pow(F.lit(256.0), 5 - n))
+        whole = F.aggregate(heads, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long")) * F.pow(F.lit(256.0), 5 - n).cast("long") + last.cast("long")
+        return F.when(F.coalesce(fine, F.lit(False)), whole).otherwise(F.lit(-1).cast("long"))
+
+    return F.when(F.element_at(parts, -1).rlike("^([0-9]+|0x[0-9a-f]*)$"), _let(F.transform(parts, value), of))
+
+
+def _ipv6(host: Column) -> Column:
+    """The eight groups of an address, null for one that is none."""
+    tail = F.regexp_extract(host, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+    plain = F.when(tail == "", host).otherwise(
+        _let(_ipv4(tail), lambda n: F.concat(F.substring(host, F.lit(1), F.length(host) - F.length(tail)), F.lower(F.hex(F.floor(n / 65536))), F.lit(":"), F.lower(F.hex(n % 65536))))
+    )
+
+    def groups(text: Column) -> Column:
+        sides = F.transform(F.split(text, "::"), lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":")))
+
+        def filled(s: Column) -> Column:
+            known = F.aggregate(s, F.lit(0), lambda acc, x: acc + F.size(x))
+            whole = F.when(F.size(s) == 1, s[0]).when((F.size(s) == 2) & (known < 8), F.concat(s[0], F.array_repeat(F.lit("0"), 8 - known), s[1]))
+            return F.when((F.size(whole) == 8) & ~F.exists(whole, lambda g: ~g.rlike("^[0-9a-f]{1,4}$")), F.transform(whole, lambda g: F.conv(g, 16, 10).cast("int")))
+
+        return _let(sides, filled)
+
+    return F.when(host.contains(":"), _let(plain, groups))
+
+
 def url_verdict(url: Column, production: bool = True, allow_private: bool = False, allowed_hosts: tuple[str, ...] = ()) -> Column:
-    """ok, or why a target is refused, from the URL alone (names are not resolved)."""
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1), r"[\[\]]", ""))
-    metadata = host.rlike(r"^(169\.254\.|metadata(\.|$)|metadata\.google\.internal$|100\.100\.100\.200$|fd00:ec2::254$)")
-    private = host.rlike(r"^(localhost$|127\.|0\.0\.0\.0$|10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|::1$|f[cd][0-9a-f]{2}:|fe80:)") | host.endswith(".localhost")
-    out = F.when(~scheme.isin("http", "https") | (host == ""), "scheme").when(metadata, "metadata")
-    if allowed_hosts:
-        out = out.when(~host.isin(*allowed_hosts), "not allowed")
-    if production and not allow_private:
-        out = out.when(private, "private")
-    return out.otherwise("ok")
+    """ok, or why a target is refused, from the URL alone (names are not resolved).
+
+    Hosts are read as browsers read them: user names and ports aside, percent-decoded, and addresses in any notation
+    (decimal, octal, hexadecimal, shortened, IPv4 inside IPv6) judged by their number.  Metadata endpoints are refused
+    everywhere; private ones in production, unless they are listed as allowed.
+    """
+    clean = F.regexp_replace(F.trim(url), "[\\t\\r\\n]", "")
+    scheme = F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    authority = F.regexp_extract(clean, r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]*([^/\\?#]*)", 1)
+    place = F.lower(F.try_url_decode(F.replace(F.regexp_replace(authority, "^.*@", ""), F.lit("+"), F.lit("%2B"))))
+
+    def judge(x: Column) -> Column:
+        host, port, v4, v6 = x["host"], x["port"], x["v4"], x["v6"]
+        inner = F.when(F.forall(F.slice(v6, 1, 5), lambda g: g == 0) & v6[5].isin(0, 0xFFFF), v6[6].cast("long") * 65536 + v6[7])
+        n = F.coalesce(v4, inner)
+        name = host.rlike(r"^(instance-data(\..*)?|.*\.instance-data|(.*\.)?metadata\.google\.internal)$")
+        metadata = F.coalesce(F.shiftright(n, 16) == (169 << 8 | 254), F.lit(False)) | F.coalesce(v6[0].bitwiseAND(F.lit(0xFFC0)) == 0xFE80, F.lit(False))
+        top = F.shiftright(n, 24)
+        private = top.isin(0, 10, 127) | (F.shiftright(n, 20) == (172 << 4 | 1)) | (F.shiftright(n, 16) == (192 << 8 | 168))
+        private = F.coalesce(private, F.lit(False)) | F.coalesce(v6[0].bitwiseAND(F.lit(0xFE00)) == 0xFC00, F.lit(False)) | (host == "localhost") | host.endswith(".localhost")
+        broken = (host == "") | (v4 == -1) | (host.contains(":") & v6.isNull())
+        out = F.when(~scheme.isin("http", "https") | F.coalesce(broken, F.lit(True) & host.isNull()), "scheme").when(name, "metadata")
+        listed = F.lit(False)
+        if allowed_hosts:
+            items = [h.strip().strip("[]").lower() for h in allowed_hosts]
+            dotted = F.concat_ws(".", *[F.shiftright(v4, k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0)])
+            host = F.when(v4 >= 0, dotted).otherwise(host)
+            listed = host.isin(*items) | F.when(port != "", F.concat_ws(":", host, port).isin(*items)).otherwise(F.lit(False))
+            out = out.when(~listed, "not allowed")
+        out = out.when(metadata, "metadata")
+        if production and not allow_private:
+            out = out.when(private & ~listed, "private")
+        return out.otherwise("ok")
+
+    host = F.regexp_replace(F.regexp_replace(place, r":[0-9]*$", ""), r"[\[\]]", "")
+    host = F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)\]", 1)).otherwise(host)
+    parts = _let(F.coalesce(host, F.lit("")), lambda h: F.struct(h.alias("host"), F.regexp_extract(place, r":([0-9]+)$", 1).alias("port"), F.when(~h.contains(":"), _ipv4(h)).alias("v4"), _ipv6(h).alias("v6")))
+    return _let(parts, judge)
 
 
 def chat_texts(body: Column) -> Column:
@@ -149,11 +225,16 @@ def merge_token_maps(left: Column, right: Column) -> Column:
 
 
 def restore(text: Column, tokens: Column) -> Column:
-    """Placeholders back to their values, in one pass (values are not looked at again)."""
-    gaps = F.split(text, r"\[[A-Z_]+_\d+\]", -1)
-    marks = F.regexp_extract_all(text, F.lit(r"\[[A-Z_]+_\d+\]"), 0)
-    back = F.transform(marks, lambda m: F.coalesce(tokens[m], m))
-    return F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), back.alias("m")), lambda x: F.array(x["g"], F.coalesce(x["m"], F.lit(""))))), "")
+    """Every key of tokens back to its value in one pass, the longest of those that start first (values are not looked at again)."""
+    keys = F.array_sort(F.filter(F.map_keys(tokens), lambda k: k != ""), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    quoted = F.transform(keys, lambda k: F.concat(F.lit(r"\Q"), F.replace(k, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+
+    def put(pattern: Column) -> Column:
+        gaps, marks = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+        back = F.transform(marks, lambda m: tokens[m])
+        return F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), back.alias("m")), lambda x: F.array(x["g"], F.coalesce(x["m"], F.lit(""))))), "")
+
+    return F.when(F.coalesce(F.size(keys), F.lit(0)) > 0, _let(F.array_join(quoted, "|"), put)).otherwise(text)
 
 
 def blank_image(data: Column) -> Column:

@@ -26,25 +26,28 @@ def segment_of(seq: Column, size: int = SEGMENT) -> Column:
 
 
 def message(prev: Column, ts: Column, user: Column, blocked: Column, redactions: Column, payload_hash: Column) -> Column:
-    """A canonical encoding: every field with its length."""
-    parts = [prev, ts.cast("binary"), user.cast("binary"), F.when(blocked, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), redactions.cast("binary"), payload_hash]
-    return F.concat(*[framed(p) for p in parts])
+    """A canonical encoding: every field with its length; a null is a length that no value has."""
+    flag = F.when(blocked, F.unhex(F.lit("01"))).when(~blocked, F.unhex(F.lit("00")))
+    parts = [prev, ts.cast("binary"), user.cast("binary"), flag, redactions.cast("binary"), payload_hash]
+    return F.concat(*[F.coalesce(framed(p), F.unhex(F.lit("FFFFFFFF"))) for p in parts])
 
 
 def append(events: DataFrame, chain: str, order: str, key: bytes, pepper: bytes, segment: int = SEGMENT, sealed: bool = True) -> DataFrame:
     """events (chain, order, ts string, username, is_blocked, redactions_json, raw) to ledger rows.
 
     The payload is sealed for hex(previous MAC) and user, so rows cannot change places; unsealed rows keep a digest only.
+    Fields may be null (a null payload has no digest); a row without a chain is refused.
     """
     w = Window.partitionBy(chain).orderBy(order)
-    rows = events.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("segment", segment_of(F.col("seq"), segment))
+    owned = F.coalesce(F.col(chain), F.raise_error(F.lit("a ledger row needs a chain")).cast(events.schema[chain].dataType))
+    rows = events.withColumn(chain, owned).withColumn("seq", F.row_number().over(w).cast("long")).withColumn("segment", segment_of(F.col("seq"), segment))
     item = F.struct("seq", "ts", "username", "is_blocked", "redactions_json", "raw")
     groups = rows.groupBy(F.col(chain).alias("chain"), "segment").agg(F.sort_array(F.collect_list(item)).alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
         prev = acc["hash"]
         if sealed:
-            owner = F.concat(F.lower(F.hex(prev)), x["username"])
+            owner = F.concat(F.lower(F.hex(prev)), F.coalesce(x["username"], F.lit("")))
             data = F.aes_encrypt(x["raw"].cast("binary"), derive_key(pepper, bound_info(INFO, owner)), F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.lit("")), owner.cast("binary"))
         else:
             data = x["raw"].cast("binary")
@@ -76,9 +79,9 @@ def verify(ledger: DataFrame, key: bytes, segment: int = SEGMENT, skip_purged: b
     prev = F.when(first, genesis(F.col("chain"), F.col("segment"))).otherwise(F.unhex(F.lag("integrity_hash").over(w)))
     before = F.lag("seq").over(w)
     mac = hmac_sha256(key, message(prev, F.col("ts"), F.col("username"), F.col("is_blocked"), F.col("redactions_json"), F.unhex("payload_hash")))
-    right = F.lower(F.hex(mac)) == F.col("integrity_hash")
+    right = (F.lower(F.hex(mac)) == F.col("integrity_hash")) & (F.col("payload_hash").isNull() | F.unhex("payload_hash").isNotNull())
     payload = F.col("encrypted_data").isNull() | (F.sha2("encrypted_data", 256) == F.col("payload_hash"))
-    purged = (F.col("username") == PURGED) | F.col("username").startswith("GDPR_")
+    purged = F.coalesce((F.col("username") == PURGED) | F.col("username").startswith("GDPR_"), F.lit(False))
     verdict = F.when(~first & (F.coalesce(before, F.lit(-1)) != F.col("seq") - 1), "gap")
     if skip_purged:
         verdict = verdict.when(purged, "purged")
@@ -87,7 +90,7 @@ def verify(ledger: DataFrame, key: bytes, segment: int = SEGMENT, skip_purged: b
 
 
 def open_payload(row_prev: Column, user: Column, data: Column, pepper: bytes) -> Column:
-    owner = F.concat(F.lower(F.hex(row_prev)), user)
+    owner = F.concat(F.lower(F.hex(row_prev)), F.coalesce(user, F.lit("")))
     return F.try_aes_decrypt(data, derive_key(pepper, bound_info(INFO, owner)), F.lit("GCM"), F.lit("DEFAULT"), owner.cast("binary")).cast("string")
 
 
