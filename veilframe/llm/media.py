@@ -130,7 +130,8 @@ def _zip(data: bytes, at: int) -> int:
     if end < 0 or end + 22 > len(data):
         return 0
     size, offset, note = struct.unpack_from("<IIH", data, end + 12)
-    return end + 22 + note - at if at + offset + size == end and data[end - size : end - size + 4] == b"PK\x01\x02" else 0
+    whole = end + 22 + note <= len(data) and at + offset + size == end
+    return end + 22 + note - at if whole and data[end - size : end - size + 4] == b"PK\x01\x02" else 0
 
 
 #: The formats' published magic bytes.
