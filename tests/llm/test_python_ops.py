@@ -211,6 +211,15 @@ def small_corpus(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), rows
 
 
+def unigrams(c):
+    """P(b) from plain counts: discounted, the rest shared by the slots of unknown words."""
+    n, d = sum(c.values()), katz.discounts(collections.Counter(c.values()))
+    kept = lambda k: k * (d[k] if k < len(d) else 1.0)
+    share = sum(map(kept, c.values())) / n
+    s = (1 - 1 / (n + 1)) / share if 1 - share < 1 / (n + 1) else 1.0
+    return lambda b: s * kept(c[b]) / n if c[b] else (1 - s * share) / katz.CLASSES
+
+
 def test_lm_base_columns_and_direct_scores(spark):
     from pyspark.sql import functions as F
 
@@ -232,8 +241,8 @@ def test_lm_base_columns_and_direct_scores(spark):
     # the same probabilities, evaluated one token at a time from plain counts
     pairs = collections.Counter((a, b) for i, ws in toks.items() if not held[i] for a, b in zip(["^", *ws], ws))
     d = katz.discounts(collections.Counter(pairs.values()))
-    units = [*c, *(("class", k) for k in range(katz.CLASSES))]
-    p1 = lambda b: (c[b] + 0.1) / (n + 0.1 * len(units))
+    p1 = unigrams(c)
+    assert math.isclose(sum(map(p1, c)) + katz.CLASSES * p1("never"), 1.0, rel_tol=1e-9)
     total, kept, seen = collections.Counter(), collections.Counter(), collections.defaultdict(float)
     for (a, b), r in pairs.items():
         total[a] += r
@@ -282,28 +291,29 @@ def test_lm_rare_words_stay_units_of_their_own(spark, monkeypatch):
     rows = [*rows, (-1, "w3 zz w4 w39 w38")]
     monkeypatch.setattr(katz, "UNITS", 12)
     monkeypatch.setattr(katz, "PAIRS", 40)
-    monkeypatch.setattr(katz, "COUNT_BUCKET", 700, raising=False)
+    monkeypatch.setattr(katz, "BUCKET", 700)
     trained = katz.train(docs.filter("NOT held_out"))
-    got = {r.doc_id: r for r in katz.score(docs, trained, 900).collect()}
+    assert trained[3] > 3
+    got = {r.doc_id: r for r in katz.score(docs, trained).collect()}
     toks = {i: plain.words(plain.lower(t)) + [None] for i, t in rows}
     train = [i for i in toks if not got[i].held_out]
     c = collections.Counter(w for i in train for w in toks[i])
     assert sum(12 * k < sum(c.values()) for k in c.values()) > 20  # most words are below the cache's count
     pairs = collections.Counter((a, b) for i in train for a, b in zip(["^", *toks[i]], toks[i]))
     d = katz.discounts(collections.Counter(pairs.values()))
-    norm = sum(c.values()) + 0.1 * (len(c) + katz.CLASSES)
+    p1 = unigrams(c)
     after = collections.defaultdict(dict)
     for (a, b), r in pairs.items():
         after[a][b] = r
 
     def prob(a, b):
         if not after.get(a):
-            return (c[b] + 0.1) / norm
+            return p1(b)
         total, kept = sum(after[a].values()), sum(r * (d[r] if r < len(d) else 1.0) for r in after[a].values())
         s = max(1 - 1 / (total + 1), 0) / (kept / total) if 1 - kept / total < 1 / (total + 1) else 1.0
         if (r := pairs[a, b]):
             return s * (d[r] if r < len(d) else 1.0) * r / total
-        return (1 - s * kept / total) / (1 - sum((c[x] + 0.1) / norm for x in after[a])) * (c[b] + 0.1) / norm
+        return (1 - s * kept / total) / (1 - sum(map(p1, after[a]))) * p1(b)
 
     for i, ws in toks.items():
         assert math.isclose(got[i].score, sum(math.log10(prob(a, b)) for a, b in zip(["^", *ws], ws)), rel_tol=1e-9)
