@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -15,6 +16,9 @@ WS_CLASS = r"[ \x09-\x0D]+"
 NON_WS = r"[^ \x09-\x0D]"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,13 +38,32 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/veilframe/{tag}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Executions in here leave no shuffle files behind: what they write to the shared folder takes their place."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    expire(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def expire(spark: SparkSession, path: str) -> None:
+    """The table at path goes when the application ends, since frames that were returned may still read it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that no returned DataFrame reads any more."""
     jvm = spark.sparkContext._jvm
@@ -48,7 +71,7 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-__all__ = ["NON_WS", "WS_CLASS", "fingerprint", "let", "materialize", "remove", "salted_join", "scratch", "shared_dir", "ship", "table", "words"]
+__all__ = ["NON_WS", "WS_CLASS", "expire", "fingerprint", "kept_lines", "let", "materialize", "remove", "salted_join", "scratch", "shared_dir", "ship", "shuffles_removed", "table", "words"]
 
 
 def let(value: Column, body) -> Column:
@@ -70,6 +93,16 @@ def fingerprint(*cols: Column) -> list[Column]:
 SALTS = 16
 
 
+def kept_lines(text: Column, removed: Column) -> Column:
+    """The text without the lines whose numbers are in removed."""
+
+    def rest(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+        return F.array_join(F.transform(stay, lambda i: lines[i]), "\n")
+
+    return let(F.split(text, "\n"), rest)
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
     """big joined with small, whose keys are unique, so that a key with a third of all rows fills no single task."""
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
