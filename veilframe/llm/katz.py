@@ -22,7 +22,7 @@ Training
        join the cache.
 Scoring
     1. each chunk of the texts sends its distinct pairs with the documents they stand in to the bucket of the first word
-       (pairs of a frequent first word are dealt by the pair), where the table's parts of that bucket wait; pairs found
+       (of a frequent first word: of the second, or of the pair), where the table's parts of that bucket wait; pairs found
        there are done, the others take alpha(a), and P(b) from the cache where b is frequent;
     2. rare words after which neither holds go on, as rows, to a join with the table of words;
     3. sums come back to the chunk, in an order that does not depend on who came first.
@@ -38,9 +38,7 @@ same probability; an empty table gives no rows; other columns are not looked at,
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,7 +50,7 @@ from veilframe.llm.util import materialize, ship, table
 FOLDS = 10
 ADD = 0.1
 #: Bounds of what is broadcast, whatever the corpus.
-UNITS = 1 << 18
+UNITS = 1 << 20
 PAIRS = 1 << 18
 #: Slots of the words that training has not.
 CLASSES = 1 << 16
@@ -61,6 +59,8 @@ GOOD_TURING = 5
 #: Tokens looked at together, and tokens of a bucket.
 CHUNK = 1 << 20
 BUCKET = 3_000_000
+#: Pairs of a part of the table.
+PART = 200_000
 #: Bytes of text hashed together.
 FLUSH = 3 << 20
 #: Codes from here on are hashes of rare words; the begin of a text has the place after the frequent words.
@@ -100,13 +100,17 @@ def _mix_pair(a, b):
     return K.mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
 
 
-def _bucket(first, second, n: int):
-    """Where a pair goes: by first where that is rare, else by the pair."""
+def _bucket(a, b, n: int, by_second: bool = False):
+    """Where a pair goes: by its first word (or its second), by the other one where that is frequent, by the pair where
+    both are.  Pairs with one rare word are thus in the same bucket either way."""
     import numpy as np
 
     from veilframe.llm import kernel as K
 
-    keys = np.where(first >= np.uint64(RARE), K.mix(first), _mix_pair(first, second))
+    keys = _mix_pair(a, b)
+    for word in (a, b) if by_second else (b, a):
+        rare = word >= np.uint64(RARE)
+        keys[rare] = K.mix(word[rare])
     return (keys % np.uint64(n)).astype(np.int64)
 
 
@@ -247,7 +251,7 @@ def _count_pairs(shared, n_buckets: int):
                 firsts = _firsts(pairs)
                 c = np.diff(np.append(firsts, len(pairs))).astype(np.uint32)
                 a, b = codes[pairs[firsts] >> 32], codes[pairs[firsts] & 0xFFFFFFFF]
-                for k, i in _pieces(_bucket(b, a, n_buckets), n_buckets):
+                for k, i in _pieces(_bucket(a, b, n_buckets, True), n_buckets):
                     yield _batch([(k, len(i), _pack(codec, a[i], b[i], c[i]))], _COUNTED)
 
     return run
@@ -297,7 +301,7 @@ def _sum_pairs(shared, n_buckets: int):
             cb[~rare] = cache.counts[b[~rare].astype(np.int64)]
             _, of = np.unique(b[rare], return_inverse=True)
             cb[rare] = np.bincount(of, c[rare]).astype(np.int64)[of]  # exact: counts are far below 2**53
-            for k, i in _pieces(_bucket(a, b, n_buckets), n_buckets):
+            for k, i in ((k, part) for k, i in _pieces(_bucket(a, b, n_buckets), n_buckets) for part in np.split(i, range(PART, len(i), PART))):
                 few = np.bincount(np.minimum(c[i], GOOD_TURING + 2), minlength=GOOD_TURING + 3)[1 : GOOD_TURING + 2]
                 yield _batch([(k, len(i), _pack(codec, a[i], b[i], c[i], cb[i]), *few.tolist())], _TABLE)
 
@@ -403,14 +407,6 @@ class Katz:
         self.hot_value = (self.log_share[hot_a] + np.log10(rates.kept(rates.d2, hot_c)))[order]
 
 
-def _release(spark) -> None:
-    """Shuffle files that no frame needs any more go once both collectors have run; Python tells the JVM of its frames
-    from a thread of its own, which a second is given to."""
-    gc.collect()
-    time.sleep(1)
-    spark.sparkContext._jvm.System.gc()
-
-
 def _by_bucket(df: DataFrame, *then: str) -> DataFrame:
     """Rows of a bucket one after the other in one task, which streams them."""
     return df.repartition("bucket").sortWithinPartitions("bucket", *then)
@@ -427,14 +423,11 @@ def train(docs: DataFrame):
     few = {r["c"]: r["n"] for r in words.filter(F.col("c") <= GOOD_TURING + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
     d1 = discounts(few)
     top = words.filter(F.col("c") * UNITS >= n).toPandas()  # at most UNITS rows
-    _release(spark)
     cache = Cache(top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), n, v)
     shared = sc.broadcast(cache)
     n_buckets = max(1, math.ceil(n / BUCKET))
     counted = _by_bucket(docs.select("text").mapInArrow(_count_pairs(shared, n_buckets), _COUNTED))
     pairs, _ = materialize(counted.mapInArrow(_sum_pairs(shared, n_buckets), _TABLE), "pairs")
-    del counted
-    _release(spark)
     seen = pairs.agg(*[F.coalesce(F.sum(f"r{r}"), F.lit(0)) for r in range(1, GOOD_TURING + 2)]).first()
     rates = Rates(d1, discounts(dict(enumerate(seen, 1))), n, n - sum((1 - d1[r]) * r * few.get(r, 0) for r in range(1, GOOD_TURING + 1)))
     sums = pairs.select("n", "body").mapInArrow(_contexts(shared, rates), _SUMMED).groupBy("hot", "a", "b").agg(*[F.sum(x).alias(x) for x in "cxy"]).toPandas()  # at most UNITS + PAIRS + 1 rows
@@ -619,8 +612,6 @@ def score(docs: DataFrame, trained) -> DataFrame:
     parts = pairs.select("bucket", F.lit(_TABLE_PART).alias("kind"), F.lit(0).cast("long").alias("chunk"), "n", F.lit(0).alias("m"), "body")
     messages = _by_bucket(docs.mapInArrow(_ask(shared, n_buckets), _MESSAGE).union(parts), "kind")
     answers, _ = materialize(messages.mapInArrow(_meet(shared), _ANSWER), "answers")
-    del messages
-    _release(spark)
     # codes of rare words are their hashes with the first bit set
     by_code = words.select(F.col("word").bitwiseOR(F.lit(-(1 << 63))).alias("word"), "c").groupBy("word").agg(F.sum("c").alias("c"))
     looked = answers.filter("kind = 3").select("word", "chunk", "doc", "k").join(by_code, "word", "left").groupBy("chunk", "doc", "c").agg(F.sum("k").alias("k"))
