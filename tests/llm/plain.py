@@ -24,7 +24,7 @@ def base_stats(text):
 
 def line_runs(docs, min_words):
     """docs: texts in order; for each, the numbers of the lines that later copies of repeated runs make up."""
-    seqs = [[(i, x.strip(" ")) for i, x in enumerate((t or "").split("\n")) if WORD.search(x)] for t in docs]
+    seqs = [[(i, x.strip(" \t\n\x0b\x0c\r")) for i, x in enumerate((t or "").split("\n")) if WORD.search(x)] for t in docs]
     at = collections.defaultdict(list)
     out = []
     for d, seq in enumerate(seqs):

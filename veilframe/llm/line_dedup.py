@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.llm.util import NON_WS, fingerprint, materialize, remove, salted_join, table, words
+from veilframe.llm.util import NON_WS, fingerprint, kept_lines, materialize, remove, salted_join, table, words
 
 MIN_WORDS = 20
+#: White space: the space and the ASCII controls from tab to carriage return.
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -42,7 +44,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def line_table(docs: DataFrame, bits: int) -> DataFrame:
     """Every non-blank line: pos (row and number among them), idx (number in the text), its 128-bit id, its words."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("idx"), F.trim(x).alias("line")))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("idx"), F.btrim(x, F.lit(WHITE)).alias("line")))
     rows = docs.select("row", F.posexplode(F.filter(lines, lambda x: x["line"].rlike(NON_WS))).alias("s", "x"))
     h1, h2 = fingerprint(F.col("x.line"))
     return rows.select((F.shiftleft("row", bits) + F.col("s")).alias("pos"), F.col("x.idx").alias("idx"), h1.alias("h1"), h2.alias("h2"), F.size(words(F.col("x.line"))).alias("w"))
@@ -133,7 +135,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows, bits = numbered(docs.select("doc_id", "text", F.struct("*").alias("doc")))
     gone = repeated_lines(rows.select("row", "text"), bits, min_words).groupBy("row").agg(F.collect_list("idx").alias("idx"), F.count("*").alias("n"), F.sum("w").alias("words"))
     joined = rows.join(gone, "row", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("idx"), i)), "\n")
+    kept = kept_lines(F.col("text"), F.col("idx"))
     text = F.when(F.col("idx").isNull(), F.col("text")).otherwise(kept)
     emptied = F.col("idx").isNotNull() & ~F.coalesce(kept, F.lit("")).rlike(NON_WS)
     zero = F.lit(0).cast("long")
