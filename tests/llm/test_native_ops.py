@@ -45,6 +45,7 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
     assert got[0].kept and got[0].removed_words == 3 and got[100].removed_words == 0 and got[300].kept and got[300].removed_words == 0
     assert not got[200].kept and got[200].removed_words == 27
+    assert not {r.doc_id: r.kept for r in quality_rules.judge(df, copies=True).collect()}[300]
     kept = {r.doc_id: r.text for r in quality_rules.stage(spark, df, "").collect()}
     assert kept[0] == body(0, 30) and kept[100].startswith("Menu") and 200 not in kept and len(kept) == 75
 
@@ -65,6 +66,13 @@ def test_runs_against_brute_force(spark, seed):
         assert {r.doc_id: r.text for r in line_dedup.dedup(df, least).collect()} == want
 
 
+def test_white_space_at_the_ends_of_lines_is_ignored(spark):
+    line = " ".join(f"w{i}" for i in range(25))
+    rows = [(0, f"{line}\nx"), (1, f"a\r\n\t{line}\r\nb"), (2, f"\x0b {line}\x0c \t")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: rows[0][1], 1: "a\r\nb", 2: ""}
+
+
 def test_runs_on_documents(docs):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     want = {i: len(g) for (i, _), g in zip(rows, plain.line_runs([t for _, t in rows], line_dedup.MIN_WORDS))}

@@ -1,12 +1,14 @@
 """Quality rules: base statistics of each text and cross-document line frequency within a host.
 
 Lines are normalised (lower case, white space collapsed) and hashed.  For each host, the number of distinct documents
-that hold a line is counted; exact copies of a text count once, so that a page stored a thousand times is not taken for
-boilerplate.  A line is above its limit when more than ``max(min_docs, max_share * documents of the host)`` documents
+that hold a line is counted; exact copies of a text are one document, so that a page stored a thousand times is not
+taken for boilerplate (``copies=True`` counts every row).  A line is above its limit when more than ``max(min_docs, max_share * documents of the host)`` documents
 hold it.  Such lines are removed, and a document is rejected (depleted) when less than ``min_left`` of its words remain.
 
 Defined cases: null text is empty text; a null host is a host of its own; empty texts fail the base rule (fewer than
-20 words); repeated rows and repeated ids each give a row; other columns of the input are not looked at.
+20 words); a very long text is a row like any other, its lines each a row; a count at its limit is not above it; repeated
+rows and repeated ids each give a row; an empty table gives no rows; other columns of the input are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.util import NON_WS, fingerprint, let, materialize, words
+from veilframe.llm.util import NON_WS, fingerprint, kept_lines, let, materialize, salted_join, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -80,26 +82,27 @@ def line_table(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("source").alias("host"), *[c.alias(n) for c, n in zip(fingerprint(text), ("f1", "f2"))], F.posexplode(F.split(text, "\n")).alias("idx", "line"))
     rows = rows.filter(F.col("line").rlike(NON_WS)).select("host", "f1", "f2", "idx", F.xxhash64(normalised(F.col("line"))).alias("h"), F.size(words(F.col("line"))).alias("w"))
-    return rows.groupBy("host", "f1", "f2", "idx").agg(F.first("h").alias("h"), F.first("w").alias("w"))
+    return rows.groupBy("host", "f1", "f2", "idx").agg(F.first("h").alias("h"), F.first("w").alias("w"), F.count("*").alias("rows"))
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, copies: bool = False) -> DataFrame:
     """The lines above the limit of their host: host, h."""
+    one = (F.first("rows") if copies else F.lit(1)).alias("one")
     lines = lines.withColumn("host", F.struct("host"))  # a struct equals itself even where the host is null
-    per_host = lines.groupBy("host", "f1", "f2").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n_docs"))
-    per_line = lines.groupBy("host", "h", "f1", "f2").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
+    per_host = lines.groupBy("host", "f1", "f2").agg(one).groupBy("host").agg(F.sum("one").alias("n_docs"))
+    per_line = lines.groupBy("host", "h", "f1", "f2").agg(one).groupBy("host", "h").agg(F.sum("one").alias("n")).filter(F.col("n") > min_docs)
     return per_line.join(per_host, "host").filter(F.col("n") > F.greatest(F.lit(float(min_docs)), F.col("n_docs") * max_share)).select("host", "h")
 
 
-def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, copies: bool = False) -> DataFrame:
     """For each host and text that loses lines: host (struct), f1, f2, removed_words, removed (line numbers)."""
     lines, _ = materialize(line_table(docs), "lines")
-    above = frequent_lines(lines, min_docs, max_share)
-    hit = lines.withColumn("host", F.struct("host")).join(above, ["host", "h"])
+    above = frequent_lines(lines, min_docs, max_share, copies)
+    hit = salted_join(lines.withColumn("host", F.struct("host")), above, ["host", "h"], F.col("f1"))
     return hit.groupBy("host", "f1", "f2").agg(F.sum("w").alias("removed_words"), F.collect_list("idx").alias("removed"))
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, with_text: bool = False) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, with_text: bool = False, copies: bool = False) -> DataFrame:
     """A row for each row of docs: doc_id, the base statistics, base_failed, kept and removed_words.
 
     with_text also carries the input row (``doc``) and its text without the removed lines (``clean_text``).
@@ -107,9 +110,10 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
     text = F.coalesce(F.col("text"), F.lit(""))
     f1, f2 = fingerprint(text)
     stats = docs.select("doc_id", F.struct(F.col("source").alias("host")).alias("host"), f1.alias("f1"), f2.alias("f2"), base_stats(text).alias("s"), *([F.struct("*").alias("doc")] if with_text else []))
-    found = removed_lines(docs, min_docs, max_share)
+    found = removed_lines(docs, min_docs, max_share, copies)
     if not with_text:
         found = found.drop("removed")
+    # a text with very many copies makes a skewed partition, which adaptive execution splits
     out = stats.join(found, ["host", "f1", "f2"], "left")
     n, again = F.col("s.n_words"), F.col("s.n_repeat_words")
     gone = F.coalesce(F.col("removed_words"), F.lit(0)).cast("long")
@@ -117,8 +121,7 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
     cols = ["doc_id", *[F.col(f"s.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]]
     cols += [failed.alias("base_failed"), (~failed & ((n - gone) >= min_left * n)).alias("kept"), gone.alias("removed_words")]
     if with_text:
-        kept = F.filter(F.split(F.coalesce(F.col("doc.text"), F.lit("")), "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i))
-        cols += ["doc", F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n")).alias("clean_text")]
+        cols += ["doc", F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(kept_lines(F.col("doc.text"), F.col("removed"))).alias("clean_text")]
     return out.select(*cols)
 
 
