@@ -10,8 +10,8 @@ more), ``hex`` (24 or more), and beyond these base kinds ``jwt`` (three base64ur
 opening line) and ``vendor`` (tokens with a well-known prefix).  Matches of a kind are leftmost and do not overlap;
 failing ones (too short) are dropped after matching, so they still use up their characters.
 
-Defined cases: null text is empty text and has no spans; equal texts share one scan; empty tables give empty results;
-ties in start are ordered by kind as listed; positions are code points, the end is exclusive.
+Defined cases: null text is empty text and has no spans; equal texts share one scan; a very long text is scanned whole;
+empty tables give empty results; other columns are not looked at, whatever their names; ties in start are ordered by kind as listed; positions are code points, the end is exclusive.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.util import let, remove, scratch, table
+from veilframe.llm.util import expire, let, remove, salted_join, scratch, table
 
 #: Fixed by the contract: (kind, pattern, least length, group that the length is of).
 BASE = (
@@ -119,10 +119,13 @@ def scan_documents(docs: DataFrame, ledger_path: str | None = None, whole: bool
     """A row for each row of docs: doc_id and ``found``, the spans of its text by the ledger at ledger_path (or a new
     one); with ``whole`` also ``doc``, the row as a struct."""
     spark = docs.sparkSession
-    ledger = Ledger(spark, ledger_path or scratch(spark, "ledger"))
+    path = ledger_path or scratch(spark, "ledger")
+    ledger = Ledger(spark, path)
     ledger.scan(docs.select("text"))
+    if ledger_path is None:
+        expire(spark, path)
     paths = docs.select("doc_id", *([F.struct("*").alias("doc")] if whole else []), blob_id(F.col("text")).alias("blob"))
-    joined = paths.join(ledger.findings_of(), "blob", "left").drop("blob")
+    joined = salted_join(paths, ledger.findings_of(), ["blob"], F.col("doc_id"), "left").drop("blob")  # copies of one blob may be many
     return joined.withColumn("found", F.coalesce("found", F.array().cast(SPAN)))
 
 
