@@ -16,7 +16,8 @@ lower-cased A-Z) is at least 0.8.  Texts with equal sets are copies; one of them
 The chance that a pair at the threshold shares no bucket is (1 - 0.8^4)^24 = 3e-6, and less for closer pairs.
 
 Defined cases: null text is empty text; a text of fewer than five words has one shingle, all its words; texts without
-words have no links and are classes of their own; a text's row counts its copies (other rows with the same set) and the
+words have no links and are classes of their own; a very long text makes its block smaller; a pair at exactly 0.8 is
+linked; other columns are not looked at, whatever their names; an empty table gives no rows; a text's row counts its copies (other rows with the same set) and the
 rows linked to it as ``n_links``; null and repeated ids are kept, and the class id is the least row id of the class.
 """
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.util import materialize, remove, ship, table
+from veilframe.llm.util import materialize, remove, salted_join, ship, table
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -277,12 +278,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     sets, _ = materialize(some.groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "sets")
     placed = some.join(sets.select("rep"), some["row"] == sets["rep"], "left_semi").select(F.col("row").alias("rep"), F.explode("bands").alias("band"))
     buckets = placed.groupBy("band").agg(F.count("*").alias("m"), F.min("rep").alias("first")).filter("m > 1").select("band", "first")
-    edges = placed.join(buckets, "band").filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    edges = salted_join(placed, buckets, ["band"], F.col("rep")).filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
     near, _ = materialize(components(edges, "near"), "near")
 
     members = near.withColumnRenamed("node", "rep").join(sets.select("rep", "copies", "n"), "rep")
     sizes = members.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (block * 2000))).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = salted_join(members, sizes, ["label"], F.col("rep")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     with_text = dealt.join(docs.select(F.col("row").alias("rep"), "text"), "rep")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = with_text.select("label", "rep", "copies", "text", "block", other).select("label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "rep", "copies", "text", "block")
@@ -293,6 +294,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     of_set = sets.join(linked, "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     of_set = of_set.select("f1", "f2", F.coalesce("label", "rep").alias("class_row"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
     alone = signed.filter("n = 0").select("row", F.col("row").alias("class_row"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("texts"))
+    # a set with very many copies makes a skewed partition of narrow rows, which adaptive execution splits
     return some.select("row", "f1", "f2").join(of_set, ["f1", "f2"]).drop("f1", "f2").unionByName(alone)
 
 
