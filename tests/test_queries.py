@@ -14,15 +14,6 @@ def test_other_queries_run(spark, sf_dir, name):
     assert q.queries()[name](spark, sf_dir).count() >= 0
 
 
-def test_accented_rule_against_python(spark, sf_dir):
-    import re
-
-    rule = q._rule("hipaa", "hipaa_health_plan_id")
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    want = {i: n for i, t in docs.items() if (n := len(re.findall(rule.pattern, t)))}
-    assert {r.doc_id: r.n for r in q.queries()["preset_hipaa_plan"](spark, sf_dir).collect()} == want
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 
@@ -30,11 +21,7 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_whole_pages_are_blanked(spark, sf_dir, monkeypatch):
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    assert any(len(x) > 2000 for x in pages.values())
-    assert {r.page_id: r.n for r in q.queries()["image_redaction_whole"](spark, sf_dir).collect()} == {i: len(x.encode()) for i, x in pages.items()}
-    # a redaction that lets through what is beyond 2000 characters is seen
-    monkeypatch.setattr(q.T, "blank_image", lambda data: q.F.concat(q.F.unhex(q.F.repeat(q.F.lit("00"), 2000)), q.F.substring(data, 2001, 1 << 30)))
-    long = {i for i, x in pages.items() if len(x.encode()) > 2000}
-    assert long <= {r.page_id for r in q.queries()["image_redaction"](spark, sf_dir).filter("dirty").collect()}
+def test_planted_texts_hold_a_match_of_every_rule(spark, sf_dir):
+    for name in q.PLANTED:
+        got = {r.rule for r in q.queries()[f"rules_{name}"](spark, sf_dir).filter("doc_id = -1").collect()}
+        assert got == {r.id for r in q.pack(name).of("R")}, name

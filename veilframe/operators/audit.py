@@ -151,3 +151,20 @@ def under_pressure(raw: DataFrame, at: Column, acked: Column, now: Column, free_
     if free_mb < 50:
         raise RuntimeError("less than 50 MB free: no more audit writes")
     return raw.filter(~((at < now - F.expr("INTERVAL 1 HOUR")) & acked)) if free_share < 0.1 else raw
+
+
+def purge_everywhere(user: str, ledger: DataFrame | None = None, documents: DataFrame | None = None, owner: str = "username", **tables: DataFrame) -> dict[str, DataFrame]:
+    """A user's rows leave documents and every other table with a username (jobs, threads, sessions); the ledger keeps its
+    rows without their payload, so that its chain can still be verified."""
+    out = {} if ledger is None else {"ledger": purge(ledger, user)}
+    if documents is not None:
+        out["documents"] = documents.filter(~F.col(owner).eqNullSafe(F.lit(user)))
+    return out | {name: t.filter(~F.col("username").eqNullSafe(F.lit(user))) for name, t in tables.items()}
+
+
+def acknowledge(ledger: DataFrame, acked: DataFrame, column: str = "siem_acked") -> DataFrame:
+    """ledger with a flag: has the remote endpoint confirmed this row?  acked: (chain, seq) of confirmed rows, repeats allowed.
+    A flag once set stays."""
+    old = F.coalesce(F.col(column), F.lit(False)) if column in ledger.columns else F.lit(False)
+    new = acked.select("chain", "seq").distinct().withColumn("_acked", F.lit(True))
+    return ledger.withColumn(column, old).join(new, ["chain", "seq"], "left").withColumn(column, F.col(column) | F.coalesce("_acked", F.lit(False))).drop("_acked")

@@ -10,6 +10,7 @@ from veilframe.sources.words import Words
 
 # Letter classes and affixes of the name patterns.
 CAP = "A-ZΆΈ-ΊΌΎ-ΡΣ-Ω"
+GREEK_CAP = "ΆΈ-ΊΌΎ-ΡΣ-ΩΪΫ"
 LOW = "α-ωά-ώa-z"
 GREEK = "Ά-ώ"
 PARTICLES = "da|de|del|della|der|den|di|du|ter|ten|van|von|ibn|bin|al|el|la|le|des"
@@ -24,15 +25,19 @@ TITLED = re.compile(rf"\b(?:{HONORIFICS})\.?[\s\-']+([{CAP}][{LOW}]{{2,}})\b")
 GREEK_PAIR = re.compile(rf"(?i)\b[a-z{GREEK}]{{3,}}\s+[a-z{GREEK}]{{3,}}(?:{LATIN_SUFFIXES}|omou|ou|{GREEK_SUFFIXES}|ης|ου|ος|ας|α|ων|η)\b")
 PATRONYMIC = re.compile(rf"(?i)\b(?:[a-z]{{3,}}(?:{LATIN_SUFFIXES})|[{GREEK}]{{3,}}(?:{GREEK_SUFFIXES}))\b")
 ARABIC = re.compile("(?i)\\b(?:al-|el-|ibn\\s+|bin\\s+)[a-zء-ي]{3,}\\b")
-GREEK_CHAIN = re.compile(rf"\b[{CAP[3:]}ΪΫ][{GREEK}]+(?:[\s\-']+[{CAP[3:]}ΪΫ][{GREEK}]+)+\b")
+GREEK_CHAIN = re.compile(rf"\b[{GREEK_CAP}][{GREEK}]+(?:[\s\-']+[{GREEK_CAP}][{GREEK}]+)+\b")
 ANCHOR = re.compile(rf"\b(?:{ROLE_PREFIXES})[\s\-']+([{CAP}][{LOW}]{{2,}})\b")
 CAPITALISED = re.compile(rf"\b[{CAP}][{LOW}]{{2,}}\b")
 INFLECTED = re.compile(rf"(?i)\b[{GREEK}]{{3,}}(?:ης|ου|ος|ας|ων|η)\b")
 INTRO = re.compile(
     r"(?i)(?:\b(?:who\s+(?:is|was|are|were)|who's|tell\s+me\s+about|my\s+name\s+is|i\s+am|i'm|contact|(?:my\s+)?(?:friend|colleague|coworker|partner|brother|sister|wife|husband|boss|manager)"
-    r"|(?:email|send|forward)\s+(?:the\s+[\w\s]{1,60}\s+)?(?:directly\s+)?to|email|ping|dm|ask|cc|attn[:.]?|per|patient|client|mr\.?|mrs\.?|ms\.?|dr\.?|directly\s+to)\s+|@)"
+    r"|(?:email|send|forward)\s+(?:the\s+[\w\s]+\s+)?(?:directly\s+)?to|email|ping|dm|ask|cc|attn[:.]?|per|patient|client|mr\.?|mrs\.?|ms\.?|dr\.?|directly\s+to)\s+|@)"
     rf"(['\"]?[a-z{GREEK}]{{2,}}(?:[\s\-']+[a-z{GREEK}]{{2,}}){{0,2}}['\"]?)\b"
 )
+# Words that end a name after an introduction, at the second and at the third word, and particles that do not.
+AFTER_ONE = frozenset("delay delayed complained reported approved rejected urgently immediately called sent said tells asks asked".split())
+AFTER_TWO = frozenset("yesterday today tomorrow now urgently immediately delay delayed complained reported".split())
+NOBILIARY = frozenset("van von de da del della der den di du al el ibn bin la".split())
 _PARTS = re.compile(r"[\s\-']+")
 NOT_NAMES = ("My name", "The client")
 
@@ -129,34 +134,59 @@ def find_names(unicode: str, ascii_: str, heuristics: list[tuple[Rule, re.Patter
     return sorted(out, key=lambda f: (f.start, f.start - f.end))
 
 
+def _never_a_name(word: str, words: Words) -> bool:
+    return word.lower() in words.stopwords or word in words.roles or word in words.tech
+
+
+def _is_action(word: str, known: frozenset, words: Words) -> bool:
+    """A verb or adverb by its ending or from a list, unless it is a surname that looks like one."""
+    low = word.lower()
+    return (low.endswith(("ed", "ly", "ing")) or low in known) and low not in words.surnames
+
+
+def _leading_name(parts: list[str], words: Words) -> int:
+    """How many of one to three words after an introduction belong to a name."""
+    if not 1 <= len(parts) <= 3 or _never_a_name(parts[0], words):
+        return 0
+    for k, known in ((1, AFTER_ONE), (2, AFTER_TWO)):
+        if k == len(parts):
+            return k
+        particle = k == 1 and parts[k].lower() in NOBILIARY and parts[k] not in words.roles and parts[k] not in words.tech
+        if (not particle and _never_a_name(parts[k], words)) or _is_action(parts[k], known, words):
+            return k
+    return len(parts)
+
+
 def find_candidates(text: str, confirmed: list[tuple[int, int]], words: Words) -> list[tuple[int, int, str, bool]]:
-    """Spans that may be names: (start, end, kind, needs casing), none of them over a confirmed span or each other."""
+    """Spans that may be names: (start, end, kind, needs casing), none of them over a confirmed span or each other.
+
+    Four passes, the earlier ones first: words after a role, capitalised words that no sentence starts with, up to three
+    words of any case after an introduction, and inflected Greek words.
+    """
     taken = list(confirmed)
     out: list[tuple[int, int, str, bool]] = []
 
     def add(start: int, end: int, kind: str, casing: bool = False) -> None:
-        if end > start and not any(start < b and end > a for a, b in taken):
+        if not any(start < b and end > a for a, b in taken):
             taken.append((start, end))
             out.append((start, end, kind, casing))
 
     for m in ANCHOR.finditer(text):
-        if valid(text, m.start(1), m.end(1), words):
+        if m[1] not in words.roles and m[1] not in words.tech:
             add(m.start(1), m.end(1), "anchor")
+    for m in CAPITALISED.finditer(text.replace("_", " ")):
+        if not (m[0] in words.tech or m[0] in words.roles or m[0] in words.starters):
+            add(m.start(), m.end(), "capitalised")
     for m in INTRO.finditer(text):
         start, end = m.span(1)
-        parts = [(start + p.start(), start + p.end()) for p in re.finditer(r"[^\s\-'\"]+", m[1])]
-        kept = []
-        for a, b in parts:
-            low = text[a:b].lower()
-            if low in words.stopwords or (low.endswith(("ed", "ing", "ly")) and low not in words.surnames):
-                break
-            kept.append((a, b))
-        if kept and not any(text[a:b].capitalize() in words.roles or text[a:b].capitalize() in words.tech for a, b in kept):
-            add(kept[0][0], kept[-1][1], "intro", text[kept[0][0] : kept[-1][1]].islower())
-    for m in CAPITALISED.finditer(text):
-        if m[0] not in words.starters and m[0].lower() not in words.stopwords and valid(text, m.start(), m.end(), words):
-            add(m.start(), m.end(), "capitalised")
+        start += text[start] in "'\""
+        end -= end > start and text[end - 1] in "'\""
+        parts = [p for p in re.split(r"[\s-]+", text[start:end]) if p]
+        kept = _leading_name(parts, words)
+        if kept:
+            # what is dropped takes the separators before it along
+            add(start, end if kept == len(parts) else start + len(" ".join(parts[:kept])), "intro", True)
     for m in INFLECTED.finditer(text):
-        if m[0].lower() not in words.stopwords and valid(text, m.start(), m.end(), words):
-            add(m.start(), m.end(), "inflected")
+        if not _never_a_name(m[0], words):
+            add(m.start(), m.end(), "inflected", m[0][0].islower())
     return sorted(out)

@@ -18,6 +18,8 @@ STOP_WORDS = (
 CONTEXT_DOCS, JOB_DOCS = 5, 3
 JOB_INFO = "grounding"
 NOTHING = "No relevant context found."
+#: Stands for a document that could not be scrubbed.
+FAILED = "[REDACTION_FAILURE]"
 
 
 def terms(query: str) -> list[str]:
@@ -63,13 +65,14 @@ def pending(jobs: DataFrame) -> DataFrame:
 def complete(jobs: DataFrame, docs: DataFrame, owner: str, pepper: bytes, scrubbed: Column | None = None, k: int = JOB_DOCS) -> DataFrame:
     """Pending jobs answered: their query's terms all in a document of the same user; the first k, joined and sealed.
 
-    Jobs meet documents on the owner; ``scrubbed`` is the text as it may be shown.
+    Jobs meet documents on the owner; ``scrubbed`` is the text as it may be shown, and where it is null, as scrubbing
+    failed, FAILED stands for it.
     """
     query = unseal(F.col("query"), F.col("username"), pepper, JOB_INFO).cast("string")
     parts = F.filter(F.split(F.lower(query), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != "")
     kept = F.filter(parts, lambda t: ~t.isin(*STOP_WORDS))
     asked = jobs.filter("status = 'pending'").withColumn("_terms", F.when(F.size(kept) > 0, kept).otherwise(parts))
-    shown = docs.select(F.col(owner).alias("username"), "doc_id", F.lower("text").alias("_low"), (scrubbed if scrubbed is not None else F.col("text")).alias("_shown"))
+    shown = docs.select(F.col(owner).alias("username"), "doc_id", F.lower("text").alias("_low"), (F.coalesce(scrubbed, F.lit(FAILED)) if scrubbed is not None else F.col("text")).alias("_shown"))
     hits = asked.select("id", "username", "_terms").join(shown, "username").filter((F.size("_terms") > 0) & F.forall("_terms", lambda t: F.contains(F.col("_low"), t)))
     best = first_k(hits.select("id", "doc_id", "_shown"), "id", "doc_id", k)
     answer = best.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "_shown"))), lambda x: x["_shown"]), "\n---\n").alias("_answer"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import crypto, text as T
 from veilframe.operators import audit, engine, evaluate, legacy, retrieval, sessions, spans
+from veilframe.plans.cases import CANDIDATES, PLANTED, SANITIZED, SCRUBBED, SESSION_RULES, SESSIONS
 from veilframe.sources.rules import CATEGORIES, Rule, RuleSet, pack
 from veilframe.streaming import rehydrate
 
@@ -19,14 +21,8 @@ def _t(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores where a small table has fewer splits than those; large tables stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _docs(spark, sf_dir: str) -> DataFrame:
-    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _rule(pack_name: str, rule: str) -> Rule:
@@ -37,28 +33,84 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-# ---- hits of single rules: (query, pack, rule); their patterns read the same in both dialects
+# ---- hits of all rules of a pack over all documents and a text with a match of each rule
+
+
+def _planted(spark, sf_dir: str, name: str) -> DataFrame:
+    return _docs(spark, sf_dir).unionByName(spark.createDataFrame([(-1, PLANTED[name])], "doc_id long, text string"))
+
+
+def _hits(name: str):
+    def run(spark, d):
+        hits = spans.rule_hits(_planted(spark, d, name), pack(name).of("R"))
+        return hits.groupBy("doc_id", "rule").agg(F.count("*").alias("n"), F.min("match").alias("least"), F.max("match").alias("most"))
+
+    return run
+
+
+def _hits_sql(name: str) -> str:
+    """RE2 has ASCII word boundaries: letters, digits and marks of other scripts become an underscore, which no rule here names."""
+    seen = f"(SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F\\PL]|[^\\x00-\\x7F\\PN]|[^\\x00-\\x7F\\PM]', '_', 'g') AS text FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1, {_quoted(PLANTED[name])}))"
+    rules = " UNION ALL ".join(f"SELECT doc_id, {_quoted(r.id)} AS rule, unnest(regexp_extract_all(text, {_quoted(r.pattern)})) AS m FROM seen" for r in pack(name).of("R"))
+    return f"WITH seen AS MATERIALIZED {seen} SELECT doc_id, rule, count(*) AS n, min(m) AS least, max(m) AS most FROM ({rules}) GROUP BY doc_id, rule"
+
+
+#: The rules whose spans the next query takes one by one, at every place where they match.
+STARTS = ("us_ssn", "credit_card")
+
+
+def rule_starts(spark, d):
+    rules = [_rule("base", r) for r in STARTS]
+    rows = _planted(spark, d, "base").select("doc_id", F.explode(spans.all_spans(F.col("text"), RuleSet(rules))).alias("x"))
+    return rows.select("doc_id", "x.rule", F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+
+
+def _starts_sql() -> str:
+    rows = f"(SELECT doc_id, text FROM documents UNION ALL SELECT -1, {_quoted(PLANTED['base'])})"
+    one = "SELECT doc_id, {id} AS rule, i - 1 AS start, i - 1 + length(m) AS \"end\" FROM (SELECT doc_id, i, regexp_extract(substr(text, i), {at}) AS m FROM {rows}, unnest(range(1, length(text) + 1)) AS r(i) WHERE regexp_matches(text, {p}) AND substr(text, i, 1) BETWEEN '0' AND '9') WHERE m <> ''"
+    return " UNION ALL ".join(one.format(id=_quoted(r), at=_quoted("^(?:" + _rule("base", r).pattern + ")"), p=_quoted(_rule("base", r).pattern), rows=rows) for r in STARTS)
+
+
+def _shown(report: str):
+    return F.array_join(F.transform(f"{report}.redactions", lambda r: F.concat_ws(":", r["rule_id"], r["action"], r["offset"].cast("string"), r["length"].cast("string"))), ";")
 
-HITS = [
-    ("rule_hits_email", "base", "email_address"), ("rule_hits_ssn_shape", "base", "us_ssn"), ("rule_hits_card", "base", "credit_card"), ("rule_hits_phone", "base", "phone_number"),
-    ("rule_hits_iban", "base", "euro_iban"), ("rule_hits_github", "base", "github_token"), ("rule_hits_aws", "base", "aws_access_key_id"), ("rule_hits_slack", "base", "slack_token"), ("rule_hits_jwt", "base", "bearer_jwt"),
-    ("rule_hits_bar_number", "legal", "attorney_bar_number"), ("rule_hits_docket", "legal", "court_case_docket"), ("rule_hits_case_id", "legal", "case_id"), ("rule_hits_mrn", "medical", "medical_record_number"),
-    ("rule_hits_npi", "medical", "national_provider_identifier"), ("rule_hits_imo", "shipping", "imo_number"), ("rule_hits_waybill", "shipping", "air_waybill"), ("rule_hits_tariff", "shipping", "hs_tariff_code"),
-    ("rule_hits_aadhaar", "india", "in_aadhaar"), ("rule_hits_emirates_id", "middle_east", "uae_emirates_id"), ("rule_hits_cn_mobile", "east_asia", "cn_mobile"), ("preset_pci_visa", "pci_dss", "pci_visa"),
-    ("preset_pci_pan", "pci_dss", "pci_generic_pan"), ("preset_pci_cvv", "pci_dss", "pci_cvv"), ("preset_gdpr_ipv4", "gdpr", "gdpr_ipv4"), ("preset_gdpr_phone", "gdpr", "gdpr_phone"), ("preset_hipaa_phone", "hipaa", "hipaa_phone"),
-    ("preset_hipaa_plan", "hipaa", "hipaa_health_plan_id"),
-]
 
+def _values(rows, columns: str) -> str:
+    def one(x):
+        return _quoted(x) if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
 
-def _hits(pack_name: str, rule: str):
-    return lambda spark, d: spans.rule_hits(_docs(spark, d), [_rule(pack_name, rule)]).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("match").alias("least"), F.max("match").alias("most"))
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({columns})"
 
 
-def _hits_sql(pack_name: str, rule: str) -> str:
-    return f"SELECT doc_id, count(*) AS n, min(m) AS least, max(m) AS most FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_quoted(_rule(pack_name, rule).pattern)})) AS m FROM documents) GROUP BY doc_id"
+def sanitize_cases(spark, d):
+    """Small texts by both engines: starts, priorities, fusing, merging, audit-only and masked spans, order, numbers."""
+    parts = []
+    for k, (rules, text, *_) in enumerate(SANITIZED):
+        row = spark.createDataFrame([(k, text)], "id int, text string")
+        for name, out in (("native", spans.sanitize(row, RuleSet(rules))), ("kernel", engine.scrub(row, RuleSet(rules)))):
+            parts.append(out.select("id", F.lit(name).alias("engine"), "report.sanitized_text", "report.is_blocked", _shown("report").alias("redactions")))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
-FREQUENT = [("base", "email_address"), ("base", "us_ssn"), ("base", "credit_card"), ("gdpr", "gdpr_ipv4")]
+def scrub_cases(spark, d):
+    parts = []
+    for name in dict.fromkeys(p for p, *_ in SCRUBBED):
+        rows = spark.createDataFrame([(k, t) for k, (p, t, _) in enumerate(SCRUBBED) if p == name], "id int, text string")
+        parts.append(engine.scrub(rows, pack(name, native=True)).select("id", "report.sanitized_text"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def session_cases(spark, d):
+    turns = spark.createDataFrame([x[:3] for x in SESSIONS], "username string, turn int, text string")
+    return sessions.scrub_sessions(turns, "username", "turn", RuleSet(SESSION_RULES)).select("username", "turn", "sanitized_text")
+
+
+def candidate_cases(spark, d):
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(CANDIDATES)], "id int, text string")
+    return engine.name_candidates(rows).select("id", "kind", "match")
+
+
+FREQUENT = [(p, r.id) for p in ("base", "gdpr", "hipaa", "pci_dss") for r in pack(p).of("R")]
 EMAIL = _rule("base", "email_address")
 
 
@@ -68,6 +120,12 @@ def rule_frequency(spark, d):
     return audit.rule_frequency(ledger)
 
 
+def _frequency_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT {_quoted(r)} AS rule, len(regexp_extract_all(text, {_quoted(_rule(p, r).pattern)})) AS n FROM seen" for p, r in FREQUENT)
+    seen = "SELECT regexp_replace(text, '[^\\x00-\\x7F\\PL]|[^\\x00-\\x7F\\PN]|[^\\x00-\\x7F\\PM]', '_', 'g') AS text FROM documents"
+    return f"WITH seen AS MATERIALIZED ({seen}) SELECT rule, sum(n) AS n FROM ({parts}) GROUP BY rule HAVING sum(n) > 0"
+
+
 def mask_email(spark, d):
     return _docs(spark, d).select("doc_id", F.regexp_replace("text", spans.java_pattern(EMAIL.pattern), "[EMAIL]").alias("masked"))
 
@@ -79,15 +137,13 @@ def token_ids(spark, d):
 
 
 def sanitize_base(spark, d):
-    """The flagship: base identifiers found, resolved, tokenised and rewritten without leaving the JVM."""
-    chosen = RuleSet([r for r in pack("base").rules if r.id in ("email_address", "us_ssn", "credit_card", "phone_number")])
-    out = spans.sanitize(_docs(spark, d), chosen)
+    """The flagship: all terms and identifiers of the base pack found, resolved, tokenised and rewritten without leaving the JVM."""
+    out = spans.sanitize(_docs(spark, d), RuleSet(pack("base").of("D", "R")))
     return out.select("doc_id", "report.sanitized_text", "report.is_blocked", F.size("report.redactions").alias("n_redactions"), F.to_json("report.token_map").alias("token_map"))
 
 
 def restore_roundtrip(spark, d):
-    chosen = RuleSet([r for r in pack("base").rules if r.id in ("email_address", "us_ssn", "credit_card")])
-    out = spans.sanitize(_docs(spark, d), chosen)
+    out = spans.sanitize(_docs(spark, d), RuleSet(pack("base").of("D", "R")))
     return out.select("doc_id", T.restore(F.col("report.sanitized_text"), F.col("report.token_map")).alias("restored"))
 
 
@@ -154,6 +210,7 @@ def guard_entropy(spark, d):
     return rows.filter(T.entropy_hit(F.col("text"))).select("doc_id")
 
 
+_INJECTION_SQL = f"SELECT doc_id FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {_quoted(t)})' for i, t in _INJECTED)}) AS v(doc_id, text)) WHERE regexp_matches(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')), {_quoted('|'.join(T.INJECTION))})"
 _ENTROPY_SQL = f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {_quoted(t)})' for i, t in _SMUGGLED)}) AS v(doc_id, text)),
 r AS (SELECT doc_id, row_number() OVER () AS k, run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=]+')) AS run FROM d) WHERE length(run) > 40),
 c AS (SELECT doc_id, k, ch, count(*) AS n, max(length(run)) AS len FROM (SELECT doc_id, k, run, unnest(string_split(run, '')) AS ch FROM r) GROUP BY doc_id, k, ch)
@@ -186,7 +243,11 @@ def route_model(spark, d):
 
 
 _ROUTE_SQL = "SELECT model, target, CASE WHEN target IS NOT NULL THEN 'custom' WHEN starts_with(lower(model), 'claude') THEN 'anthropic' WHEN regexp_matches(lower(model), '(^|/)(llama|mistral|phi|gemma|qwen)[^/]*$') THEN 'local' ELSE 'default' END AS route, CASE WHEN target IS NOT NULL THEN '' ELSE 'ambient' END AS key FROM (VALUES {}) AS m(model), (VALUES (NULL), ('https://x.example')) AS t(target)".format(", ".join(f"({_quoted(m)})" for m in _MODELS))
-_URLS = [("http://169.254.169.254/x", "metadata"), ("http://localhost:80/", "private"), ("https://10.1.2.3/", "private"), ("ftp://a.example/", "scheme"), ("https://[::1]/", "private"), ("https://ok.example/v1", "ok"), ("https://172.20.0.1/", "private"), ("http://user@192.168.1.1/", "private"), ("metadata", "scheme")]
+_URLS = [
+    ("http://169.254.169.254/x", "metadata"), ("http://localhost:80/", "private"), ("https://10.1.2.3/", "private"), ("ftp://a.example/", "scheme"), ("https://[::1]/", "private"), ("https://ok.example/v1", "ok"),
+    ("https://172.20.0.1/", "private"), ("http://user@192.168.1.1/", "private"), ("metadata", "scheme"), ("http://instance-data/", "metadata"), ("http://a.metadata.google.internal/", "metadata"), ("http://[::]/", "private"),
+    ("http://[::ffff:169.254.169.254]/", "metadata"), ("http://0.1.2.3/", "private"), ("http://2130706433/", "private"), ("http://[fe80::1]/", "metadata"), ("http://0xA9FEA9FE/", "metadata"), ("http://127.1/", "private"), ("http://8.8.8.8/", "ok"),
+]
 
 
 def url_verdict(spark, d):
@@ -288,11 +349,10 @@ _ANCHOR_SQL = "SELECT conv_id, CASE WHEN conv_id % 7 = 0 AND count(*) > 1 THEN '
 
 
 def audit_gaps(spark, d):
-    ev = _t(spark, d, "events").filter("event_type <> 'error' AND event_id % 17 <> 3").select("user_id", "event_id").groupBy("user_id", F.floor(F.col("event_id") / 100).cast("long").alias("id")).count()
-    return audit.gaps(ev.select("user_id", "id"), "id", "user_id")
+    return audit.gaps(_t(spark, d, "events").select("user_id", F.col("event_id").alias("id")), "id", "user_id")
 
 
-_GAPS_SQL = "SELECT user_id, before_id, id AS after_id FROM (SELECT user_id, id, lag(id) OVER (PARTITION BY user_id ORDER BY id) AS before_id FROM (SELECT DISTINCT user_id, event_id // 100 AS id FROM events WHERE event_type <> 'error' AND event_id % 17 <> 3)) WHERE id <> before_id + 1"
+_GAPS_SQL = "SELECT user_id, before_id, id AS after_id FROM (SELECT user_id, event_id AS id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before_id FROM events) WHERE id <> before_id + 1"
 
 
 def audit_left_join(spark, d):
@@ -367,7 +427,7 @@ def latency_stats(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-_LATENCY_SQL = "SELECT round(min(value), 6) AS min, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max FROM events"
+_LATENCY_SQL = "SELECT round(s[1], 6) AS min, round(list_avg(s), 6) AS mean, round(s[len(s) // 2 + 1], 6) AS median, round(s[least(len(s) - 1, CAST(floor(len(s) * 0.95) AS BIGINT)) + 1], 6) AS p95, round(s[least(len(s) - 1, CAST(floor(len(s) * 0.99) AS BIGINT)) + 1], 6) AS p99, round(s[-1], 6) AS max FROM (SELECT list(value ORDER BY value) AS s FROM events WHERE value IS NOT NULL)"
 
 
 def stream_rehydrate(spark, d):
@@ -401,19 +461,30 @@ def standalone_word(spark, d):
     return _docs(spark, d).filter(T.standalone_word(F.col("text"), "the")).select("doc_id")
 
 
-def _left_over(html):
-    """Whether blanking the whole of html leaves a byte of it, or another number of bytes."""
-    blank = T.blank_image(html.cast("binary"))
-    return F.hex(blank).rlike("[^0]") | (F.octet_length(blank) != F.octet_length(html))
+def image_redaction(spark, d):
+    blank = T.blank_image(F.col("html").cast("binary"))
+    return _t(spark, d, "pages").select("page_id", F.octet_length(blank).cast("long").alias("n"), F.hex(blank).rlike("[^0]").alias("dirty"))
 
 
-def image_redaction(spark, d):
-    """dirty looks at whole pages; n is of their first 2000 characters, as in the SQL."""
-    return _t(spark, d, "pages").select("page_id", F.octet_length(T.blank_image(F.left("html", F.lit(2000)).cast("binary"))).cast("long").alias("n"), _left_over(F.col("html")).alias("dirty"))
+def guard_counters(spark, d):
+    rows = _docs(spark, d).unionByName(spark.createDataFrame(_INJECTED + _SMUGGLED, "doc_id long, text string"))
+    return evaluate.guard_counters(rows, T.guard_status(F.col("text")), F.size(F.regexp_extract_all("text", F.lit(spans.java_pattern(EMAIL.pattern)), 0)))
+
 
+#: Two of the planted injections and two smuggled runs are guarded, and nothing in the documents.
+_COUNTER_SQL = f"""WITH d AS (SELECT text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({_quoted(t)})' for _, t in _INJECTED + _SMUGGLED)}) AS v(text)), h AS ({_ENTROPY_SQL}), i AS ({_INJECTION_SQL}),
+n AS (SELECT (SELECT count(*) FROM h) + (SELECT count(*) FROM i) AS g, (SELECT sum(len(regexp_extract_all(text, {_quoted(EMAIL.pattern)}))) FROM d) AS e)
+SELECT 'injections_blocked_total' AS name, CAST(g AS BIGINT) AS n, 'injections_blocked_total ' || g AS line FROM n UNION ALL SELECT 'pii_entities_redacted_total', CAST(e AS BIGINT), 'pii_entities_redacted_total ' || e FROM n"""
 
-def image_redaction_whole(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.octet_length(T.blank_image(F.col("html").cast("binary"))).cast("long").alias("n"), _left_over(F.col("html")).alias("dirty"))
+
+def purge_everywhere(spark, d):
+    """User 7 in a ledger, documents and two more tables."""
+    ev = _t(spark, d, "events").select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), F.col("props").cast("binary").alias("encrypted_data"))
+    out = audit.purge_everywhere("u7", ledger=ev, documents=ev.withColumnRenamed("username", "owner"), owner="owner", jobs=ev, sessions=ev.select("username").distinct())
+    return functools.reduce(DataFrame.unionByName, [t.groupBy(F.lit(k).alias("name")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("owner" if k == "documents" else "username").isin("u7", audit.PURGED), 1).otherwise(0)).cast("long").alias("of_user")) for k, t in out.items()])
+
+
+_PURGE_SQL = "WITH n AS (SELECT count(*) AS a, count(*) FILTER (user_id = 7) AS u, count(DISTINCT user_id) AS s, count(DISTINCT user_id) FILTER (user_id = 7) AS su FROM events) SELECT 'ledger' AS name, a AS n, u AS of_user FROM n UNION ALL SELECT 'documents', a - u, 0 FROM n UNION ALL SELECT 'jobs', a - u, 0 FROM n UNION ALL SELECT 'sessions', s - su, 0 FROM n"
 
 
 def legacy_shield(spark, d):
@@ -451,7 +522,7 @@ _NAMED = {
     "session_store": (session_store, "SELECT 'u' || user_id AS username, max(event_id) || '/2' AS state, 2 AS updated_at FROM events GROUP BY user_id"),
     "request_mac": (request_mac, "SELECT event_id, lower(hex(" + _hmac_sql("""encode('sanitize:' || user_id || ':' || event_id || ':{"a":"' || event_type || '","z":"1"}')""") + ")) AS mac FROM events"),
     "sanitize_base": (sanitize_base, None),
-    "rule_frequency": (rule_frequency, " UNION ALL ".join(f"SELECT {_quoted(r)} AS rule, sum(len(regexp_extract_all(text, {_quoted(_rule(p, r).pattern)}))) AS n FROM documents" for p, r in FREQUENT)),
+    "rule_frequency": (rule_frequency, _frequency_sql()),
     "mask_email": (mask_email, f"SELECT doc_id, regexp_replace(text, {_quoted(EMAIL.pattern)}, '[EMAIL]', 'g') AS masked FROM documents"),
     "token_ids_first_occurrence": (token_ids, f"SELECT doc_id, value, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS token FROM (SELECT doc_id, value, min(pos) AS pos FROM (SELECT doc_id, lower(m[i]) AS value, i AS pos FROM (SELECT doc_id, regexp_extract_all(text, {_quoted(EMAIL.pattern)}) AS m FROM documents), unnest(range(1, len(m) + 1)) AS r(i)) GROUP BY doc_id, value)"),
     "restore_roundtrip": (restore_roundtrip, "SELECT doc_id, text AS restored FROM documents"),
@@ -460,7 +531,7 @@ _NAMED = {
     "resolve_spans": (resolve_spans, f"SELECT * FROM (VALUES {_RESOLVED}) AS t(id, s, e, rule, action)"),
     "placeholder_prefix": (placeholder_prefix, _prefix_sql()),
     "combine_actions": (combine_actions, f"SELECT a, b, CASE WHEN {_PRIO.format('a')} >= {_PRIO.format('b')} THEN a ELSE b END AS combined FROM {_ACTIONS} AS x(a), {_ACTIONS} AS y(b)"),
-    "guard_injection": (guard_injection, f"SELECT doc_id FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {_quoted(t)})' for i, t in _INJECTED)}) AS v(doc_id, text)) WHERE regexp_matches(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')), {_quoted('|'.join(T.INJECTION))})"),
+    "guard_injection": (guard_injection, _INJECTION_SQL),
     "guard_entropy": (guard_entropy, _ENTROPY_SQL),
     "guard_by_role": (guard_by_role, "SELECT conv_id, turn, role, 'ok' AS status FROM conversations UNION ALL SELECT -1, 0, role, status FROM (VALUES ('user', 'injection'), ('User', 'injection'), ('assistant', 'ok')) AS v(role, status)"),
     "dict_match": (dict_match, _DICT_SQL),
@@ -490,21 +561,23 @@ _NAMED = {
     "merge_token_maps": (merge_token_maps, "SELECT event_id, event_type AS a, CAST(user_id AS VARCHAR) AS b FROM events"),
     "chat_texts": (chat_texts, "SELECT conv_id, turn, text AS content FROM conversations WHERE text IS NOT NULL"),
     "standalone_word": (standalone_word, "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}])the($|[^\\p{L}\\p{N}])')"),
-    "image_redaction": (image_redaction, "SELECT page_id, octet_length(encode(left(html, 2000))) AS n, false AS dirty FROM pages"),
-    "image_redaction_whole": (image_redaction_whole, "SELECT page_id, octet_length(encode(html)) AS n, false AS dirty FROM pages"),
+    "image_redaction": (image_redaction, "SELECT page_id, octet_length(encode(html)) AS n, false AS dirty FROM pages"),
+    "rule_starts": (rule_starts, _starts_sql()),
+    "sanitize_cases": (sanitize_cases, _values([(k, e, *x[2:]) for k, x in enumerate(SANITIZED) for e in ("native", "kernel")], "id, engine, sanitized_text, is_blocked, redactions")),
+    "scrub_cases": (scrub_cases, _values([(k, x[2]) for k, x in enumerate(SCRUBBED)], "id, sanitized_text")),
+    "session_cases": (session_cases, _values([(u, t, x) for u, t, _, x in SESSIONS], "username, turn, sanitized_text")),
+    "candidate_cases": (candidate_cases, _values([(k, *c) for k, (_, found) in enumerate(CANDIDATES) for c in found], "id, kind, match")),
+    "guard_counters": (guard_counters, _COUNTER_SQL),
+    "purge_everywhere": (purge_everywhere, _PURGE_SQL),
 }
 
 
 def queries() -> dict:
-    return {k: f for k, (f, _) in _NAMED.items()} | {q: _hits(p, r) for q, p, r in HITS}
-
-
-#: RE2 has ASCII word boundaries: beside a letter with an accent these rules differ there, so they have no SQL.
-ACCENTS = ("preset_hipaa_plan",)
+    return {k: f for k, (f, _) in _NAMED.items()} | {f"rules_{name}": _hits(name) for name in PLANTED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _NAMED.items() if s} | {q: _hits_sql(p, r) for q, p, r in HITS if q not in ACCENTS}
+    return {k: s for k, (_, s) in _NAMED.items() if s} | {f"rules_{name}": _hits_sql(name) for name in PLANTED}
 
 
 __all__ = ["entry", "oracle_sql", "queries"]
