@@ -101,6 +101,21 @@ def test_chat_round_trip(spark):
         assert all(x.loss == (x.role == "assistant") for x in r.turns)
 
 
+def test_chat_sql_on_hard_texts(spark, tmp_path):
+    import duckdb
+
+    texts = ["a >>> b", ">>>>", ">", "<<<SYS>>>", "<<s>>", "&gt;>", "[[INST]]", "<</ROLE>>>>", "<</SYS>>>> &amp;", "a\n>>\n>", "", None]
+    roles = ["user", "assistant", "system", "tool>>x", "a<<ROLE:b", "<s>&", None]
+    rows = [(c, t, roles[(c + t) % len(roles)], texts[(3 * c + t) % len(texts)]) for c in range(12) for t in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert of_frame(chat_format.op4_chat_formatting(spark, str(tmp_path))) == of_sql(duck, chat_format.SQL)
+    df.limit(0).write.parquet(str(tmp_path / "none" / "conversations.parquet"))
+    assert chat_format.op4_chat_formatting(spark, str(tmp_path / "none")).count() == 1  # the added conversation alone
+
+
 def test_machine(spark):
     runs = {1: "system user assistant user assistant", 2: "user assistant", 3: "assistant user", 4: "user user", 5: "system assistant", 6: "user assistant system", 7: "user tool"}
     df = spark.createDataFrame([(c, t, r, "x") for c, s in runs.items() for t, r in enumerate(s.split())], "conv_id long, turn long, role string, text string")

@@ -10,7 +10,8 @@ string becomes an entity (``&lt;`` or ``&#91;``), so that no text holds a contro
 
 Defined cases: null text is empty text; null role is the role with the empty name; roles outside the template get the
 generic turn, no loss, and are out of order; equal rows are all kept; ties in turn are ordered by role, then text; a
-null conversation id is a conversation; null turns come first; an empty table gives no rows.
+null conversation id is a conversation; null turns come first; a very long conversation is one row like any other; an
+empty table gives no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -150,14 +151,20 @@ def op4_chat_formatting(spark, sf_dir: str) -> DataFrame:
     return d.select("conv_id", "d.n_turns", "d.turns_sha256", F.col("d.loss.n").alias("loss_chars"), F.col("d.loss.sha").alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
+def _escape_sql(text: str) -> str:
+    """The same in SQL, which has no look-ahead: of a run of ``>`` all but the last are escaped."""
+    out = f"replace({text}, '&', '&amp;')"
+    for c in CONTROL[:-1]:
+        out = f"replace({out}, '{c}', '{ENTITIES[c[0]]}{c[1:]}')"
+    return f"replace(regexp_replace(replace({out}, '>', chr(57345)), '\\x{{E001}}([^\\x{{E001}}]|$)', '>\\1', 'g'), chr(57345), '&gt;')"
+
+
 SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, '&', '&amp;'),
-    '<<SYS>>', '&lt;<SYS>>', 'g'), '<</SYS>>', '&lt;</SYS>>', 'g'), '\[INST\]', '&#91;INST]', 'g'), '\[/INST\]', '&#91;/INST]', 'g'),
-    '<s>', '&lt;s>', 'g'), '</s>', '&lt;/s>', 'g'), '<<ROLE:', '&lt;<ROLE:', 'g'), '<</ROLE>>', '&lt;</ROLE>>', 'g'), '>>', '&gt;>', 'g') AS esc FROM t),
+e AS (SELECT *, {esc} AS esc, replace({role}, '>', '&gt;') AS name FROM t),
 f AS (SELECT *, CASE role WHEN 'system' THEN '<<SYS>>' || esc || '<</SYS>>' WHEN 'user' THEN '[INST] ' || esc || ' [/INST]' WHEN 'assistant' THEN '<s>' || esc || '</s>'
-    ELSE '<<ROLE:' || role || '>>' || esc || '<</ROLE>>' END AS seg,
+    ELSE '<<ROLE:' || name || '>>' || esc || '<</ROLE>>' END AS seg,
     coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') AS prev FROM e)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
@@ -165,4 +172,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length(seg)) AS BIGINT) AS formatted_chars,
   bool_and(CASE role WHEN 'system' THEN prev = '' WHEN 'user' THEN prev IN ('', 'system', 'assistant') WHEN 'assistant' THEN prev = 'user' ELSE false END) AS valid
 FROM f GROUP BY conv_id
-"""
+""".format(esc=_escape_sql("text"), role=_escape_sql("role"))
