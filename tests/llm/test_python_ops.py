@@ -95,7 +95,10 @@ def test_fast_encoder_equals_the_library(docs):
     from tokenizers import Tokenizer
 
     slow, fast = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
-    texts = [r.text for r in docs.limit(60).collect()] + ["", "<|endoftext|> x <|endoftext|>", " \n\n  a", "é🙂 日本", "don't we'll", "x" * 3000]
+    rng = random.Random(4)
+    odd = [*map(chr, (0, 9, 10, 13, 32, 0x85, 0xA0, 0x200B, 0x2028, 0x3000, 0x301, 0x130, 0x1E9E, 0xFEFF, 0xFFFD, 0x1F600, 0x10FFFF)), *"aZ09'_-.\u00e9\u03b1\u0436\u4e2d\u0627\u0e01\ud55c", "'s", "  ", "\n\n", "don't", "123", "<|", "|>"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += [r.text for r in docs.collect()] + ["", "<|endoftext|> x <|endoftext|>", " \n\n  a", "é🙂 日本", "don't we'll", "x" * 3000]
     assert all(fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids for t in texts)
 
 
@@ -109,6 +112,34 @@ def test_evolution_beats_or_meets_best_fit():
         assert all(sum(lengths[i] for i in b) <= 1024 for b in best)
 
 
+def test_evolution_beats_best_fit_where_that_is_bad():
+    rng = random.Random(1)
+    for triples in (20, 80):  # three items fill each bin exactly, which best fit does not see
+        lengths = []
+        for _ in range(triples):
+            a = rng.randrange(390, 500)
+            b = rng.randrange(256, (1024 - a) // 2 + 1)
+            lengths += [a, b, 1024 - a - b]
+        plain_ = packing.best_fit(lengths, list(range(len(lengths))), [], 1024)
+        best = packing.evolve(lengths, [], 1024, seed=5)
+        assert len(best) < len(plain_) * 0.95 and len(best) <= triples * 1.05 + 1
+        again = packing.evolve(lengths, [best], 1024, seed=6)
+        assert sorted(i for b in again for i in b) == list(range(len(lengths))) and len(again) <= len(best)
+
+
+def test_evolution_finds_the_optimum_of_small_cases():
+    rng = random.Random(2)
+    for case in range(60):
+        lengths = [rng.randrange(100, 700) for _ in range(8)]
+        best = [(0, 0)] + [(99, 0)] * 255  # fewest bins, and the least fill of the last one, of each subset
+        for m in range(1, 256):
+            for i in range(8):
+                if m >> i & 1:
+                    bins, fill = best[m ^ 1 << i]
+                    best[m] = min(best[m], (bins, fill + lengths[i]) if bins and fill + lengths[i] <= 1024 else (bins + 1, lengths[i]))
+        assert len(packing.evolve(lengths, [], 1024, seed=case)) == best[-1][0]
+
+
 # ---- media
 
 
