@@ -133,3 +133,24 @@ def test_manifest(tmp_path):
     assert len(from_manifest(str(m))[1]) == 2
     with pytest.raises(ValueError):
         refuse_warnings(from_manifest(str(m)))
+
+
+PIECES = ["Dr. Miura", "John O'Neil", "al-Rashid", "Παπαδόπουλος", "a@b.com", "123 45 6789", "DE89370400440532013000", " \u00a0 ", "_", "ı", "İ", "ſ", "١٢٣٤٥", "é", "\u2028", "K", "the", "Project Alpha", "\u200b", "MRN:1234", "٣", "Shri", "Ⅷ"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=6)), max_size=12), min_size=1, max_size=5), st.sampled_from(["", " ", "-", "\n"]))
+def test_looking_for_patterns_in_many_texts_first_changes_nothing(rows, joint):
+    texts = [joint.join(parts).encode("utf-8", "ignore").decode() for parts in rows]
+    assert ENGINE.reports([*texts, None]) == [*(ENGINE.report(t) for t in texts), None]
+
+
+ENGINE = Engine(pack(*PACKS, native=True))
+
+
+def test_widened_patterns():
+    from veilframe.operators.prefilter import Prefilter, widened
+
+    assert all(widened(x[4]) for rows in PACKS.values() for x in rows if x[1] != "D")
+    p = Prefilter({"a": r"(?<=x)a", "b": r"\bb\s\d", "c": r"[\s\d]c"})
+    assert p.absent(["b\u00a0\u0663", "\u2003c", "zzz"]) == [{"c"}, {"b"}, {"b", "c"}]

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from veilframe.functions.crypto import bound_info, derive_key, framed, hmac_sha256
 
 SEGMENT = 1000
+#: Numbers of a chain that are looked at together for gaps.
+STRETCH = 1_000_000
 INFO = "audit-payload"
 PURGED = "[REDACTED]"
 
@@ -109,10 +111,19 @@ def anchor_check(ledger: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def gaps(ids: DataFrame, column: str, chain: str | None = None) -> DataFrame:
-    """Where the numbers of a subchain jump: (the number before, the number after)."""
-    w = (Window.partitionBy(chain) if chain else Window.partitionBy(F.lit(0))).orderBy(column)
-    seen = ids.withColumn("before_id", F.lag(column).over(w))
-    return seen.filter(F.col(column) != F.col("before_id") + 1).select(*([chain] if chain else []), "before_id", F.col(column).alias("after_id"))
+    """Where the numbers of a subchain jump: (the number before, the number after).
+
+    Numbers are compared within stretches of ``STRETCH``, and the ends of stretches with each other, so that a single
+    chain is no single task: the last step has a row for each stretch.
+    """
+    keys = [chain] if chain else []
+    own = F.floor(F.col(column) / STRETCH)
+    inside = Window.partitionBy(*keys, "_at").orderBy(column)
+    seen = ids.select(*keys, column, own.alias("_at")).withColumn("before_id", F.lag(column).over(inside))
+    ends = seen.groupBy(*keys, "_at").agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    between = ends.withColumn("before_id", F.lag("_high").over(Window.partitionBy(*keys).orderBy("_at")))
+    both = seen.select(*keys, "before_id", F.col(column).alias("after_id")).unionByName(between.select(*keys, "before_id", F.col("_low").alias("after_id")))
+    return both.filter(F.col("after_id") != F.col("before_id") + 1)
 
 
 def with_raw(reports: DataFrame, raw: DataFrame, key: str = "id") -> DataFrame:

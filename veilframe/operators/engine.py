@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.text import PREFIX_BY_CATEGORY, PREFIX_BY_RULE, PRIORITY
-from veilframe.operators.names import find_names
+from veilframe.operators.names import PATTERNS, find_names
 from veilframe.operators.normalize import normalize
+from veilframe.operators.prefilter import Prefilter
 from veilframe.ship import ship
 from veilframe.sources.rules import RuleSet
 from veilframe.sources.words import Words
@@ -23,6 +24,8 @@ REPORT = (
     "sanitized_text string, is_blocked boolean, redactions array<struct<rule_id:string,action:string,offset:long,length:long,placeholder:string,category:string>>, "
     "token_map map<string,string>, potential_misses array<struct<text:string,label:string,offset:long>>"
 )
+#: Characters of texts that patterns are looked for in together; one longer text is looked at by itself.
+TOGETHER = 250_000
 #: What may stand between a confirmed name and a potential that fuses with it, beside white space.
 JOINTS = (" bin ", " al ", " da ", " de ", " van ", " von ")
 
@@ -63,6 +66,15 @@ class Engine:
         self.terms = [(r, normalize(r.pattern).ascii.lower()) for r in rules.of("D")]
         self.patterns = [(r, re.compile(r.pattern)) for r in rules.of("R")]
         self.heuristics = [(r, re.compile(r.pattern)) for r in rules.of("H", "S")]
+        self.for_rules = Prefilter({f"{r.id} {p.pattern}": p.pattern for r, p in self.patterns})
+        self.for_names = Prefilter({k: p.pattern for k, p in PATTERNS.items()} | {f"{r.id} {p.pattern}": p.pattern for r, p in self.heuristics})
+
+    def reports(self, texts: list[str | None]) -> list[dict | None]:
+        """Reports of many texts: patterns are first looked for in all of them at once."""
+        read = [normalize(t or "") for t in texts]
+        rules, names = self.for_rules.absent([n.unicode for n in read]), self.for_names.absent([n.unicode for n in read])
+        in_ascii = self.for_names.absent([n.ascii for n in read])
+        return [None if t is None else self.report(t, None, (n, r, (u, a))) for t, n, r, u, a in zip(texts, read, rules, names, in_ascii)]
 
     def _terms(self, n) -> list[Span]:
         low, out = n.ascii.lower(), []
@@ -79,20 +91,22 @@ class Engine:
                 out.append(Span(n.to_unicode[n.from_ascii[letters[0]]], n.to_unicode[end], rule.id, rule.action, rule.category))
         return out
 
-    def _patterns(self, n) -> list[Span]:
+    def _patterns(self, n, absent: set | tuple = ()) -> list[Span]:
         out = []
         for rule, pattern in self.patterns:
+            if f"{rule.id} {pattern.pattern}" in absent:
+                continue
             at = 0
             while at < len(n.unicode) and (m := pattern.search(n.unicode, at)):
                 out.append(Span(m.start(), m.end(), rule.id, rule.action, rule.category))
                 at = (m.start() if m.end() > m.start() else at) + 1
         return out
 
-    def detect(self, n) -> tuple[list[Span], list[Span]]:
+    def detect(self, n, rules: set | tuple = (), names: tuple = ((), ())) -> tuple[list[Span], list[Span]]:
         """(confirmed, potential), in characters of the Unicode reading."""
-        confirmed = sorted(self._terms(n) + self._patterns(n), key=lambda s: (s.start, -s.end))
+        confirmed = sorted(self._terms(n) + self._patterns(n, rules), key=lambda s: (s.start, -s.end))
         potential: list[Span] = []
-        for f in find_names(n.unicode, n.ascii, self.heuristics, self.words):
+        for f in find_names(n.unicode, n.ascii, self.heuristics, self.words, names):
             back = n.from_ascii if f.ascii else n.from_unicode
             start, end = n.to_unicode[back[f.start]], n.to_unicode[back[f.end]]
             hit = next((s for s in confirmed if start < s.end and end > s.start), None)
@@ -137,9 +151,9 @@ class Engine:
                 out.append(s)
         return out
 
-    def report(self, text: str, tokens=None) -> dict:
-        n = normalize(text)
-        confirmed, potential = self.detect(n)
+    def report(self, text: str, tokens=None, known: tuple | None = None) -> dict:
+        n, *absent = known or (normalize(text),)
+        confirmed, potential = self.detect(n, *absent)
         spans = self.resolve(n.unicode, confirmed, potential)
         tokens = tokens or Tokens()
         width = _byte_offsets(text)
@@ -188,8 +202,15 @@ def scrub(df: DataFrame, rules: RuleSet, column: str = "text", words: Words | No
     def run(batches: Iterator) -> Iterator:
         engine = made.setdefault("engine", Engine(rules, words))
         for batch in batches:
-            reports = [None if t is None else engine.report(t) for t in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reports, arrow)], names=[*batch.schema.names, "report"])
+            texts, at = batch.column(column).to_pylist(), 0
+            while at < len(texts):
+                to, held = at, 0
+                while to < len(texts) and (to == at or held + len(texts[to] or "") <= TOGETHER):
+                    held += len(texts[to] or "")
+                    to += 1
+                part, reports = batch.slice(at, to - at), engine.reports(texts[at:to])
+                at = to
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(reports, arrow)], names=[*batch.schema.names, "report"])
 
     return df.mapInArrow(run, schema)
 

@@ -78,8 +78,9 @@ def valid(text: str, start: int, end: int, words: Words) -> bool:
 
 
 def at_sentence_start(text: str, at: int) -> bool:
-    before = text[:at].rstrip()
-    return not before or before[-1] in ".!?"
+    while at and text[at - 1].isspace():
+        at -= 1
+    return not at or text[at - 1] in ".!?"
 
 
 def _without_opening(text: str, start: int, end: int, words: Words) -> int:
@@ -92,11 +93,26 @@ def _without_opening(text: str, start: int, end: int, words: Words) -> int:
         start = end - len(rest)
 
 
-def find_names(unicode: str, ascii_: str, heuristics: list[tuple[Rule, re.Pattern]], words: Words) -> list[Found]:
-    """Certain names, by start, the longer first."""
+#: The patterns of certain names; a text that cannot hold one of them need not be searched for it.
+PATTERNS = {"full": FULL, "initials": INITIALS, "titled": TITLED, "pair": GREEK_PAIR, "patronymic": PATRONYMIC, "arabic": ARABIC, "chain": GREEK_CHAIN}
+
+
+def find_names(unicode: str, ascii_: str, heuristics: list[tuple[Rule, re.Pattern]], words: Words, absent: tuple = ((), ())) -> list[Found]:
+    """Certain names, by start, the longer first.  absent: names of patterns (see PATTERNS, and ids of heuristics) that the
+    Unicode and the ASCII reading do not hold."""
     out: list[Found] = []
     plain = {False: unicode.replace("_", " "), True: ascii_.replace("_", " ")}
     source = {False: unicode, True: ascii_}
+    same = unicode == ascii_
+    known: dict = {}
+
+    def hits(name: str, pattern: re.Pattern, is_ascii: bool) -> list[re.Match]:
+        if name in absent[is_ascii]:
+            return []
+        key = name, is_ascii and not same
+        if key not in known:
+            known[key] = list(pattern.finditer(plain[is_ascii]))
+        return known[key]
 
     def add(is_ascii: bool, start: int, end: int, label: str, alone: bool = False) -> None:
         if valid(source[is_ascii], start, end, words) and not (alone and any(start < f.end and end > f.start for f in out)):
@@ -104,30 +120,30 @@ def find_names(unicode: str, ascii_: str, heuristics: list[tuple[Rule, re.Patter
 
     for rule, pattern in heuristics:
         for is_ascii in (False, True):
-            for m in pattern.finditer(plain[is_ascii]):
+            for m in hits(f"{rule.id} {pattern.pattern}", pattern, is_ascii):
                 if rule.kind == "S" and at_sentence_start(source[is_ascii], m.start()):
                     continue
                 if valid(source[is_ascii], m.start(), m.end(), words):
                     out.append(Found(m.start(), m.end(), rule.id + "_homoglyph" * is_ascii, rule.action, rule.category, is_ascii))
-    for m in FULL.finditer(plain[True]):
+    for m in hits("full", FULL, True):
         start = _without_opening(plain[True], m.start(), m.end(), words)
         span = plain[True][start : m.end()]
         if span not in NOT_NAMES and len([p for p in _PARTS.split(span) if p]) > 1:
             add(True, start, m.end(), "POTENTIAL_GLOBAL_NAME")
-    for m in INITIALS.finditer(plain[True]):
+    for m in hits("initials", INITIALS, True):
         s = m.start()
         if m[0].lower().startswith(("e.g.", "i.e.")) or "." in ascii_[max(0, s - 2) : s]:
             continue
         last = m[0].split()[-1] if m[0].split() else ""
         if last not in words.starters and last not in words.tech:
             add(True, s, m.end(), "POTENTIAL_INITIAL_NAME")
-    for m in TITLED.finditer(plain[True]):
+    for m in hits("titled", TITLED, True):
         add(True, m.start(), m.end(), "POTENTIAL_HONORIFIC_NAME")
-    for pattern, label, alone in ((GREEK_PAIR, "POTENTIAL_GREEK_NAME", False), (PATRONYMIC, "POTENTIAL_GREEK_NAME", True), (ARABIC, "POTENTIAL_ARABIC_NAME", True)):
+    for name, label, alone in (("pair", "POTENTIAL_GREEK_NAME", False), ("patronymic", "POTENTIAL_GREEK_NAME", True), ("arabic", "POTENTIAL_ARABIC_NAME", True)):
         for is_ascii in (True, False):
-            for m in pattern.finditer(plain[is_ascii]):
+            for m in hits(name, PATTERNS[name], is_ascii):
                 add(is_ascii, m.start(), m.end(), label, alone)
-    for m in GREEK_CHAIN.finditer(plain[False]):
+    for m in hits("chain", GREEK_CHAIN, False):
         start = _without_opening(plain[False], m.start(), m.end(), words)
         if len([p for p in _PARTS.split(plain[False][start : m.end()]) if p]) > 1:
             add(False, start, m.end(), "POTENTIAL_GREEK_NAME_CHAIN")

@@ -47,9 +47,21 @@ def delta(line: Column) -> Column:
     return F.when(body == DONE, DONE).otherwise(F.coalesce(F.get_json_object(body, "$.choices[0].delta.content"), F.get_json_object(body, "$.delta.text")))
 
 
+class _Maps:
+    """Token maps from JSON; one that comes again right away, as within a stream, is not parsed again."""
+
+    def __init__(self):
+        self.text, self.map = "", {}
+
+    def of(self, text: str | None) -> dict[str, str]:
+        if text != self.text:
+            self.text, self.map = text, json.loads(text or "{}")
+        return self.map
+
+
 class _Stream(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "held string")
+        self.held, self.maps = handle.getValueState("held", "held string"), _Maps()
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - Spark's names
         import pandas as pd
@@ -58,7 +70,7 @@ class _Stream(StatefulProcessor):
         out = []
         for pdf in rows:
             for seq, chunk, tokens in sorted(zip(pdf["seq"], pdf["chunk"], pdf["tokens"])):
-                r = Rehydrator(json.loads(tokens or "{}"), held)
+                r = Rehydrator(self.maps.of(tokens), held)
                 out.append((key[0], seq, r.close() if chunk == DONE else r.feed(chunk or "")))
                 held = r.held
         self.held.update((held,))
@@ -82,13 +94,13 @@ def rehydrate_batch(chunks: DataFrame) -> DataFrame:
     def run(frames):
         import pandas as pd
 
-        current, held = object(), ""
+        current, held, maps = object(), "", _Maps()
         for pdf in frames:
             out = []
             for sid, seq, chunk, tokens in zip(pdf["stream_id"], pdf["seq"], pdf["chunk"], pdf["tokens"]):
                 if sid != current:
                     current, held = sid, ""
-                r = Rehydrator(json.loads(tokens or "{}"), held)
+                r = Rehydrator(maps.of(tokens), held)
                 out.append((sid, seq, r.close() if chunk == DONE else r.feed(chunk or "")))
                 held = r.held
             yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
