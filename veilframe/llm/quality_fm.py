@@ -6,12 +6,14 @@ The pairwise term is read off in time linear in the features that a text has.  F
 words hashed to ``BUCKETS`` (log counts, scaled to length one), and numbers about its structure and size (shares of
 byte classes, word and line lengths, repetition), standardised with the training sample's means.
 
-The machine is fitted on the driver on at most ``TRAIN_ROWS`` labelled rows of the training fold (those whose crc32 of
-the id, as text, is not 1 mod 3), taken in the order of a hash of their ids; only their features are collected.
+The machine is fitted on the driver on at most ``TRAIN_ROWS`` labelled ids of the training fold (those whose crc32 of
+the id, as text, is not 1 mod 3), taken in the order of a hash of the ids; of rows with the same id the one whose text
+has the least hash counts.  Only features are collected, at most ``BUCKETS`` of twelve bytes for a row.
 
 Defined cases: null text is empty text, whose score is that of a text without words; a null doc_id is not held out and
 never labelled; several labels of one id are averaged, and a tie counts as 1; without labels of both kinds every score
-is the prior; repeated rows are each scored; an empty table gives no rows.
+is the prior; repeated rows are each scored; a very long text is a chunk of its own and its features are no more than
+any other's; an empty table gives no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -182,8 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     ship(docs.sparkSession)
     y = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(F.col("doc_id")) != HELD)).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     some = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text"))  # at most ``rows`` ids
-    got = texts.mapInArrow(_features_of, "y int, buckets binary, vals binary, numbers binary").limit(2 * rows).collect()
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", text.alias("text")).join(F.broadcast(some), "doc_id")  # at most ``rows`` ids
+    texts = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = texts.select("y", "text").mapInArrow(_features_of, "y int, buckets binary, vals binary, numbers binary").collect()
     got = sorted(got, key=lambda r: (bytes(r["numbers"]), bytes(r["buckets"]), r["y"]))  # the same order in every run
     words = [(np.frombuffer(r["buckets"], "<i4").astype(np.int64), np.frombuffer(r["vals"], "<f4").astype(float)) for r in got]
     raw = np.array([np.frombuffer(r["numbers"], "<f8") for r in got]).reshape(len(got), NUMBERS)
