@@ -22,21 +22,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from veilframe.llm.util import NON_WS, fingerprint, kept_lines, materialize, remove, salted_join, table, words
 
 MIN_WORDS = 20
+#: No text has more lines than characters, and a string is shorter than 2^31 bytes.
+LINE_BITS = 31
 #: White space: the space and the ASCII controls from tab to carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs with a unique ``row`` that keeps their order, and the bits that hold the number of a line in a row."""
-    n, distinct, low, high, most = docs.agg(F.count("*"), F.countDistinct("doc_id"), F.min("doc_id"), F.max("doc_id"), F.max(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()
+    n, distinct, low, high = docs.agg(F.count("*"), F.countDistinct("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    numbers = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    if n == 0 or (n == distinct and numbers and low >= 0 and int(high).bit_length() + LINE_BITS < 63):
+        return docs.withColumn("row", F.col("doc_id").cast("long")), LINE_BITS
+    most = docs.agg(F.max(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0]
     bits = max(1, int(most or 1).bit_length())
-    if n == distinct and (n == 0 or (low >= 0 and int(high).bit_length() + bits < 62)):
-        return docs.withColumn("row", F.col("doc_id").cast("long")), bits
     kept, _ = materialize(docs.withColumn("_at", F.monotonically_increasing_id()), "rows")
     width = (kept.agg(F.max(F.col("_at").bitwiseAND((1 << 33) - 1))).first()[0] or 0) + 1
     return kept.withColumn("row", F.shiftright("_at", 33) * width + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at"), bits
