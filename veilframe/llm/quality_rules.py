@@ -119,7 +119,10 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
     gone = F.coalesce(F.col("removed_words"), F.lit(0)).cast("long")
     failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n)
     cols = ["doc_id", *[F.col(f"s.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]]
-    cols += [failed.alias("base_failed"), (~failed & ((n - gone) >= min_left * n)).alias("kept"), gone.alias("removed_words")]
+    # one comparison over both sides of the join, which says nothing on nulls: a filter on it is not taken apart and pushed
+    # to where it would have the statistics of each text made twice
+    kept = F.coalesce((n - gone) >= F.when(failed, n + 1).otherwise(min_left * n), F.lit(False))
+    cols += [failed.alias("base_failed"), kept.alias("kept"), gone.alias("removed_words")]
     if with_text:
         cols += ["doc", F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(kept_lines(F.col("doc.text"), F.col("removed"))).alias("clean_text")]
     return out.select(*cols)
