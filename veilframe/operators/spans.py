@@ -26,19 +26,39 @@ def java_pattern(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost matches that do not overlap: an array of (s, e)."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    lens = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda g: F.length(g))
+#: Matches that are placed together; a list that grows by one each time is copied each time.
+RUN = 64
+
+
+def placed(pairs: Column, skip: bool) -> Column:
+    """(gap, len) of each match, the gap counted from the end of the match before (or with skip=False from its start), to
+    (s, e).  Runs of matches are placed from zero, then runs are moved to where they belong."""
+    spot = "array<struct<s:int,e:int>>"
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["gap"]
         e = s + x["len"]
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"))).alias("out"))
+        return F.struct((e if skip else s).alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"))).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), lens.alias("len")), lambda x: x["len"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def of(p: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(spot).alias("out"))
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(p, k * RUN + 1, F.lit(RUN)), zero, step))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at:int,out:{spot}>>").alias("out"))
+        moved = F.aggregate(runs, start, lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("at"), r["out"].alias("out"))).alias("out")))
+        whole = F.flatten(F.transform(moved["out"], lambda r: F.transform(r["out"], lambda x: F.struct((x["s"] + r["at"]).alias("s"), (x["e"] + r["at"]).alias("e")))))
+        return F.when(F.size(p) > 0, whole).otherwise(F.array().cast(spot))
+
+    return let(pairs, of)
+
+
+def _pairs(gaps: Column, lens: Column) -> Column:
+    return F.filter(F.arrays_zip(gaps.alias("gap"), lens.alias("len")), lambda x: x["len"].isNotNull())
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Leftmost matches that do not overlap: an array of (s, e)."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    return placed(_pairs(gaps, F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda g: F.length(g))), skip=True)
 
 
 def feasible(text: Column, pattern: str) -> Column:
@@ -46,14 +66,7 @@ def feasible(text: Column, pattern: str) -> Column:
     look = f"(?=({pattern}))"
     lens = F.transform(F.regexp_extract_all(text, F.lit(look), 1), lambda m: F.length(m))
     gaps = F.transform(F.split(F.regexp_replace(text, look, MARK), MARK, -1), lambda g: F.length(g))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        return F.struct(s.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), (s + x["len"]).alias("e"))).alias("out"))
-
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), lens.alias("len")), lambda x: x["len"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return placed(_pairs(gaps, lens), skip=False)
 
 
 def dictionary_pattern(term: str) -> str:
