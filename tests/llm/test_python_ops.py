@@ -223,6 +223,18 @@ def test_search_is_streamed(processor):
         assert out + s.close() == processor.encode(text[1:].replace(sp_viterbi.MARK, " ")) and most < 8 * s.window
 
 
+def test_ids_are_committed_where_paths_converge(docs, processor):
+    c = sp_viterbi.Codec(public_tokenizers.path(sp_viterbi.MODEL))
+    search = c.parts.search
+    for r in docs.limit(40).collect():
+        c.encode_bytes(r.text or "")
+    assert search.commits == len(c.parts) > 1000  # one at each boundary that no piece crosses
+    before = search.commits
+    text = "".join(random.Random(5).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    assert np.frombuffer(c.encode_bytes(text), "<i4").tolist() == processor.encode(text)
+    assert search.commits - before > 20  # within one stretch of letters
+
+
 def test_sentencepiece_rows(spark, odd):
     out = sp_viterbi.encode(odd)
     rows = out.collect()

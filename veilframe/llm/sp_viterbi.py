@@ -8,12 +8,15 @@ still be the start of a piece; whenever the paths from all of them share a bound
 and forgotten.  Memory is bounded by the window, not by the text.
 
 Some boundaries are shared by all paths whatever the text: before a space mark, beside a line feed, between a word
-character and another one, so far as the vocabulary has no piece across them.  Texts are cut there first and the
-encodings of the parts are remembered (a bounded memory for each worker).
+character and another one, so far as the vocabulary has no piece across them.  At such a boundary all surviving paths
+have converged, so the search commits there without waiting for its window to fill; in stretches without one (long runs
+of letters, or of other characters) it commits when the paths of the window do.  What stands between two committed
+boundaries always gives the same ids, so these are remembered (a bounded memory for each worker) and the search only
+runs on stretches not seen before.
 
 Defined cases: null and empty texts have no ids; characters outside the vocabulary become their UTF-8 bytes; the mark
 U+2581 in a text reads as a space when decoded (``decoded_ok`` is false there); repeated rows give a row each; an
-empty table gives no rows.
+empty table gives no rows; a very long text is searched in its window like any other; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -109,6 +112,7 @@ class StreamingViterbi:
 
     def __init__(self, model: Model):
         self.model, self.window = model, model.window
+        self.commits = 0
         self._start("")
 
     def _start(self, before: str) -> None:
@@ -167,14 +171,16 @@ class StreamingViterbi:
         if not upto:
             return []
         out = self._path(upto)
+        self.commits += 1
         tail, last, grown = self.tail, self.last, self.grown
         self._start(last[upto])
         self.tail, self.last, self.grown = tail[upto:], last[upto:], grown - upto
         return out
 
     def close(self) -> list[int]:
+        """At a boundary that no piece crosses, or the end: its position is the only one alive, so all paths converge there."""
         self._grow(len(self.tail))
-        out = self._path(len(self.tail))
+        out = self._commit()
         self._start("")
         return out
 
