@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
-from veilframe.llm.util import NON_WS, fingerprint, kept_lines, materialize, remove, salted_join, table, words
+from veilframe.llm.util import NON_WS, WS_CLASS, fingerprint, kept_lines, materialize, remove, salted_join, table
 
 MIN_WORDS = 20
 #: No text has more lines than characters, and a string is shorter than 2^31 bytes.
@@ -50,9 +50,9 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
 def line_table(docs: DataFrame, bits: int) -> DataFrame:
     """Every non-blank line: pos (row and number among them), idx (number in the text), its 128-bit id, its words."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("idx"), F.btrim(x, F.lit(WHITE)).alias("line")))
-    rows = docs.select("row", F.posexplode(F.filter(lines, lambda x: x["line"].rlike(NON_WS))).alias("s", "x"))
+    rows = docs.select("row", F.posexplode(F.filter(lines, lambda x: x["line"] != "")).alias("s", "x"))
     h1, h2 = fingerprint(F.col("x.line"))
-    return rows.select((F.shiftleft("row", bits) + F.col("s")).alias("pos"), F.col("x.idx").alias("idx"), h1.alias("h1"), h2.alias("h2"), F.size(words(F.col("x.line"))).alias("w"))
+    return rows.select((F.shiftleft("row", bits) + F.col("s")).alias("pos"), F.col("x.idx").alias("idx"), h1.alias("h1"), h2.alias("h2"), F.size(F.split(F.col("x.line"), WS_CLASS)).alias("w"))
 
 
 def _repeated(named: DataFrame, keys: list[str]) -> DataFrame:
