@@ -73,6 +73,24 @@ def test_white_space_at_the_ends_of_lines_is_ignored(spark):
     assert got == {0: rows[0][1], 1: "a\r\nb", 2: ""}
 
 
+def test_ranks_are_a_suffix_array(spark):
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    lines = line_dedup.line_table(df, 8)
+    ids = {r.pos: (r.h1, r.h2) for r in lines.collect()}
+    levels, _ = line_dedup.ascend(line_dedup._repeated(lines, ["h1", "h2"]).select("pos", "name"), 8)
+    runs = {p: tuple(ids[q] for q in range(p, p + 300) if q in ids and q >> 8 == p >> 8) for p in ids}
+    for k, level in enumerate(levels):
+        named = sorted((r.name, runs[r.pos][: 1 << k]) for r in level.collect())
+        assert all(len(run) == 1 << k for _, run in named)
+        assert all((a == b) == (x == y) and x <= y for (a, x), (b, y) in zip(named, named[1:]))  # equal runs, equal ranks, in order
+    ranks = {r.pos: r.ranks for r in line_dedup.suffix_array(levels).collect()}
+    deep = max(len(r) for r in ranks.values()) - 1
+    last = sorted((r, runs[p][: 1 << deep]) for p, r in ranks.items() if len(r) == deep + 1)
+    assert deep > 1 and [x for _, x in last] == sorted(x for _, x in last)
+
+
 def test_runs_on_documents(docs):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     want = {i: len(g) for (i, _), g in zip(rows, plain.line_runs([t for _, t in rows], line_dedup.MIN_WORDS))}

@@ -1,17 +1,18 @@
 """Line dedup: repeated runs of lines by distributed prefix doubling over line ids.
 
-The corpus is one sequence of line ids, document after document; blank lines are left out of it.  A suffix is named, at
-each length 2^k, by the least position whose 2^k lines are the same, so that equal names are equal runs and a name says
-at once whether an earlier copy exists.  Doubling goes up: the pair of names at p and p + 2^k gives the name at
-2^(k+1); suffixes whose run is unique leave, so each round only holds what repeats.
+The corpus is one sequence of line ids, document after document; blank lines are left out of it.  Suffixes are ranked by
+their first 2^k lines, for k = 0, 1, 2, ...: each round sorts the pairs of ranks at p and p + 2^k by range, which gives
+the ranks at 2^(k+1).  Suffixes whose run is unique have their place then and leave, so each round only holds what
+repeats; after the last round the ranks (``suffix_array``) order all suffixes that share lines with another one.
 
+Suffixes of equal rank at a length are one interval of the suffix array whose members have a common prefix of that length.
 The way down finds, for every suffix, the longest prefix that an earlier suffix shares (the greatest depth of a
 longest-common-prefix interval with an earlier member), adding powers of two: at length c, the members of an interval
-split by their names at p + c.  In each part with several members, all but the first go on to c + 2^k; the first stays,
+split by their ranks at p + c.  In each part with several members, all but the first go on to c + 2^k; the first stays,
 stands there for the whole part, and a witness of it goes along.  Runs that lie within a longer one are left out; the
 remaining maximal runs of ``MIN_WORDS`` words or more are deleted, as there is an earlier copy of each.
 
-Names are positions, not hashes; only the line id itself is a 128-bit hash of the line without white space at its ends.
+Ranks compare line ids, not texts: a line id is a 128-bit hash of the line without white space at its ends.
 
 Defined cases: null text is empty text and stays null; rows are taken in order of ``doc_id`` where those are unique and
 fit, else in the order read; a run never reaches into the next row; equal rows beyond the first lose all their lines
@@ -20,6 +21,8 @@ that make up runs long enough; an empty table gives no rows; other columns are n
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -56,9 +59,13 @@ def line_table(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def _repeated(named: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of named whose keys occur several times, with ``name``: the least pos that has them."""
-    groups = named.groupBy(*keys).agg(F.min("pos").alias("name"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return salted_join(named, groups, keys, F.col("pos"))
+    """Rows of named whose keys occur several times, with ``name``: the rank of the keys among those that do.
+
+    Keys are sorted by range, so the number of a partition and the place in it are a rank; ranks are in order, with gaps.
+    """
+    groups = named.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    ranked = groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
+    return salted_join(named, ranked, keys, F.col("pos"))
 
 
 def _same_row(a: Column, b: Column, bits: int) -> Column:
@@ -80,6 +87,14 @@ def ascend(first: DataFrame, bits: int) -> tuple[list[DataFrame], list[str]]:
         levels.append(found)
 
 
+def suffix_array(levels: list[DataFrame]) -> DataFrame:
+    """(pos, ranks): ranks, compared as lists, put the suffixes that repeat at all in order; a list ends where the run is
+    unique or its row ends."""
+    every = [n.select("pos", F.struct(F.lit(k).alias("k"), F.col("name").alias("name")).alias("r")) for k, n in enumerate(levels)]
+    rows = functools.reduce(DataFrame.unionByName, every)
+    return rows.groupBy("pos").agg(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["name"]).alias("ranks"))
+
+
 def longest_earlier(levels: list[DataFrame], bits: int) -> tuple[DataFrame, str]:
     """(pos, c): for suffixes that share lines with an earlier one, how many at most."""
     rows: DataFrame | None = None
