@@ -39,6 +39,8 @@ STEP = 16
 TOLERANCE = 1e-6
 #: Texts of a block, and the words they may have together on average: long texts make smaller blocks.
 BLOCK = 256
+#: Texts that a task compares, on average; two blocks of a large component may make it more.
+TASK_ROWS = 1024
 
 
 def _multipliers():
@@ -282,12 +284,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     near, _ = materialize(components(edges, "near"), "near")
 
     members = near.withColumnRenamed("node", "rep").join(sets.select("rep", "copies", "n"), "rep")
-    sizes = members.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (block * 2000))).cast("int").alias("blocks"))
-    dealt = salted_join(members, sizes, ["label"], F.col("rep")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("label").agg(F.count("*").alias("members"), F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (block * 2000))).cast("int").alias("blocks"))
+    dealt = salted_join(members, sizes.drop("members"), ["label"], F.col("rep")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     with_text = dealt.join(docs.select(F.col("row").alias("rep"), "text"), "rep")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = with_text.select("label", "rep", "copies", "text", "block", other).select("label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "rep", "copies", "text", "block")
-    compared, _ = materialize(pairs.groupBy("label", "p", "q").applyInPandas(_pair_of_blocks(threshold), "rep long, label long, links long, texts long"), "compared")
+    # by range, as a hash would put several pairs of large blocks into one task; by number, as comparing costs more than its bytes say
+    rows = sizes.agg(F.coalesce(F.sum(F.col("members") * F.col("blocks")), F.lit(0))).first()[0]
+    by_size = pairs.repartitionByRange(max(1, math.ceil(rows / TASK_ROWS)), "label", "p", "q")
+    compared, _ = materialize(by_size.groupBy("label", "p", "q").applyInPandas(_pair_of_blocks(threshold), "rep long, label long, links long, texts long"), "compared")
 
     linked = compared.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     final = components(compared.filter("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b")), "final")
