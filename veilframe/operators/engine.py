@@ -26,6 +26,8 @@ REPORT = (
 )
 #: Characters of texts that patterns are looked for in together; one longer text is looked at by itself.
 TOGETHER = 250_000
+#: Rows of a batch of reports.
+ROWS = 1000
 #: What may stand between a confirmed name and a potential that fuses with it, beside white space.
 JOINTS = (" bin ", " al ", " da ", " de ", " van ", " von ")
 
@@ -69,12 +71,22 @@ class Engine:
         self.for_rules = Prefilter({f"{r.id} {p.pattern}": p.pattern for r, p in self.patterns})
         self.for_names = Prefilter({k: p.pattern for k, p in PATTERNS.items()} | {f"{r.id} {p.pattern}": p.pattern for r, p in self.heuristics})
 
+    def prepared(self, texts: list[str | None]) -> Iterator[tuple]:
+        """What ``report`` need not find out again for each text: its readings, and the patterns that it cannot hold, which
+        are looked for in many texts at once."""
+        at = 0
+        while at < len(texts):
+            to, held = at, 0
+            while to < len(texts) and (to == at or held + len(texts[to] or "") <= TOGETHER):
+                held += len(texts[to] or "")
+                to += 1
+            read = [normalize(t or "") for t in texts[at:to]]
+            rules, names = self.for_rules.absent([n.unicode for n in read]), self.for_names.absent([n.unicode for n in read])
+            yield from zip(read, rules, zip(names, self.for_names.absent([n.ascii for n in read])))
+            at = to
+
     def reports(self, texts: list[str | None]) -> list[dict | None]:
-        """Reports of many texts: patterns are first looked for in all of them at once."""
-        read = [normalize(t or "") for t in texts]
-        rules, names = self.for_rules.absent([n.unicode for n in read]), self.for_names.absent([n.unicode for n in read])
-        in_ascii = self.for_names.absent([n.ascii for n in read])
-        return [None if t is None else self.report(t, None, (n, r, (u, a))) for t, n, r, u, a in zip(texts, read, rules, names, in_ascii)]
+        return [None if t is None else self.report(t, None, known) for t, known in zip(texts, self.prepared(texts))]
 
     def _terms(self, n) -> list[Span]:
         low, out = n.ascii.lower(), []
@@ -202,14 +214,9 @@ def scrub(df: DataFrame, rules: RuleSet, column: str = "text", words: Words | No
     def run(batches: Iterator) -> Iterator:
         engine = made.setdefault("engine", Engine(rules, words))
         for batch in batches:
-            texts, at = batch.column(column).to_pylist(), 0
-            while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to] or "") <= TOGETHER):
-                    held += len(texts[to] or "")
-                    to += 1
-                part, reports = batch.slice(at, to - at), engine.reports(texts[at:to])
-                at = to
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                reports = engine.reports(part.column(column).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(reports, arrow)], names=[*batch.schema.names, "report"])
 
     return df.mapInArrow(run, schema)

@@ -78,10 +78,11 @@ def scrub_sessions(df: DataFrame, user: str, order: str, rules: RuleSet, column:
         engine, current, tokens = Engine(rules, words), object(), SessionTokens()
         for pdf in frames:
             out = []
-            for u, o, text in zip(pdf[user], pdf[order], pdf[column]):
+            texts = [t or "" for t in pdf[column]]
+            for u, o, text, known in zip(pdf[user], pdf[order], texts, engine.prepared(texts)):
                 if u != current:
                     current, tokens = u, SessionTokens()
-                r = engine.report(text or "", tokens)
+                r = engine.report(text, tokens, known)
                 out.append((u, o, r["sanitized_text"], len(r["redactions"])))
             yield pd.DataFrame(out, columns=[user, order, "sanitized_text", "n_redactions"])
 
