@@ -177,6 +177,11 @@ def test_sniffing(spark):
         assert media.sniff_bytes(data, "text/plain") == (kind, [])
         assert media.sniff_bytes(b"junk" + data + b"more", "text/plain") == ("text/plain", [(kind, 4, len(data))])
         assert media.sniff_bytes(data[:-3] + b"!!", "text/plain")[0] == "text/plain" or kind in ("application/pdf",)
+    twice = pdf + b"\nupdate\nstartxref\n9\n%%EOF"
+    assert media.sniff_bytes(b"x" + twice + b"y" + pdf, "text/plain")[1] == [("application/pdf", 1, len(twice)), ("application/pdf", len(twice) + 2, len(pdf))]
+    end = z.getvalue()
+    lying = end[:-2] + struct.pack("<H", 50_000)  # an end record that claims a comment beyond the value
+    assert media.sniff_bytes(b"x" + lying, "text/plain") == ("text/plain", []) and media.sniff_bytes(b"x" + end[:-2] + b"\x02\x00hi", "text/plain")[1] == [("application/zip", 1, len(end) + 2)]
     assert media.sniff_bytes(None) == (None, []) and media.sniff_bytes(b"RIFFxxxx") == (None, [])
     inner = media.wav_of(png() + bytes(-len(png()) % 2))
     assert media.sniff_bytes(inner) == ("audio/wav", [("image/png", 44, len(png()))])
