@@ -132,11 +132,11 @@ def report(text: Column, resolved: Column) -> Column:
     def build(sp: Column) -> Column:
         with_text = F.transform(sp, lambda x: F.struct(x.alias("x"), F.substring(text, x["s"] + 1, x["e"] - x["s"]).alias("t")))
         hidden = F.filter(with_text, lambda y: y["x"]["prio"] > 1)
-        keys = F.array_distinct(F.transform(hidden, lambda y: F.lower(y["t"])))
+        low = F.transform(hidden, lambda y: F.lower(y["t"]))
 
         def named(parts: Column) -> Column:
-            hid, ks, shown = parts["hid"], parts["ks"], parts["shown"]
-            first = lambda k: F.filter(hid, lambda y: F.lower(y["t"]) == k)[0]["x"]
+            hid, ks, shown, low = parts["hid"], parts["ks"], parts["shown"], parts["low"]
+            first = lambda k: F.element_at(hid, F.array_position(low, k).cast("int"))["x"]
             tokens = F.transform(ks, lambda k, i: let(first(k), lambda x: placeholder(x["rule"], x["category"], i + 1)))
 
             def done(tk: Column) -> Column:
@@ -153,7 +153,7 @@ def report(text: Column, resolved: Column) -> Column:
                         y["x"]["rule"].alias("rule_id"), action_of(y["x"]["prio"]).alias("action"), F.octet_length(F.left(text, y["x"]["s"])).cast("long").alias("offset"),
                         F.octet_length(y["t"]).cast("long").alias("length"), token.alias("placeholder"), y["x"]["category"].alias("category"),
                     )
-                    last = F.transform(ks, lambda k: F.element_at(F.filter(hid, lambda y: F.lower(y["t"]) == k), -1)["t"])
+                    last = let(F.reverse(low), lambda back: F.transform(ks, lambda k: F.element_at(hid, -F.array_position(back, k).cast("int"))["t"]))
                     return F.struct(
                         pieces.alias("sanitized_text"),
                         F.exists(hid, lambda y: y["x"]["prio"] == PRIORITY["Block"]).alias("is_blocked"),
@@ -165,7 +165,7 @@ def report(text: Column, resolved: Column) -> Column:
 
             return let(tokens, done)
 
-        return let(F.struct(hidden.alias("hid"), keys.alias("ks"), F.filter(with_text, lambda y: y["x"]["prio"] == 1).alias("shown")), named)
+        return let(F.struct(hidden.alias("hid"), low.alias("low"), F.array_distinct(low).alias("ks"), F.filter(with_text, lambda y: y["x"]["prio"] == 1).alias("shown")), named)
 
     return let(resolved, build)
 
