@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.util import expire, let, remove, salted_join, scratch, table
+from veilframe.operators.spans import placed
 
 #: Fixed by the contract: (kind, pattern, least length, group that the length is of).
 BASE = (
@@ -45,22 +46,14 @@ def spans_of(text: Column, order: int) -> Column:
     kind, pattern, least, group = KINDS[order]
     pattern_col = F.lit(pattern)
 
-    def placed(pairs: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + x["gap"]
-            end = start + x["len"]
-            item = F.struct(start.alias("s"), F.lit(order).alias("k"), end.alias("e"))
-            return F.struct(end.alias("at"), F.when(x["val"] >= least, F.array_append(acc["out"], item)).otherwise(acc["out"]).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     lens = F.transform(F.regexp_extract_all(text, pattern_col, 0), lambda g: F.length(g))
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), lens.alias("len")), lambda x: x["len"].isNotNull())
     vals = lens if group == 0 else F.transform(F.regexp_extract_all(text, pattern_col, group), lambda g: F.length(g))
-    zipped = F.filter(F.arrays_zip(gaps.alias("gap"), lens.alias("len"), vals.alias("val")), lambda x: x["len"].isNotNull())
+    fits = F.filter(F.arrays_zip(placed(pairs, skip=True).alias("at"), vals.alias("val")), lambda x: x["val"] >= least)
+    found = F.transform(fits, lambda x: F.struct(x["at"]["s"].alias("s"), F.lit(order).alias("k"), x["at"]["e"].alias("e")))
     # a kind that is nowhere in the text costs one search only
-    return F.when(text.rlike(_PRESENT[kind]), let(zipped, placed)).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(_PRESENT[kind]), found).otherwise(F.array().cast(SPAN))
 
 
 def all_spans(text: Column) -> Column:
