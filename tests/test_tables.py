@@ -185,3 +185,62 @@ def test_legacy_shield(spark):
 def test_guard_hook(spark):
     df = spark.createDataFrame([("x", True), ("y", False), ("z", None)], "text string, bad boolean")
     assert [r.s for r in df.select(T.guard_status(F.col("text"), classifier=F.col("bad")).alias("s")).collect()] == ["classifier", "ok", "classifier"]
+
+
+def test_tables(spark, tmp_path):
+    from veilframe.sources.tables import SCHEMAS, Tables
+
+    t = Tables(spark, str(tmp_path / "store"))
+    assert all(t.read(name).isEmpty() and t.read(name).columns == [c.split()[0] for c in s.split(", ")] for name, s in SCHEMAS.items())
+    docs = spark.createDataFrame([("1", "a", "ann"), ("2", "b", "bob"), ("3", None, None)], "id string, text string, username string")
+    t.append(docs, "documents")
+    t.append(docs.limit(1), "documents")
+    assert sorted(r.id for r in t.read("documents").collect()) == ["1", "1", "2", "3"]
+    t.replace(audit.purge_everywhere("ann", documents=t.read("documents"))["documents"], "documents")
+    assert sorted((r.id, r.text, r.username) for r in t.read("documents").collect()) == [("2", "b", "bob"), ("3", None, None)]
+    with pytest.raises(KeyError):
+        t.read("none")
+
+
+def test_acknowledged_rows_and_purged_users(spark, ledger):
+    acked = audit.acknowledge(audit.acknowledge(ledger, spark.createDataFrame([(1, 2), (1, 2)], "chain long, seq long")), spark.createDataFrame([(2, 3)], "chain long, seq long"))
+    assert {(r.chain, r.seq) for r in acked.filter("siem_acked").collect()} == {(1, 2), (2, 3)} and acked.count() == ledger.count()
+    out = audit.purge_everywhere("u1", ledger=ledger, sessions=spark.createDataFrame([("u1",), ("u2",), (None,)], "username string"))
+    assert {r.username for r in out["sessions"].collect()} == {"u2", None} and out["ledger"].filter("username = 'u1'").isEmpty()
+
+
+def test_rate_limit(spark, tmp_path):
+    from veilframe.streaming.intake import limit, limit_stream, write_batches
+
+    rows = [("a", f"{i:03}", i * 0.01) for i in range(60)] + [("b", "000", 5.0), ("c", "000", None)]
+    df = spark.createDataFrame(rows, "username string, id string, at double")
+    got = {(r.username, r.id): r.allowed for r in limit(df, rate=10, burst=20).collect()}
+    assert sum(v for (u, _), v in got.items() if u == "a") == 25 and got["b", "000"] and not got["c", "000"] and all(got["a", f"{i:03}"] for i in range(22))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = limit_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 10, 20)
+    write_batches(stream, str(tmp_path / "out"), str(tmp_path / "ck"), None).awaitTermination()
+    assert {(r.username, r.id): r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {k: v for k, v in got.items() if k[0] != "c"}
+
+
+def test_jobs_never_show_what_could_not_be_scrubbed(spark):
+    docs = spark.createDataFrame([(1, "ann", "red apple", "r"), (2, "ann", "apple", None)], "doc_id long, owner string, text string, safe string")
+    asked = spark.createDataFrame([("ann", "t", "apple", "1")], "username string, thread_id string, query string, created_at string")
+    jobs = retrieval.complete(retrieval.enqueue(asked, PEPPER), docs, "owner", PEPPER, scrubbed=F.col("safe")).cache()
+    assert retrieval.result_of(jobs, jobs.first().id, "ann", PEPPER).first().result == "r\n---\n[REDACTION_FAILURE]"
+
+
+def test_latencies(spark):
+    import random
+
+    rng = random.Random(3)
+    for values in ([5.0], [1.0, 2.0], [rng.random() * 10 ** rng.randrange(6) for _ in range(999)], [7.0] * 50 + [1.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        s, n = sorted(values), len(values)
+        row = evaluate.latencies(df, "v").first()
+        assert (row.min, row.median, row.p95, row.p99, row.max) == (s[0], s[n // 2], s[min(n - 1, int(n * 0.95))], s[min(n - 1, int(n * 0.99))], s[-1])
+    assert evaluate.latencies(df.limit(0), "v").first().median is None
+
+
+def test_gaps_of_one_chain(spark):
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 5, 999_999, 1_000_000, 1_000_002, 3_500_000)], "id long")
+    assert sorted(tuple(r) for r in audit.gaps(ids, "id").collect()) == [(2, 5), (5, 999_999), (1_000_000, 1_000_002), (1_000_002, 3_500_000)]
