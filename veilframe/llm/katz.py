@@ -62,7 +62,7 @@ BUCKET = 3_000_000
 #: Pairs of a part of the table.
 PART = 200_000
 #: Bytes of text hashed together.
-FLUSH = 3 << 20
+FLUSH = 1 << 20
 #: Codes from here on are hashes of rare words; the begin of a text has the place after the frequent words.
 RARE = 1 << 63
 
