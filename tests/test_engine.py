@@ -120,6 +120,11 @@ def test_normalize_golden():
     assert n.unicode == n.ascii == "AB\t\r\n" and n.from_ascii[:2] == [0, 2]
 
 
+def test_spelled_syllables():
+    assert normalize("さくら トヨタ 한국 Ж").ascii == "sakura toyota hangug Zh"
+    assert Engine(RuleSet([rule("d", "Sakura")])).report("x さくら y")["sanitized_text"] == "x [TOKEN_1] y"
+
+
 def test_manifest(tmp_path):
     (tmp_path / "rules").mkdir()
     (tmp_path / "rules/a.yaml").write_text("rules:\n  - {id: x, pattern: 'a+', type: Regex, action: Block}\nai_enabled: true\nai_confidence_threshold: 0.5\n")

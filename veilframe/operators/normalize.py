@@ -12,6 +12,7 @@ _INVISIBLE = {*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2
 _GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a v g d e z i th i k l m n x o p r s s t y f ch ps o".split()))
 _CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяіїєґ", "a b v g d e zh z i y k l m n o p r s t u f kh ts ch sh shch _ y _ e yu ya i i e g".replace("_", "'").split()))
 _SPECIAL = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "þ": "th", "ð": "d", "ı": "i", "’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "...", "•": "*", "€": "EUR"}
+_SYLLABLES = ("HIRAGANA LETTER ", "KATAKANA LETTER ", "HANGUL SYLLABLE ")
 _TABLE = {**_GREEK, **_CYRILLIC, **_SPECIAL}
 
 
@@ -27,6 +28,10 @@ def to_ascii(c: str) -> str:
     if low in _TABLE:
         out = _TABLE[low]
         return out[:1].upper() + out[1:] if c != low else out
+    name = unicodedata.name(c, "")
+    for script in _SYLLABLES:  # their names are their sounds
+        if name.startswith(script):
+            return name[len(script) :].removeprefix("SMALL ").lower()
     base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
     if base and base != c:
         return "".join(to_ascii(x) for x in base)
