@@ -244,3 +244,19 @@ def test_latencies(spark):
 def test_gaps_of_one_chain(spark):
     ids = spark.createDataFrame([(i,) for i in (1, 2, 5, 999_999, 1_000_000, 1_000_002, 3_500_000)], "id long")
     assert sorted(tuple(r) for r in audit.gaps(ids, "id").collect()) == [(2, 5), (5, 999_999), (1_000_000, 1_000_002), (1_000_002, 3_500_000)]
+
+
+def test_bodies(spark):
+    from veilframe.operators.content import scrub_bodies, texts_of, walk
+    from veilframe.sources.rules import Rule, RuleSet
+
+    deep = "x"
+    for _ in range(100_000):
+        deep = [{"text": deep}]
+    assert texts_of({"messages": [{"content": deep}]}) == ["x"]
+    given = {"text": ["a", {"content": "b", "other": "c"}], "id": "d"}
+    assert walk(given, str.upper) == {"text": ["A", {"content": "B", "other": "c"}], "id": "d"} and given["text"][0] == "a"
+    rows = spark.createDataFrame([(1, '{"prompt":"Anna and Bob"}', 5), (2, "no json", 6), (3, "[1]", 7), (4, None, 8)], "id int, body string, texts2 int")
+    got = {r.id: r for r in scrub_bodies(rows, RuleSet([Rule("name", "R", "IndividualName", "Redact", "Anna|Bob")])).collect()}
+    assert got[1].clean == '{"prompt":"[NAME_1] and [NAME_2]"}' and got[1].token_map == {"[NAME_1]": "Anna", "[NAME_2]": "Bob"} and got[1].texts2 == 5
+    assert all(got[i].clean is None and got[i].texts is None for i in (2, 3, 4))

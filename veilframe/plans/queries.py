@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import crypto, text as T
-from veilframe.operators import audit, engine, evaluate, legacy, retrieval, sessions, spans
-from veilframe.plans.cases import CANDIDATES, PLANTED, SANITIZED, SCRUBBED, SESSION_RULES, SESSIONS
+from veilframe.operators import audit, content, engine, evaluate, legacy, retrieval, sessions, spans
+from veilframe.plans.cases import BODIES, CANDIDATES, PLANTED, SANITIZED, SCRUBBED, SESSION_RULES, SESSIONS
 from veilframe.sources.rules import CATEGORIES, Rule, RuleSet, pack
 from veilframe.streaming import rehydrate
 
@@ -105,6 +105,12 @@ def session_cases(spark, d):
     return sessions.scrub_sessions(turns, "username", "turn", RuleSet(SESSION_RULES)).select("username", "turn", "sanitized_text")
 
 
+def body_cases(spark, d):
+    rows = spark.createDataFrame([x[:2] for x in BODIES], "id int, body string")
+    out = content.scrub_bodies(rows, RuleSet([EMAIL]))
+    return out.select("id", F.array_join("texts", "|").alias("texts"), "clean")
+
+
 def candidate_cases(spark, d):
     rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(CANDIDATES)], "id int, text string")
     return engine.name_candidates(rows).select("id", "kind", "match")
@@ -566,6 +572,7 @@ _NAMED = {
     "sanitize_cases": (sanitize_cases, _values([(k, e, *x[2:]) for k, x in enumerate(SANITIZED) for e in ("native", "kernel")], "id, engine, sanitized_text, is_blocked, redactions")),
     "scrub_cases": (scrub_cases, _values([(k, x[2]) for k, x in enumerate(SCRUBBED)], "id, sanitized_text")),
     "session_cases": (session_cases, _values([(u, t, x) for u, t, _, x in SESSIONS], "username, turn, sanitized_text")),
+    "body_cases": (body_cases, _values([(i, t, c) for i, _, t, c in BODIES], "id, texts, clean")),
     "candidate_cases": (candidate_cases, _values([(k, *c) for k, (_, found) in enumerate(CANDIDATES) for c in found], "id, kind, match")),
     "guard_counters": (guard_counters, _COUNTER_SQL),
     "purge_everywhere": (purge_everywhere, _PURGE_SQL),
