@@ -120,6 +120,14 @@ def test_normalize_golden():
     assert n.unicode == n.ascii == "AB\t\r\n" and n.from_ascii[:2] == [0, 2]
 
 
+def test_known_verdicts():
+    rules = pack("india")
+    say = lambda verdicts: Engine(rules, None, verdicts).report("x Sharma y")
+    sure = say({"sharma": ("PER", 0.95)})
+    assert sure["sanitized_text"] == "x [AI_REDACTED_1] y" and sure["redactions"][0]["rule_id"] == "ai_cache_PER" and not sure["potential_misses"]
+    assert say({"sharma": ("PER", 0.94)}) == say({}) == Engine(rules).report("x Sharma y")
+
+
 def test_spelled_syllables():
     assert normalize("さくら トヨタ 한국 Ж").ascii == "sakura toyota hangug Zh"
     assert Engine(RuleSet([rule("d", "Sakura")])).report("x さくら y")["sanitized_text"] == "x [TOKEN_1] y"

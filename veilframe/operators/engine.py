@@ -28,6 +28,8 @@ REPORT = (
 TOGETHER = 250_000
 #: Rows of a batch of reports.
 ROWS = 1000
+#: Fixed value: a verdict with this score needs no other look.
+SURE = 0.95
 #: What may stand between a confirmed name and a potential that fuses with it, beside white space.
 JOINTS = (" bin ", " al ", " da ", " de ", " van ", " von ")
 
@@ -63,8 +65,9 @@ class Tokens:
 
 
 class Engine:
-    def __init__(self, rules: RuleSet, words: Words | None = None):
-        self.words = words or Words()
+    def __init__(self, rules: RuleSet, words: Words | None = None, verdicts: dict[str, tuple[str, float]] | None = None):
+        """verdicts: what a model has said before of names (their ASCII reading in lower case): label and score."""
+        self.words, self.verdicts = words or Words(), verdicts or {}
         self.terms = [(r, normalize(r.pattern).ascii.lower()) for r in rules.of("D")]
         self.patterns = [(r, re.compile(r.pattern)) for r in rules.of("R")]
         self.heuristics = [(r, re.compile(r.pattern)) for r in rules.of("H", "S")]
@@ -121,10 +124,13 @@ class Engine:
         for f in find_names(n.unicode, n.ascii, self.heuristics, self.words, names):
             back = n.from_ascii if f.ascii else n.from_unicode
             start, end = n.to_unicode[back[f.start]], n.to_unicode[back[f.end]]
+            said, score = self.verdicts.get(n.ascii[n.to_ascii[back[f.start]] : n.to_ascii[back[f.end]]].lower(), ("", 0.0)) if self.verdicts else ("", 0.0)
             hit = next((s for s in confirmed if start < s.end and end > s.start), None)
             if hit:
                 hit.start, hit.end = min(hit.start, start), max(hit.end, end)
                 hit.stronger(f.action)
+            elif score >= SURE:
+                confirmed.append(Span(start, end, f"ai_cache_{said}", f.action, "HighConfidenceAi"))
             elif f.action == "AuditOnly":
                 confirmed.append(Span(start, end, f.label, f.action, f.category))
             elif f.category == "IndividualName":
