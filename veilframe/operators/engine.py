@@ -84,8 +84,8 @@ class Engine:
                 held += len(texts[to] or "")
                 to += 1
             read = [normalize(t or "") for t in texts[at:to]]
-            rules, names = self.for_rules.absent([n.unicode for n in read]), self.for_names.absent([n.unicode for n in read])
-            yield from zip(read, rules, zip(names, self.for_names.absent([n.ascii for n in read])))
+            names = (self.for_names.absent([x.replace("_", " ") for x in xs]) for xs in ([n.unicode for n in read], [n.ascii for n in read]))
+            yield from zip(read, self.for_rules.absent([n.unicode for n in read]), zip(*names))
             at = to
 
     def reports(self, texts: list[str | None]) -> list[dict | None]:
