@@ -21,8 +21,18 @@ def _t(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes up to which a table may be dealt out anew.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of at most ``SMALL`` bytes, which may be a single split, dealt over all cores; others stay as they are read."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
+
+
 def _docs(spark, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _rule(pack_name: str, rule: str) -> Rule:
