@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.llm import chat_format, katz, line_dedup, media, ngram_join, packing, quality_fm, quality_rules, secret_scan, sp_viterbi
+from veilframe.llm import chat_format, filter_audit, katz, line_dedup, media, ngram_join, packing, quality_fm, quality_rules, secret_scan, sp_viterbi
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_lm_scoring": katz.op8_lm_scoring,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_secret_scans": secret_scan.op10_secret_scans,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality_rules.SQL,
         "op9_ngram_join": ngram_join.SQL,
         "op10_secret_scans": secret_scan.SQL,
+        "op11_filter_audit": filter_audit.SQL,
     }
