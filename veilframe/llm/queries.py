@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.llm import chat_format, filter_audit, katz, line_dedup, media, ngram_join, packing, quality_fm, quality_rules, secret_scan, sp_viterbi
+from veilframe.llm import chat_format, collocations, filter_audit, katz, line_dedup, media, ngram_join, packing, quality_fm, quality_rules, secret_scan, sp_viterbi
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_secret_scans": secret_scan.op10_secret_scans,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op13_phrase_collocations": collocations.op13_phrase_collocations,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_ngram_join": ngram_join.SQL,
         "op10_secret_scans": secret_scan.SQL,
         "op11_filter_audit": filter_audit.SQL,
+        "op13_phrase_collocations": collocations.SQL,
     }
