@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.llm import chat_format, collocations, filter_audit, katz, line_dedup, media, ngram_join, packing, quality_fm, quality_rules, secret_scan, sp_viterbi
+from veilframe.llm import chat_format, collocations, filter_audit, katz, line_dedup, media, ngram_join, packing, quality_fm, quality_rules, secret_scan, sp_viterbi, toxic_crf
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_secret_scans": secret_scan.op10_secret_scans,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_toxicity": toxic_crf.op12_toxicity,
         "op13_phrase_collocations": collocations.op13_phrase_collocations,
     }
 
