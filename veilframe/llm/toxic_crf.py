@@ -33,7 +33,7 @@ from veilframe.llm.util import materialize, ship, table
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
 TRAIN_ROWS = 4000
-TRAIN_BYTES = 12 << 20
+TRAIN_BYTES = 4 << 20
 BUCKETS = 1 << 18
 CHUNK = 2 << 20
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
@@ -231,6 +231,32 @@ def toxic_words(tokens: Tokens, y):
         out[w[f == best]] = True
 
 
+def _together(texts: list[bytes]) -> Tokens:
+    """The words of all texts, read in parts of a few hundred kilobytes."""
+    import numpy as np
+
+    parts, at = [], 0
+    while at < len(texts) or not parts:
+        to, held = at, 0
+        while to < len(texts) and (to == at or held + len(texts[to]) <= CHUNK // 8):
+            held += len(texts[to])
+            to += 1
+        parts.append(Tokens(np.frombuffer(b"".join(texts[at:to]), np.uint8), np.cumsum([0, *map(len, texts[at:to])])))
+        at = to
+    out = parts[0]
+    if len(parts) > 1:
+        features = np.concatenate([p.features for p in parts])
+        _, first, word = np.unique(features[:, 0], return_index=True, return_inverse=True)
+        shift = np.cumsum([0, *(len(p.features) for p in parts)])
+        rows = np.cumsum([0, *(p.rows for p in parts)])
+        out.word = np.concatenate([word[p.word + k] for p, k in zip(parts, shift)])
+        out.row = np.concatenate([p.row + k for p, k in zip(parts, rows)])
+        out.features = features[first]
+        out.begins, out.counts, out.starts, out.lengths = (np.concatenate([getattr(p, x) for p in parts]) for x in ("begins", "counts", "starts", "lengths"))
+        out.rows = len(texts)
+    return out
+
+
 def fit(texts: list[bytes], y, share: float, seed: int = 5) -> Tagger:
     """share: of toxic texts among all that are labelled; the sample may have more."""
     import numpy as np
@@ -240,8 +266,7 @@ def fit(texts: list[bytes], y, share: float, seed: int = 5) -> Tagger:
     flat = Tagger(np.zeros(BUCKETS), -8.0, np.zeros(4), np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0]))
     if len(set(y.tolist())) < 2:
         return flat
-    make = lambda ids: Tokens(np.frombuffer(b"".join(texts[i] for i in ids), np.uint8), np.cumsum([0, *(len(texts[i]) for i in ids)]))
-    every = make(range(len(texts)))
+    every = _together(texts)
     named = toxic_words(every, y)
     if not named.any():
         return flat
