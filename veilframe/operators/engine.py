@@ -7,13 +7,15 @@ hits widen confirmed spans one by one, and fusion uses potentials up.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from veilframe.functions.text import PREFIX_BY_CATEGORY, PREFIX_BY_RULE, PRIORITY
-from veilframe.operators.names import PATTERNS, find_names
+from veilframe.operators.intervals import Cover, Intervals
+from veilframe.operators.names import PATTERNS, find_candidates, find_names
 from veilframe.operators.normalize import normalize
 from veilframe.operators.prefilter import Prefilter
 from veilframe.ship import ship
@@ -64,11 +66,72 @@ class Tokens:
         return self.by_text.setdefault(text.lower(), f"[{placeholder_prefix(span.rule, span.category)}_{len(self.by_text) + 1}]")
 
 
+class Terms:
+    """All dictionary terms as one automaton: a text is read once, however many terms there are."""
+
+    def __init__(self, terms: list):
+        """terms: (rule, its term in lower-case ASCII)."""
+        self.rules = [(r, t) for r, t in terms if t]
+        self.order = {r.id: k for k, (r, _) in reversed(list(enumerate(self.rules)))}
+        self.by_term: dict[str, list] = {}
+        for rule, term in self.rules:
+            self.by_term.setdefault(term, []).append(rule)
+        self.automaton = None
+        if self.by_term:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for term, rules in self.by_term.items():
+                self.automaton.add_word(term, (len(term), rules))
+            self.automaton.make_automaton()
+
+    def found(self, low: str) -> Iterator[tuple]:
+        """(rule, start, end) of each term with no letter or digit beside it, overlapping ones too."""
+        for last, (size, rules) in self.automaton.iter(low):
+            at, end = last + 1 - size, last + 1
+            if not (at and low[at - 1].isalnum()) and not (end < len(low) and low[end].isalnum()):
+                for rule in rules:
+                    yield rule, at, end
+
+    def equal(self, stripped: str) -> list:
+        return self.by_term.get(stripped, [])
+
+
+class _Following:
+    """Potential spans by their starts: which one may follow a confirmed span?"""
+
+    def __init__(self, text: str, potential: list[Span]):
+        self.text, self.potential = text, potential
+        self.at: dict[int, list[int]] = {}
+        for k, p in enumerate(potential):
+            self.at.setdefault(p.start, []).append(k)
+        self.starts = sorted(self.at)
+        self.used: set[int] = set()
+
+    def take(self, end: int) -> Span | None:
+        """The first listed one after ``end`` with nothing but white space, or a joint of names, between."""
+        if len(self.used) == len(self.potential):
+            return None
+        near = self.starts[bisect_left(self.starts, end) : bisect_right(self.starts, _BLANK.match(self.text, end).end())]
+        near += [end + len(j) for j in JOINTS if self.text.startswith(j, end)]
+        k = min((k for s in near for k in self.at.get(s, ()) if k not in self.used), default=None)
+        if k is None:
+            return None
+        self.used.add(k)
+        return self.potential[k]
+
+    def left(self) -> list[Span]:
+        return [p for k, p in enumerate(self.potential) if k not in self.used]
+
+
+_BLANK = re.compile(r"\s*")
+
+
 class Engine:
     def __init__(self, rules: RuleSet, words: Words | None = None, verdicts: dict[str, tuple[str, float]] | None = None):
         """verdicts: what a model has said before of names (their ASCII reading in lower case): label and score."""
         self.words, self.verdicts = words or Words(), verdicts or {}
-        self.terms = [(r, normalize(r.pattern).ascii.lower()) for r in rules.of("D")]
+        self.terms = Terms([(r, normalize(r.pattern).ascii.lower()) for r in rules.of("D")])
         self.patterns = [(r, re.compile(r.pattern)) for r in rules.of("R")]
         self.heuristics = [(r, re.compile(r.pattern)) for r in rules.of("H", "S")]
         self.for_rules = Prefilter({f"{r.id} {p.pattern}": p.pattern for r, p in self.patterns})
@@ -92,19 +155,17 @@ class Engine:
         return [None if t is None else self.report(t, None, known) for t, known in zip(texts, self.prepared(texts))]
 
     def _terms(self, n) -> list[Span]:
+        if not self.terms.rules:
+            return []
         low, out = n.ascii.lower(), []
-        for rule, term in self.terms:
-            at = low.find(term) if term else -1
-            while at >= 0:
-                end = at + len(term)
-                if not (at and low[at - 1].isalnum()) and not (end < len(low) and low[end].isalnum()):
-                    out.append(Span(n.to_unicode[n.from_ascii[at]], n.to_unicode[n.from_ascii[end]], rule.id, rule.action, rule.category))
-                at = low.find(term, at + 1)
-            if term and n.stripped == term:  # the whole text, whatever separates its letters
-                letters = [i for i, c in enumerate(n.ascii) if c.isalnum()]
-                end = n.from_ascii[letters[-1]] + 1
-                out.append(Span(n.to_unicode[n.from_ascii[letters[0]]], n.to_unicode[end], rule.id, rule.action, rule.category))
-        return out
+        for rule, at, end in self.terms.found(low):
+            out.append(Span(n.to_unicode[n.from_ascii[at]], n.to_unicode[n.from_ascii[end]], rule.id, rule.action, rule.category))
+        for rule in self.terms.equal(n.stripped):  # the whole text, whatever separates its letters
+            letters = [i for i, c in enumerate(n.ascii) if c.isalnum()]
+            end = n.from_ascii[letters[-1]] + 1
+            out.append(Span(n.to_unicode[n.from_ascii[letters[0]]], n.to_unicode[end], rule.id, rule.action, rule.category))
+        order = self.terms.order
+        return sorted(out, key=lambda s: order[s.rule])
 
     def _patterns(self, n, absent: set | tuple = ()) -> list[Span]:
         out = []
@@ -120,21 +181,29 @@ class Engine:
     def detect(self, n, rules: set | tuple = (), names: tuple = ((), ())) -> tuple[list[Span], list[Span]]:
         """(confirmed, potential), in characters of the Unicode reading."""
         confirmed = sorted(self._terms(n) + self._patterns(n, rules), key=lambda s: (s.start, -s.end))
+        at = Intervals((s.start, s.end) for s in confirmed)
         potential: list[Span] = []
+
+        def confirm(*span) -> None:
+            confirmed.append(Span(*span))
+            at.add(span[0], span[1])
+
         for f in find_names(n.unicode, n.ascii, self.heuristics, self.words, names):
             back = n.from_ascii if f.ascii else n.from_unicode
             start, end = n.to_unicode[back[f.start]], n.to_unicode[back[f.end]]
             said, score = self.verdicts.get(n.ascii[n.to_ascii[back[f.start]] : n.to_ascii[back[f.end]]].lower(), ("", 0.0)) if self.verdicts else ("", 0.0)
-            hit = next((s for s in confirmed if start < s.end and end > s.start), None)
-            if hit:
+            k = at.first(start, end)
+            if k is not None:
+                hit = confirmed[k]
                 hit.start, hit.end = min(hit.start, start), max(hit.end, end)
                 hit.stronger(f.action)
+                at.widen(k, start, end)
             elif score >= SURE:
-                confirmed.append(Span(start, end, f"ai_cache_{said}", f.action, "HighConfidenceAi"))
+                confirm(start, end, f"ai_cache_{said}", f.action, "HighConfidenceAi")
             elif f.action == "AuditOnly":
-                confirmed.append(Span(start, end, f.label, f.action, f.category))
+                confirm(start, end, f.label, f.action, f.category)
             elif f.category == "IndividualName":
-                confirmed.append(Span(start, end, f"heuristic_promotion_{f.label}", f.action, f.category))
+                confirm(start, end, f"heuristic_promotion_{f.label}", f.action, f.category)
             else:
                 potential.append(Span(start, end, f.label, f.action, f.category))
         return sorted(confirmed, key=lambda s: (s.start, -s.end)), potential
@@ -142,13 +211,9 @@ class Engine:
     def resolve(self, text: str, confirmed: list[Span], potential: list[Span]) -> list[Span]:
         """Confirmed spans swallow potentials that follow them, fuse with neighbours and merge with what they overlap."""
         out: list[Span] = []
+        following = _Following(text, potential)
         for s in confirmed:
-            while True:
-                gap_ok = lambda p: p.start >= s.end and (not (g := text[s.end : p.start]).strip() or g in JOINTS)  # noqa: B023, E731
-                k = next((k for k, p in enumerate(potential) if gap_ok(p)), None)
-                if k is None:
-                    break
-                p = potential.pop(k)
+            while (p := following.take(s.end)) is not None:
                 s.end, s.rule = p.end, s.rule + "+fused"
                 s.stronger(p.action)
             if out and s.start >= out[-1].end and not text[out[-1].end : s.start].strip():
@@ -167,6 +232,7 @@ class Engine:
                 last.end = max(last.end, s.end)
             else:
                 out.append(s)
+        potential[:] = following.left()
         return out
 
     def report(self, text: str, tokens=None, known: tuple | None = None) -> dict:
@@ -189,10 +255,10 @@ class Engine:
             at = b
             hidden.append(entry | {"placeholder": token})
         reds = shown + hidden
-        misses = []
+        misses, covered = [], Cover((r["offset"], r["offset"] + r["length"]) for r in reds)
         for p in potential:
             o = width(n.from_unicode[p.start])
-            if not any(r["offset"] <= o < r["offset"] + r["length"] for r in reds):
+            if not covered.holds(o):
                 misses.append({"text": n.unicode[p.start : p.end], "label": p.rule, "offset": o})
         return {
             "sanitized_text": "".join([*parts, text[at:]]), "is_blocked": any(r["action"] == "Block" for r in reds), "redactions": reds,
@@ -201,9 +267,17 @@ class Engine:
 
 
 def _byte_offsets(text: str):
+    """Bytes of the first i characters of a text, from running sums that are made when first asked for."""
     if text.isascii():
         return lambda i: i
-    return lambda i: len(text[:i].encode("utf-8", "surrogatepass"))
+    sums: list[int] = []
+
+    def width(i: int) -> int:
+        if not sums:
+            sums.extend(accumulate((1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in text), initial=0))
+        return sums[i]
+
+    return width
 
 
 def scrub(df: DataFrame, rules: RuleSet, column: str = "text", words: Words | None = None) -> DataFrame:
@@ -228,46 +302,48 @@ def scrub(df: DataFrame, rules: RuleSet, column: str = "text", words: Words | No
     return df.mapInArrow(run, schema)
 
 
-def name_spans(df: DataFrame, column: str = "text", heuristics: RuleSet | None = None, words: Words | None = None) -> DataFrame:
-    """A row for each certain name: the other columns, start, end, label, match (in the text as normalised)."""
+def _found(df: DataFrame, column: str, rules: RuleSet, words: Words | None, kind: str, find) -> DataFrame:
+    """A row for each of find(engine, reading, what is absent): the other columns, start, end, ``kind``, match."""
+    import pyarrow as pa
+
     ship(df.sparkSession)
     keep = [c for c in df.columns if c != column]
-    schema = ", ".join([*(f"`{c}` {dict(df.dtypes)[c]}" for c in keep), "start int", "end int", "label string", "match string"])
-    rules, lists = heuristics or RuleSet(), words or Words()
+    schema = ", ".join([*(f"`{c}` {dict(df.dtypes)[c]}" for c in keep), "start int", "end int", f"{kind} string", "match string"])
+
+    def run(batches: Iterator) -> Iterator:
+        engine = Engine(rules, words)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = [t or "" for t in part.column(column).to_pylist()]
+                rows = [(i, *found) for i, known in enumerate(engine.prepared(texts)) for found in find(engine, *known)]
+                which, *cols = zip(*rows) if rows else ([], [], [], [], [])
+                cols = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.string()))]
+                which = pa.array(which, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(which) for c in keep), *cols], names=[*keep, "start", "end", kind, "match"])
+
+    return df.select(*(f"`{c}`" for c in keep), f"`{column}`").mapInArrow(run, schema)
 
-    def run(frames):
-        import pandas as pd
 
-        compiled = [(r, re.compile(r.pattern)) for r in rules.of("H", "S")]
-        for pdf in frames:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                n = normalize(getattr(row, column) or "")
-                for f in find_names(n.unicode, n.ascii, compiled, lists):
-                    source = n.ascii if f.ascii else n.unicode
-                    rows.append([*(getattr(row, c) for c in keep), f.start, f.end, f.label, source[f.start : f.end]])
-            yield pd.DataFrame(rows, columns=[*keep, "start", "end", "label", "match"])
+def name_spans(df: DataFrame, column: str = "text", heuristics: RuleSet | None = None, words: Words | None = None) -> DataFrame:
+    """A row for each certain name: the other columns, start, end, label, match (in the text as normalised)."""
 
-    return df.select(*keep, F.col(column)).mapInPandas(run, schema)
+    def find(engine: Engine, n, rules, names) -> Iterator[tuple]:
+        for f in find_names(n.unicode, n.ascii, engine.heuristics, engine.words, names):
+            yield f.start, f.end, f.label, (n.ascii if f.ascii else n.unicode)[f.start : f.end]
 
+    return _found(df, column, heuristics or RuleSet(), words, "label", find)
 
-def name_candidates(df: DataFrame, column: str = "text", words: Words | None = None) -> DataFrame:
-    """A row for each span that only a model could settle: the other columns, start, end, kind, match."""
-    ship(df.sparkSession)
-    keep = [c for c in df.columns if c != column]
-    schema = ", ".join([*(f"`{c}` {dict(df.dtypes)[c]}" for c in keep), "start int", "end int", "kind string", "match string"])
-    lists = words or Words()
 
-    def run(frames):
-        import pandas as pd
+def name_candidates(df: DataFrame, column: str = "text", words: Words | None = None, rules: RuleSet | None = None) -> DataFrame:
+    """A row for each span that only a model could settle: the other columns, start, end, kind, match.
 
-        from veilframe.operators.names import find_candidates
+    What ``rules`` and the certain names confirm in a text is no candidate there; without rules, nothing is confirmed.
+    """
 
-        for pdf in frames:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                text = normalize(getattr(row, column) or "").unicode
-                rows += [[*(getattr(row, c) for c in keep), a, b, kind, text[a:b]] for a, b, kind, _ in find_candidates(text, [], lists)]
-            yield pd.DataFrame(rows, columns=[*keep, "start", "end", "kind", "match"])
+    def find(engine: Engine, n, absent, names) -> Iterator[tuple]:
+        known = [] if rules is None else [(s.start, s.end) for s in engine.detect(n, absent, names)[0]]
+        for a, b, kind, _ in find_candidates(n.unicode, known, engine.words):
+            yield a, b, kind, n.unicode[a:b]
 
-    return df.select(*keep, F.col(column)).mapInPandas(run, schema)
+    return _found(df, column, rules or RuleSet(), words, "kind", find)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+from veilframe.operators.intervals import Intervals
 from veilframe.sources.rules import Rule
 from veilframe.sources.words import Words
 
@@ -29,11 +32,16 @@ GREEK_CHAIN = re.compile(rf"\b[{GREEK_CAP}][{GREEK}]+(?:[\s\-']+[{GREEK_CAP}][{G
 ANCHOR = re.compile(rf"\b(?:{ROLE_PREFIXES})[\s\-']+([{CAP}][{LOW}]{{2,}})\b")
 CAPITALISED = re.compile(rf"\b[{CAP}][{LOW}]{{2,}}\b")
 INFLECTED = re.compile(rf"(?i)\b[{GREEK}]{{3,}}(?:ης|ου|ος|ας|ων|η)\b")
+# What introduces a name, and up to three words of any case after it.
+_SAID = rf"(['\"]?[a-z{GREEK}]{{2,}}(?:[\s\-']+[a-z{GREEK}]{{2,}}){{0,2}}['\"]?)\b"
 INTRO = re.compile(
     r"(?i)(?:\b(?:who\s+(?:is|was|are|were)|who's|tell\s+me\s+about|my\s+name\s+is|i\s+am|i'm|contact|(?:my\s+)?(?:friend|colleague|coworker|partner|brother|sister|wife|husband|boss|manager)"
-    r"|(?:email|send|forward)\s+(?:the\s+[\w\s]+\s+)?(?:directly\s+)?to|email|ping|dm|ask|cc|attn[:.]?|per|patient|client|mr\.?|mrs\.?|ms\.?|dr\.?|directly\s+to)\s+|@)"
-    rf"(['\"]?[a-z{GREEK}]{{2,}}(?:[\s\-']+[a-z{GREEK}]{{2,}}){{0,2}}['\"]?)\b"
+    r"|(?:email|send|forward)\s+(?:directly\s+)?to|email|ping|dm|ask|cc|attn[:.]?|per|patient|client|mr\.?|mrs\.?|ms\.?|dr\.?|directly\s+to)\s+|@)" + _SAID
 )
+# The introduction with a thing that is sent: "send the <words> to <name>", the last such "to" of the words.
+SENDING = re.compile(r"(?i)\b(?:email|send|forward)\s+the(?=\s)")
+_RUN = re.compile(r"[\w\s]+")
+_TO = re.compile(rf"(?i)(?<=\s)(?=(?:directly\s+)?to\s+{_SAID})")
 # Words that end a name after an introduction, at the second and at the third word, and particles that do not.
 AFTER_ONE = frozenset("delay delayed complained reported approved rejected urgently immediately called sent said tells asks asked".split())
 AFTER_TWO = frozenset("yesterday today tomorrow now urgently immediately delay delayed complained reported".split())
@@ -101,6 +109,7 @@ def find_names(unicode: str, ascii_: str, heuristics: list[tuple[Rule, re.Patter
     """Certain names, by start, the longer first.  absent: names of patterns (see PATTERNS, and ids of heuristics) that the
     Unicode and the ASCII reading do not hold."""
     out: list[Found] = []
+    taken = Intervals()
     plain = {False: unicode.replace("_", " "), True: ascii_.replace("_", " ")}
     source = {False: unicode, True: ascii_}
     same = unicode == ascii_
@@ -115,8 +124,9 @@ def find_names(unicode: str, ascii_: str, heuristics: list[tuple[Rule, re.Patter
         return known[key]
 
     def add(is_ascii: bool, start: int, end: int, label: str, alone: bool = False) -> None:
-        if valid(source[is_ascii], start, end, words) and not (alone and any(start < f.end and end > f.start for f in out)):
+        if valid(source[is_ascii], start, end, words) and not (alone and taken.first(start, end) is not None):
             out.append(Found(start, end, label, "Redact", "IndividualName", is_ascii))
+            taken.add(start, end)
 
     for rule, pattern in heuristics:
         for is_ascii in (False, True):
@@ -125,6 +135,7 @@ def find_names(unicode: str, ascii_: str, heuristics: list[tuple[Rule, re.Patter
                     continue
                 if valid(source[is_ascii], m.start(), m.end(), words):
                     out.append(Found(m.start(), m.end(), rule.id + "_homoglyph" * is_ascii, rule.action, rule.category, is_ascii))
+                    taken.add(m.start(), m.end())
     for m in hits("full", FULL, True):
         start = _without_opening(plain[True], m.start(), m.end(), words)
         span = plain[True][start : m.end()]
@@ -173,18 +184,51 @@ def _leading_name(parts: list[str], words: Words) -> int:
     return len(parts)
 
 
+def introductions(text: str) -> Iterator[tuple[int, int]]:
+    """What stands after introductions, from left to right.
+
+    The words between "send the" and its "to" are not searched anew for each "send": places where a "to" with a name
+    begins, and runs of words, are found once, and each "send" looks up the last such place in its run.
+    """
+    heads = [(m.start(), m.end()) for m in SENDING.finditer(text)]
+    goals: dict[int, tuple[int, int]] = {}
+    if heads:
+        goals = {m.start(): m.span(1) for m in _TO.finditer(text)}
+    places = list(goals)
+    runs = [m.span() for m in _RUN.finditer(text)] if places else []
+    starts = [a for a, _ in runs]
+    sent = []
+    for a, b in heads if places else ():
+        k = bisect_right(places, runs[bisect_right(starts, b) - 1][1]) - 1
+        if k >= 0 and places[k] >= b + 3:  # a space, something, a space
+            sent.append((a, goals[places[k]]))
+    at, k = 0, 0
+    while True:
+        while k < len(sent) and sent[k][0] < at:
+            k += 1
+        m = INTRO.search(text, at)
+        if k < len(sent) and (m is None or sent[k][0] <= m.start()):
+            span = sent[k][1]
+        elif m is None:
+            return
+        else:
+            span = m.span(1)
+        yield span
+        at = span[1]
+
+
 def find_candidates(text: str, confirmed: list[tuple[int, int]], words: Words) -> list[tuple[int, int, str, bool]]:
     """Spans that may be names: (start, end, kind, needs casing), none of them over a confirmed span or each other.
 
     Four passes, the earlier ones first: words after a role, capitalised words that no sentence starts with, up to three
     words of any case after an introduction, and inflected Greek words.
     """
-    taken = list(confirmed)
+    taken = Intervals(confirmed)
     out: list[tuple[int, int, str, bool]] = []
 
     def add(start: int, end: int, kind: str, casing: bool = False) -> None:
-        if not any(start < b and end > a for a, b in taken):
-            taken.append((start, end))
+        if taken.first(start, end) is None:
+            taken.add(start, end)
             out.append((start, end, kind, casing))
 
     for m in ANCHOR.finditer(text):
@@ -193,8 +237,7 @@ def find_candidates(text: str, confirmed: list[tuple[int, int]], words: Words) -
     for m in CAPITALISED.finditer(text.replace("_", " ")):
         if not (m[0] in words.tech or m[0] in words.roles or m[0] in words.starters):
             add(m.start(), m.end(), "capitalised")
-    for m in INTRO.finditer(text):
-        start, end = m.span(1)
+    for start, end in introductions(text):
         start += text[start] in "'\""
         end -= end > start and text[end - 1] in "'\""
         parts = [p for p in re.split(r"[\s-]+", text[start:end]) if p]

@@ -514,7 +514,8 @@ SELECT doc_id, n + coalesce(u, 0) AS n_tokens, CAST(len + 5 * coalesce(k, 0) AS
 
 
 def name_candidates(spark, d):
-    return engine.name_candidates(_docs(spark, d))
+    """What may be a name where neither the base pack nor the certain names confirm anything."""
+    return engine.name_candidates(_docs(spark, d), rules=pack("base", native=True))
 
 
 def session_store(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,30 +15,59 @@ DONE = "[DONE]"
 _OUT = "stream_id string, seq long, text string"
 
 
+class Trie:
+    """Placeholders by their letters: the longest one that begins at a place is found in as many steps as it has letters,
+    however many placeholders there are."""
+
+    __slots__ = ("begins", "root")
+
+    def __init__(self, tokens: dict[str, str]):
+        self.root: dict = {}
+        for token, value in tokens.items():
+            node = self.root
+            for c in token:
+                node = node.setdefault(c, {})
+            if token:
+                node[""] = value
+        self.begins = re.compile("[" + re.escape("".join(self.root)) + "]") if self.root else None
+
+    def restore(self, text: str, last: bool) -> tuple[str, str]:
+        """(text with values in place, what may be the beginning of a placeholder); with last, nothing is kept back.
+
+        Leftmost placeholders first, of those the longest; values are not looked at again.
+        """
+        if self.begins is None:
+            return text, ""
+        out, at, look, size = [], 0, 0, len(text)
+        while m := self.begins.search(text, look):
+            start = place = m.start()
+            node, best = self.root, None
+            while place < size and (below := node.get(text[place])) is not None:
+                node, place = below, place + 1
+                if "" in node:
+                    best = place, node[""]
+            if place == size and not last and len(node) > ("" in node):
+                return "".join([*out, text[at:start]]), text[start:]
+            if best:
+                out += [text[at:start], best[1]]
+                at = look = best[0]
+            else:
+                look = start + 1
+        return "".join([*out, text[at:]]), ""
+
+
 class Rehydrator:
     """Holds back what may be the beginning of a placeholder; gives the rest with values in place, in one pass."""
 
-    def __init__(self, tokens: dict[str, str], held: str = ""):
-        self.tokens, self.held = tokens, held
-
-    def _restored(self, text: str) -> str:
-        out, at = [], 0
-        while (open_ := text.find("[", at)) >= 0:
-            token = max((t for t in self.tokens if text.startswith(t, open_)), key=len, default="[")
-            out += [text[at:open_], self.tokens.get(token, token)]
-            at = open_ + len(token)
-        return "".join([*out, text[at:]])
+    def __init__(self, tokens: dict[str, str] | Trie, held: str = ""):
+        self.trie, self.held = tokens if isinstance(tokens, Trie) else Trie(tokens), held
 
     def feed(self, chunk: str) -> str:
-        text = self.held + chunk
-        cut = text.rfind("[")
-        if cut < 0 or not any(t.startswith(text[cut:]) and len(t) > len(text) - cut for t in self.tokens):
-            cut = len(text)
-        self.held = text[cut:]
-        return self._restored(text[:cut])
+        out, self.held = self.trie.restore(self.held + chunk, False)
+        return out
 
     def close(self) -> str:
-        out, self.held = self._restored(self.held), ""
+        out, self.held = self.trie.restore(self.held, True)[0], ""
         return out
 
 
@@ -48,15 +78,15 @@ def delta(line: Column) -> Column:
 
 
 class _Maps:
-    """Token maps from JSON; one that comes again right away, as within a stream, is not parsed again."""
+    """Token maps from JSON, as tries; one that comes again right away, as within a stream, is not made again."""
 
     def __init__(self):
-        self.text, self.map = "", {}
+        self.text, self.trie = "", Trie({})
 
-    def of(self, text: str | None) -> dict[str, str]:
+    def of(self, text: str | None) -> Trie:
         if text != self.text:
-            self.text, self.map = text, json.loads(text or "{}")
-        return self.map
+            self.text, self.trie = text, Trie(json.loads(text or "{}"))
+        return self.trie
 
 
 class _Stream(StatefulProcessor):
