@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import crypto, text as T
-from veilframe.operators import audit, content, engine, evaluate, legacy, retrieval, sessions, spans
+from veilframe.operators import audit, content, dictionary, engine, evaluate, legacy, retrieval, sessions, spans
 from veilframe.plans.cases import BODIES, CANDIDATES, PLANTED, SANITIZED, SCRUBBED, SESSION_RULES, SESSIONS
 from veilframe.sources.rules import CATEGORIES, Rule, RuleSet, pack
 from veilframe.streaming import rehydrate
@@ -249,6 +249,31 @@ def dict_match(spark, d):
 
 _DICT_SQL = "SELECT doc_id, rule, len(regexp_extract_all(text, p)) AS n FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {rows}) AS v(doc_id, text)), (VALUES ('client_names', '(?i)\\bAlice\\b'), ('internal_projects', '(?i)\\bProject Alpha\\b'), ('company_secrets', '(?i)\\bAcme Corp\\b')) AS t(rule, p) WHERE len(regexp_extract_all(text, p)) > 0".format(rows=", ".join(f"({i}, {_quoted(t)})" for i, t in _TERMS))
 
+#: Letters of a single word, and of two words in order, that make a term of the large dictionary.
+TERM_LETTERS, PAIR_LETTERS = 7, 12
+
+
+def dict_match_many(spark, d):
+    """A dictionary of words and word pairs made from the documents (over 100,000 terms at a hundredth of a million documents)
+    looked for in all of them: places, terms and where they begin."""
+    docs = _docs(spark, d)
+    at = dictionary.places(docs, "text", 2)
+    pair = F.element_at("_near", 3)
+    two = (F.size("_near") == 4) & (F.element_at("_near", 2) == " ") & (F.col("_word") < pair) & (F.length("_word") + F.length(pair) >= PAIR_LETTERS)
+    found = F.array_compact(F.array(F.when(F.length("_word") >= TERM_LETTERS, F.col("_word")), F.when(two, F.concat_ws(" ", "_word", pair))))
+    terms = at.select(F.explode(found).alias("term")).distinct()
+    hits = dictionary.match_terms(docs, terms)
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"), F.sum("s").cast("long").alias("starts"), F.sum("e").cast("long").alias("ends"))
+
+
+_MANY_SQL = f"""WITH p AS (SELECT doc_id, regexp_extract_all(low, '[\p{{L}}\p{{N}}]+') AS w, string_split_regex(low, '[\p{{L}}\p{{N}}]+') AS g
+  FROM (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)),
+u AS (SELECT doc_id, unnest(w) AS a, unnest(list_append(w[2:], NULL)) AS b, unnest(g[1:len(w)]) AS before, unnest(g[2:]) AS gap, unnest(range(1, len(w) + 1)) AS i FROM p),
+x AS (SELECT doc_id, a, b, gap, b IS NOT NULL AS more, sum(length(before) + length(a)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u),
+h AS (SELECT doc_id, a AS term, e - length(a) AS s, e FROM x WHERE length(a) >= {TERM_LETTERS}
+  UNION ALL SELECT doc_id, a || ' ' || b, e - length(a), e + 1 + length(b) FROM x WHERE more AND gap = ' ' AND a < b AND length(a) + length(b) >= {PAIR_LETTERS})
+SELECT doc_id, count(*) AS n, count(DISTINCT term) AS terms, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM h GROUP BY doc_id"""
+
 _MODELS = ["claude-3", "Claude-x", "org/llama-3", "mistral-7b", "a/b/phi-3", "gemma", "qwen2", "gpt-4o", "unknown", "meta/claude"]
 
 
@@ -552,6 +577,7 @@ _NAMED = {
     "guard_entropy": (guard_entropy, _ENTROPY_SQL),
     "guard_by_role": (guard_by_role, "SELECT conv_id, turn, role, 'ok' AS status FROM conversations UNION ALL SELECT -1, 0, role, status FROM (VALUES ('user', 'injection'), ('User', 'injection'), ('assistant', 'ok')) AS v(role, status)"),
     "dict_match": (dict_match, _DICT_SQL),
+    "dict_match_many": (dict_match_many, _MANY_SQL),
     "route_model": (route_model, _ROUTE_SQL),
     "url_verdict": (url_verdict, _URL_SQL),
     "retrieve_terms": (retrieve_terms, _RETRIEVE_SQL),
