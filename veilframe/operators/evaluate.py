@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,30 +61,55 @@ def guard_counters(df: DataFrame, status: Column, redactions: Column) -> DataFra
     return sums.select(rows).select("r.name", "r.n", F.format_string("%s %d", "r.name", "r.n").alias("line"))
 
 
-def latencies(df: DataFrame, value: str) -> DataFrame:
-    """min, mean, median, p95, p99 and max; a quantile is the value at place floor(n * share) of the sorted ones.
+#: Binary digits that a pass over the values tells apart.
+DIGIT = 16
+
+
+def ordered_bits(value: Column) -> Column:
+    """A double's 64 bits as a whole number in the same order; both zeros are one."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+
+
+def from_ordered_bits(key: int) -> float:
+    bits = key if key >= 0 else key ^ ((1 << 63) - 1)
+    return struct.unpack(">d", struct.pack(">q", bits))[0]
 
-    Values are counted where they lie and ranked in buckets of equal width: only the few buckets that hold a wanted place
-    are looked at value by value, so no task gets all values.  Nulls are left out.
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """For each share the value at place floor(n * share) of the sorted ones, at most the last; None where there are none.
+
+    Radix selection: a pass counts values by the next ``DIGIT`` bits of their ordered bits, among those that agree with a
+    wanted place so far, so four passes find all shares exactly, whatever the values; a task holds counts, the driver at
+    most 2**DIGIT of them for each share.  Nulls and NaN are no numbers and left out; infinities are.
     """
     v = F.col(value).cast("double")
-    n, low, high, mean = df.agg(F.count(v), F.min(v), F.max(v), F.avg(v)).first()
-    if not n:
-        return df.sparkSession.createDataFrame([(None,) * 6], "min double, mean double, median double, p95 double, p99 double, max double")
-    places = {"median": n // 2, "p95": min(n - 1, int(n * 0.95)), "p99": min(n - 1, int(n * 0.99))}
-    counted, width, found = df.select(v.alias("v")).filter("v IS NOT NULL"), 1024, {}
-    for name, place in places.items():
-        a, b, below = low, high, 0
-        while a < b:  # narrows the range until the bucket is one value or small
-            bucket = F.least(F.floor((F.col("v") - a) / ((b - a) / width)), F.lit(width - 1))
-            rows = counted.filter(F.col("v").between(a, b)).groupBy(bucket.alias("k")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()  # at most width rows
-            for r in sorted(rows):
-                if place < below + r["n"]:
+    keys = df.select(v.alias("v")).filter("v IS NOT NULL AND NOT isnan(v)").select(ordered_bits(F.col("v")).alias("k"))
+    found: list[int | None] = [None] * len(shares)
+    ranks: list[int] = []
+    for left in range(64 - DIGIT, -1, -DIGIT):
+        digit = F.shiftright("k", left)
+        wanted = keys if left == 64 - DIGIT else keys.filter(F.shiftright("k", left + DIGIT).isin(*sorted(set(found))))
+        counts = sorted((r["d"], r["n"]) for r in wanted.groupBy(digit.alias("d")).agg(F.count("*").alias("n")).collect())
+        if not counts:
+            return [None] * len(shares)
+        if not ranks:
+            n = sum(c for _, c in counts)
+            ranks = [min(n - 1, int(n * s)) for s in shares]
+        for i, prefix in enumerate(found):
+            for d, c in counts:
+                if prefix is not None and d >> DIGIT != prefix:
+                    continue
+                if ranks[i] < c:
+                    found[i] = d
                     break
-                below += r["n"]
-            narrowed = (r["a"], r["b"])
-            if narrowed == (a, b):
-                break
-            a, b = narrowed
-        found[name] = a
-    return df.sparkSession.createDataFrame([(float(low), float(mean), *map(float, (found["median"], found["p95"], found["p99"])), float(high))], "min double, mean double, median double, p95 double, p99 double, max double")
+                ranks[i] -= c
+    return [from_ordered_bits(k) for k in found]
+
+
+def latencies(df: DataFrame, value: str) -> DataFrame:
+    """min, mean, median, p95, p99 and max, as ``quantiles`` has them; nulls and NaN are left out."""
+    v = F.col(value).cast("double")
+    low, high, mean = df.filter(~F.isnan(v)).agg(F.min(v), F.max(v), F.avg(v)).first()
+    row = (low, mean, *quantiles(df, value, [0.5, 0.95, 0.99]), high)
+    return df.sparkSession.createDataFrame([row], "min double, mean double, median double, p95 double, p99 double, max double")
