@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,8 @@ from veilframe.sources.words import Words
 
 #: Where bodies have content beside their messages: completions, system prompts, queued and tool queries.
 FIELDS = ("system", "prompt", "query", "input")
+#: A surrogate as JSON names it, and one that is left alone once pairs were joined.
+LONE, LONE_CHAR = re.compile(r"\\u[dD][89a-fA-F]"), re.compile("[\ud800-\udfff]")
 
 
 def walk(content, each: Callable[[str], str]):
@@ -58,6 +61,7 @@ def scrub_bodies(df: DataFrame, rules: RuleSet, column: str = "body", words: Wor
     """df with ``texts`` (what was found, in order), ``clean`` (the body as JSON, rewritten) and ``token_map``.
 
     A body that is no JSON object, or too deep to be read, has nulls.  Numbers are those of one session for the whole body.
+    Half of a surrogate pair, which JSON can name and no text can hold, is read as U+FFFD.
     """
     ship(df.sparkSession)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
@@ -69,6 +73,8 @@ def scrub_bodies(df: DataFrame, rules: RuleSet, column: str = "body", words: Wor
             for raw in pdf[column]:
                 try:
                     body = json.loads(raw) if raw is not None else None
+                    if raw is not None and LONE.search(raw):
+                        body = json.loads(LONE_CHAR.sub("\ufffd", json.dumps(body, ensure_ascii=False)))
                 except (ValueError, RecursionError):
                     body = None
                 if not isinstance(body, dict):
