@@ -188,18 +188,125 @@ def test_guard_hook(spark):
 
 
 def test_tables(spark, tmp_path):
-    from veilframe.sources.tables import SCHEMAS, Tables
+    from veilframe.sources.tables import SCHEMAS, Conflict, Tables
 
     t = Tables(spark, str(tmp_path / "store"))
     assert all(t.read(name).isEmpty() and t.read(name).columns == [c.split()[0] for c in s.split(", ")] for name, s in SCHEMAS.items())
-    docs = spark.createDataFrame([("1", "a", "ann"), ("2", "b", "bob"), ("3", None, None)], "id string, text string, username string")
+    docs = spark.createDataFrame([("1", "a", "ann"), ("2", "b", "bob"), ("3", None, None), ("4", "d", "")], "id string, text string, username string")
     t.append(docs, "documents")
     t.append(docs.limit(1), "documents")
-    assert sorted(r.id for r in t.read("documents").collect()) == ["1", "1", "2", "3"]
+    assert sorted(r.id for r in t.read("documents").collect()) == ["1", "1", "2", "3", "4"]
+    old = t.read("documents")
     t.replace(audit.purge_everywhere("ann", documents=t.read("documents"))["documents"], "documents")
-    assert sorted((r.id, r.text, r.username) for r in t.read("documents").collect()) == [("2", "b", "bob"), ("3", None, None)]
+    assert sorted((r.id, r.text, r.username) for r in t.read("documents").collect()) == [("2", "b", "bob"), ("3", None, None), ("4", "d", "")]
+    assert old.count() == 5 and t.read("documents", version=2).count() == 5  # readers keep what they began with
+    t.replace(audit.purge_everywhere("", documents=t.read("documents"))["documents"], "documents")
+    assert sorted(r.id for r in t.read("documents").collect()) == ["2", "3"]
     with pytest.raises(KeyError):
         t.read("none")
+    with pytest.raises(KeyError):
+        t.append(docs, "none")
+    late, soon = t.begin(), t.begin()
+    soon.append(docs, "documents")
+    soon.commit()
+    late.append(docs, "documents")
+    with pytest.raises(Conflict):
+        late.commit()
+    assert t.read("documents").count() == 6
+    assert t.clean(keep=1, older=3600) == 0 and t.clean(keep=1, older=0) == 4 and t.versions() == [5] and t.read("documents").count() == 6
+
+
+def test_a_transaction_is_seen_whole_or_not_at_all(spark, tmp_path):
+    from veilframe.sources.tables import Tables
+
+    t = Tables(spark, str(tmp_path / "store"))
+    threads = spark.createDataFrame([("1", "ann")], "id string, username string")
+    heads = spark.createDataFrame([("c", 1, "h")], "chain string, last_seq long, last_hash string")
+    for steps in range(3):  # stopped before the commit, after each of its steps
+        change = t.begin("w", 0)
+        if steps > 0:
+            assert change.append(threads, "threads").count() == 1
+        if steps > 1:
+            change.replace(heads, "anchors")
+            (tmp_path / "store" / "_log").mkdir(exist_ok=True)
+            (tmp_path / "store" / "_log" / ".draft").write_text('{"tab')
+        assert t.read("threads").isEmpty() and t.read("anchors").isEmpty() and t.versions() == []
+    change = t.begin("w", 0)
+    change.append(threads, "threads")
+    change.replace(heads, "anchors")
+    assert change.commit() == 1 and t.begin("w", 0) is None and t.begin("w", 1) is not None and t.begin("v", 0) is not None
+    assert t.read("threads").count() == 1 and t.read("anchors").count() == 1 and not t.append(threads, "threads", "w", 0)
+
+
+def events(spark, rows):
+    made = [(c, i, f"2024-01-01 00:00:{i % 60:02d}", f"u{i % 2}", i == 3, "[]", f"text {i}") for c, i in rows]
+    return spark.createDataFrame(made, "c string, i long, ts string, username string, is_blocked boolean, redactions_json string, raw string")
+
+
+def test_a_ledger_goes_on(spark, tmp_path):
+    """However a ledger is cut into batches, its unsealed rows are those of one writing; a batch that comes again changes nothing."""
+    from veilframe.sources.tables import Tables
+
+    rows = [("a", i) for i in range(1, 12)] + [("b", i) for i in range(1, 4)] + [("a", 3_000_000), ("c", 1)]
+    whole = {tuple(r) for r in audit.append(events(spark, rows), "c", "i", KEY, PEPPER, segment=4, sealed=False).drop("encrypted_data").collect()}
+    for k, cuts in enumerate([(1, 16), (5, 16), (4, 8, 9, 16)]):
+        t, before = Tables(spark, str(tmp_path / f"l{k}")), 0
+        for n, cut in enumerate(cuts):
+            part = events(spark, rows[before:cut])
+            assert audit.extend(t, part, "c", "i", KEY, PEPPER, "w", n, segment=4, sealed=False)
+            assert not audit.extend(t, part, "c", "i", KEY, PEPPER, "w", n, segment=4, sealed=False)
+            before = cut
+        assert {tuple(r) for r in t.read("audit_reports").drop("encrypted_data").collect()} == whole
+        assert {tuple(r) for r in audit.newest_heads(t.read("anchors")).collect()} == {tuple(r) for r in audit.anchor(t.read("audit_reports")).collect()}
+
+
+def test_a_sealed_ledger_goes_on_and_folds_its_heads(spark, tmp_path, monkeypatch):
+    from veilframe.sources import tables
+
+    monkeypatch.setattr(tables, "FOLD", 2)
+    t = tables.Tables(spark, str(tmp_path / "store"))
+    for n in range(4):
+        assert audit.extend(t, events(spark, [("a", 2 * n), ("a", 2 * n + 1), (f"only {n}", 1)]), "c", "i", KEY, PEPPER, "w", n, segment=3)
+    got = audit.verify(t.read("audit_reports"), KEY, segment=3)
+    assert {r.verdict for r in got.collect()} == {"intact"} and sorted(r.seq for r in got.filter("chain = 'a'").collect()) == list(range(1, 9))
+    assert len(t.state()[1]["tables"]["anchors"]) == 2 and audit.newest_heads(t.read("anchors")).count() == 5
+
+
+def test_equal_and_missing_orders_are_numbered_alike(spark):
+    rows = [("a", None, "t", u, False, "[]", "x") for u in "cab"] + [("a", 5, "t", u, False, "[]", "x") for u in "ba"] + [("a", 2_000_001, "t", "z", False, "[]", "x")]
+    schema = "c string, i long, ts string, username string, is_blocked boolean, redactions_json string, raw string"
+    for shuffled in (rows, rows[::-1]):
+        out = audit.append(spark.createDataFrame(shuffled, schema).repartition(3), "c", "i", KEY, PEPPER)
+        assert [r.username for r in out.orderBy("seq").collect()] == list("abcabz")
+    times = spark.createDataFrame([("a", f"2024-01-01 0{h}:00:00", "u") for h in (3, 1, 2)], "c string, at string, raw string").select("c", F.col("at").cast("timestamp").alias("i"), F.col("at").alias("ts"), F.lit("u").alias("username"), F.lit(False).alias("is_blocked"), F.lit("[]").alias("redactions_json"), "raw")
+    assert [r.ts[12] for r in audit.append(times, "c", "i", KEY, PEPPER).orderBy("seq").collect()] == ["1", "2", "3"]
+
+
+def test_sessions_go_on(spark, tmp_path):
+    """Two batches are one: people, numbers and other tokens; only changed states are written; idle sessions begin anew."""
+    from veilframe.operators import sessions
+    from veilframe.sources.rules import Rule, RuleSet
+    from veilframe.sources.tables import Tables
+
+    rules = RuleSet([Rule("name", "R", "IndividualName", "Redact", "Anna Lee|Anna|Bob"), Rule("email", "R", "Other", "Redact", r"\w+@x\.org")])
+    turns = [("u", 1, "Anna Lee wrote a@x.org"), ("v", 1, "Bob"), (None, 1, "Bob"), ("u", 2, "b@x.org and Anna"), ("w", 1, ""), ("u", 3, "A@x.org wrote Bob"), ("v", 2, "nobody"), ("v", 3, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "who string, n long, text string")
+    want = {(r.who, r.n): r.sanitized_text for r in sessions.scrub_sessions(frame(turns), "who", "n", rules).collect()}
+    assert want["u", 2] == "[EMAIL_3] and [NAME_1]"
+    for cut in (3, 4, 6):
+        t = Tables(spark, str(tmp_path / f"s{cut}"))
+        run = lambda rows, n, now, idle=3600: sessions.resume(t, frame(rows), "who", "n", rules, PEPPER, "w", n, now, idle=idle)  # noqa: E731, B023
+        assert run(turns[:cut], 0, "2024-01-01 00:00:00") and run(turns[cut:], 1, "2024-01-01 00:10:00") and not run(turns[cut:], 1, "2024-01-01 00:10:00")
+        assert {(r.username, r.seq): r.sanitized_text for r in sessions.turns_of(t).collect()} == want
+        assert t.read("sessions").filter("username = 'v'").count() == 1
+    assert run([("u", 4, "Bob")], 2, "2024-01-01 05:00:00") and run([("v", 4, "Anna met Bob")], 3, "2024-01-01 05:00:00", None)
+    got = {(r.username, r.seq): r.sanitized_text for r in sessions.turns_of(t).collect()}
+    assert got["u", 4] == "[NAME_1]" and got["v", 4] == "[NAME_2] met [NAME_1]"
+    change = t.begin()
+    change.replace(t.read("sessions").withColumn("session_data", F.lit(b"broken")), "sessions")
+    change.commit()
+    with pytest.raises(Exception, match="cannot be opened"):
+        run([("v", 5, "Bob")], 4, "2024-01-01 05:00:01")
 
 
 def test_acknowledged_rows_and_purged_users(spark, ledger):
@@ -241,6 +348,22 @@ def test_latencies(spark):
     assert evaluate.latencies(df.limit(0), "v").first().median is None
 
 
+def test_quantiles_of_any_doubles(spark):
+    import random
+    import struct
+
+    inf, nan = float("inf"), float("nan")
+    rng = random.Random(5)
+    bits = [x for x in (struct.unpack(">d", struct.pack(">Q", rng.getrandbits(64)))[0] for _ in range(500)) if x == x]
+    shares = [0.0, 0.1, 0.5, 0.9, 0.99, 1.0]
+    for values in ([1, 2, 3, inf], [1, 2, 3, nan], [0.0, 5e-324], [-0.0, 0.0, -5e-324], [-inf, inf], [nan], bits, [-1.5, -1.25, 2.0] * 9):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+        s = sorted(v for v in values if v == v)
+        assert evaluate.quantiles(df, "v", shares) == [s[min(len(s) - 1, int(len(s) * p))] if s else None for p in shares]
+        row = evaluate.latencies(df, "v").first()
+        assert (row.min, row.max) == ((s[0], s[-1]) if s else (None, None))
+
+
 def test_gaps_of_one_chain(spark):
     ids = spark.createDataFrame([(i,) for i in (1, 2, 5, 999_999, 1_000_000, 1_000_002, 3_500_000)], "id long")
     assert sorted(tuple(r) for r in audit.gaps(ids, "id").collect()) == [(2, 5), (5, 999_999), (1_000_000, 1_000_002), (1_000_002, 3_500_000)]
@@ -260,3 +383,6 @@ def test_bodies(spark):
     got = {r.id: r for r in scrub_bodies(rows, RuleSet([Rule("name", "R", "IndividualName", "Redact", "Anna|Bob")])).collect()}
     assert got[1].clean == '{"prompt":"[NAME_1] and [NAME_2]"}' and got[1].token_map == {"[NAME_1]": "Anna", "[NAME_2]": "Bob"} and got[1].texts2 == 5
     assert all(got[i].clean is None and got[i].texts is None for i in (2, 3, 4))
+    odd = spark.createDataFrame([(1, '{"prompt":"\\ud800 Bob \\ud83d\\ude00","\\udfff":"\\ud800"}')], "id int, body string")
+    r = scrub_bodies(odd, RuleSet([Rule("name", "R", "IndividualName", "Redact", "Anna|Bob")])).first()
+    assert r.texts == ["\ufffd Bob \U0001f600"] and r.clean == '{"prompt":"\ufffd [NAME_1] \U0001f600","\ufffd":"\ufffd"}'

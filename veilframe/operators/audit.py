@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from veilframe.functions.crypto import bound_info, derive_key, framed, hmac_sha256
+from veilframe.sources.tables import Tables
 
 SEGMENT = 1000
-#: Numbers of a chain that are looked at together for gaps.
+#: Numbers of a chain that are numbered, or looked at for gaps, together; of times it is an hour.
 STRETCH = 1_000_000
 INFO = "audit-payload"
 PURGED = "[REDACTED]"
@@ -34,17 +36,50 @@ def message(prev: Column, ts: Column, user: Column, blocked: Column, redactions:
     return F.concat(*[F.coalesce(framed(p), F.unhex(F.lit("FFFFFFFF"))) for p in parts])
 
 
-def append(events: DataFrame, chain: str, order: str, key: bytes, pepper: bytes, segment: int = SEGMENT, sealed: bool = True) -> DataFrame:
+def stretch_of(order: Column, kind: S.DataType) -> Column:
+    """A coarser order: equal or rising where ``order`` rises.  Texts and fractions have one stretch only."""
+    if isinstance(kind, S.IntegralType):
+        coarse = F.floor(order / STRETCH)
+    elif isinstance(kind, (S.TimestampType, S.TimestampNTZType)):
+        coarse = F.floor(F.unix_seconds(order.cast("timestamp")) / 3600)
+    elif isinstance(kind, S.DateType):
+        coarse = F.unix_date(order)
+    else:
+        coarse = F.lit(0)
+    return F.coalesce(coarse.cast("long"), F.lit(-(1 << 63)))  # nulls come first
+
+
+def numbered(events: DataFrame, chain: str, order: str, heads: DataFrame | None = None) -> DataFrame:
+    """events with ``seq``, going on from the heads (chain, last_seq, last_hash), and ``_last`` (the head's MAC as hex).
+
+    Rows are numbered within stretches of their order, and stretches by their counts, so that one chain is no single task.
+    Rows of equal order are numbered by what they hold.
+    """
+    rows = events.withColumn("_at", stretch_of(F.col(order), events.schema[order].dataType))
+    counts = rows.groupBy(chain, "_at").agg(F.count("*").alias("_n"))
+    if heads is None:
+        counts = counts.withColumn("_base", F.lit(0)).withColumn("_last", F.lit(None).cast("string"))
+    else:
+        known = heads.select(F.col("chain").cast(events.schema[chain].dataType).alias(chain), F.col("last_seq").alias("_base"), F.col("last_hash").alias("_last"))
+        counts = counts.join(known, chain, "left")
+    earlier = F.sum("_n").over(Window.partitionBy(chain).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(chain, "_at", "_last", (F.coalesce("_base", F.lit(0)) + F.coalesce(earlier, F.lit(0))).alias("_first"))
+    ties = ("ts", "username", "is_blocked", "redactions_json", "raw")
+    within = Window.partitionBy(chain, "_at").orderBy(order, *[c for c in ties if c != order])
+    return rows.join(starts, [chain, "_at"]).withColumn("seq", (F.col("_first") + F.row_number().over(within)).cast("long"))
+
+
+def append(events: DataFrame, chain: str, order: str, key: bytes, pepper: bytes, segment: int = SEGMENT, sealed: bool = True, heads: DataFrame | None = None) -> DataFrame:
     """events (chain, order, ts string, username, is_blocked, redactions_json, raw) to ledger rows.
 
-    The payload is sealed for hex(previous MAC) and user, so rows cannot change places; unsealed rows keep a digest only.
-    Fields may be null (a null payload has no digest); a row without a chain is refused.
+    With heads, the ``anchor`` of a ledger written so far, chains go on where they end: in their segment, from their last
+    MAC.  The payload is sealed for hex(previous MAC) and user, so rows cannot change places; unsealed rows keep a digest
+    only.  Fields may be null (a null payload has no digest); a row without a chain is refused.
     """
-    w = Window.partitionBy(chain).orderBy(order)
     owned = F.coalesce(F.col(chain), F.raise_error(F.lit("a ledger row needs a chain")).cast(events.schema[chain].dataType))
-    rows = events.withColumn(chain, owned).withColumn("seq", F.row_number().over(w).cast("long")).withColumn("segment", segment_of(F.col("seq"), segment))
+    rows = numbered(events.withColumn(chain, owned), chain, order, heads).withColumn("segment", segment_of(F.col("seq"), segment))
     item = F.struct("seq", "ts", "username", "is_blocked", "redactions_json", "raw")
-    groups = rows.groupBy(F.col(chain).alias("chain"), "segment").agg(F.sort_array(F.collect_list(item)).alias("rows"))
+    groups = rows.groupBy(F.col(chain).alias("chain"), "segment").agg(F.sort_array(F.collect_list(item)).alias("rows"), F.max("_last").alias("_last"), F.min("seq").alias("_from"))
 
     def step(acc: Column, x: Column) -> Column:
         prev = acc["hash"]
@@ -66,10 +101,31 @@ def append(events: DataFrame, chain: str, order: str, key: bytes, pepper: bytes,
         return F.transform(F.array(data), with_payload)[0]
 
     row = "struct<seq:bigint,ts:string,username:string,is_blocked:boolean,redactions_json:string,payload_hash:string,integrity_hash:string,encrypted_data:binary>"
-    zero = F.struct(genesis(F.col("chain"), F.col("segment")).alias("hash"), F.array().cast(f"array<{row}>").alias("out"))
+    fresh = F.col("_from") == F.col("segment") * segment + 1
+    start = F.when(fresh, genesis(F.col("chain"), F.col("segment"))).otherwise(F.unhex("_last"))
+    zero = F.struct(start.alias("hash"), F.array().cast(f"array<{row}>").alias("out"))
     return groups.select("chain", "segment", F.explode(F.aggregate("rows", zero, step, lambda acc: acc["out"])).alias("r")).select("chain", "segment", "r.*")
 
 
+def extend(store: Tables, events: DataFrame, chain: str, order: str, key: bytes, pepper: bytes, app: str, batch: int, segment: int = SEGMENT, sealed: bool = True) -> bool:
+    """The store's ledger goes on by a batch of events, with the heads of the chains that grew, in one transaction.
+
+    A batch of a writer (``app``) counts once: False where it, or a later one, was there already.  Of the ledger itself
+    nothing is read.
+    """
+    if (change := store.begin(app, batch)) is None:
+        return False
+    rows = append(events.withColumn(chain, F.col(chain).cast("string")), chain, order, key, pepper, segment, sealed, newest_heads(change.read("anchors")))
+    written = change.append(rows, "audit_reports")  # nonces are random: heads are those of the rows as written
+    change.merge(anchor(written), "anchors", newest_heads)
+    change.commit()
+    return True
+
+
+def newest_heads(heads: DataFrame) -> DataFrame:
+    return heads.groupBy("chain").agg(F.max("last_seq").alias("last_seq"), F.max_by("last_hash", "last_seq").alias("last_hash"))
+
+
 def verify(ledger: DataFrame, key: bytes, segment: int = SEGMENT, skip_purged: bool = True) -> DataFrame:
     """ledger with ``verdict``: intact, archived (payload gone, MAC right), purged (trusted), gap or tampered.
 

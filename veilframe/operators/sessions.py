@@ -12,6 +12,7 @@ from veilframe.functions.crypto import seal, unseal
 from veilframe.operators.engine import Engine, Span, placeholder_prefix
 from veilframe.ship import ship
 from veilframe.sources.rules import RuleSet
+from veilframe.sources.tables import Tables
 from veilframe.sources.words import Words
 
 PERSONS = ("IndividualName", "HighConfidenceAi")
@@ -52,6 +53,10 @@ class SessionTokens:
                 self.people[low] = token
         return self.tokens[key]
 
+    def size(self) -> tuple[int, int]:
+        """Changes with every change of the state: entries are only added."""
+        return len(self.tokens), len(self.people)
+
     def state(self) -> dict:
         return {"tokens": self.tokens, "people": self.people, "values": self.values}
 
@@ -63,28 +68,64 @@ class SessionTokens:
 
 
 def scrub_sessions(df: DataFrame, user: str, order: str, rules: RuleSet, column: str = "text", words: Words | None = None) -> DataFrame:
-    """df's user, order and ``sanitized_text``, in order of each user's turns.
+    """df's user, order and ``sanitized_text``, in order of each user's turns."""
+    return _scrubbed(df, user, order, rules, column, words, None, False).drop("state")
+
 
-    Partitions are sorted by user and turn and streamed, so a task holds the state of one session, not its rows.
+def session_batch(df: DataFrame, user: str, order: str, rules: RuleSet, states: DataFrame | None = None, column: str = "text", words: Words | None = None) -> DataFrame:
+    """The turns of a batch, and the states that it leaves: rows with ``state`` (JSON) instead of a turn, for users whose
+    session has new tokens or names.  Turns without a user are one session that leaves no state.
+
+    states: (the user's column, state), one row a user, of earlier batches; users without turns in this one are left as
+    they are and not read.
     """
+    return _scrubbed(df, user, order, rules, column, words, states, True)
+
+
+def _scrubbed(df: DataFrame, user: str, order: str, rules: RuleSet, column: str, words: Words | None, states: DataFrame | None, keep: bool) -> DataFrame:
+    """Partitions are sorted by user and turn, a user's earlier state first, and streamed, so a task holds the state of
+    one session, not its rows."""
     ship(df.sparkSession)
     kinds = dict(df.dtypes)
-    schema = f"`{user}` {kinds[user]}, `{order}` {kinds[order]}, sanitized_text string, n_redactions int"
-    rows = df.select(user, order, column).repartition(user).sortWithinPartitions(user, order, column)
+    schema = f"`{user}` {kinds[user]}, `{order}` {kinds[order]}, sanitized_text string, n_redactions int, state string"
+    rows = df.select(user, order, F.col(column).alias("_text"), F.lit(1).alias("_turn"))
+    if states is not None:
+        mine = states.join(df.select(user).distinct(), user, "left_semi")
+        rows = rows.unionByName(mine.select(F.col(user).cast(kinds[user]).alias(user), F.lit(None).cast(kinds[order]).alias(order), F.col("state").alias("_text"), F.lit(0).alias("_turn")))
+    rows = rows.repartition(user).sortWithinPartitions(user, "_turn", order, "_text")
 
     def run(frames):
+        import json
+
         import pandas as pd
 
-        engine, current, tokens = Engine(rules, words), object(), SessionTokens()
+        engine, current, tokens, before = Engine(rules, words), object(), SessionTokens(), (0, 0)
+
+        def left():
+            if keep and not pd.isna(current) and tokens.size() != before:
+                yield current, None, None, None, json.dumps(tokens.state(), ensure_ascii=False)
+
         for pdf in frames:
             out = []
-            texts = [t or "" for t in pdf[column]]
-            for u, o, text, known in zip(pdf[user], pdf[order], texts, engine.prepared(texts)):
-                if u != current:
-                    current, tokens = u, SessionTokens()
-                r = engine.report(text, tokens, known)
-                out.append((u, o, r["sanitized_text"], len(r["redactions"])))
-            yield pd.DataFrame(out, columns=[user, order, "sanitized_text", "n_redactions"])
+            texts = [t or "" for t in pdf["_text"]]
+            known = iter(engine.prepared([t for t, turn in zip(texts, pdf["_turn"]) if turn]))
+            for u, o, text, turn in zip(pdf[user], pdf[order], texts, pdf["_turn"]):
+                if u != current and not (pd.isna(u) and pd.isna(current)):
+                    out += left()
+                    current, tokens, before = u, SessionTokens(), (0, 0)
+                if turn:
+                    r = engine.report(text, tokens, next(known))
+                    out.append((u, o, r["sanitized_text"], len(r["redactions"]), None))
+                else:
+                    tokens = SessionTokens.from_state(json.loads(text))
+                    before = tokens.size()
+            yield frame(out)
+        yield frame(list(left()))
+
+    def frame(out):
+        import pandas as pd
+
+        return pd.DataFrame(out, columns=[user, order, "sanitized_text", "n_redactions", "state"], dtype=object)
 
     return rows.mapInPandas(run, schema)
 
@@ -104,6 +145,35 @@ def open_sessions(stored: DataFrame, pepper: bytes) -> DataFrame:
     return now.select("username", unseal(F.col("session_data"), F.col("username"), pepper, SESSION_INFO).cast("string").alias("state"), "updated_at")
 
 
+def resume(store: Tables, turns: DataFrame, user: str, order: str, rules: RuleSet, pepper: bytes, app: str, batch: int, now: str, column: str = "text", words: Words | None = None, idle: int | None = IDLE) -> bool:
+    """Sessions go on by a batch of turns: ``session_turns`` gets its rewritten turns, ``sessions`` the sealed states that it
+    changed, in one transaction; False where this writer's batch was there already.
+
+    now: "yyyy-MM-dd HH:mm:ss".  A session whose state was last written over ``idle`` seconds before begins anew (None:
+    never).  A state that cannot be opened stops the job, as its numbers would be given out twice.
+    """
+    if (change := store.begin(app, batch)) is None:
+        return False
+    stored = change.read("sessions")
+    if idle is not None:
+        stored = stored.filter(F.unix_timestamp("updated_at") >= F.unix_timestamp(F.lit(now)) - idle)
+    opened = open_sessions(stored, pepper)
+    states = opened.select(F.col("username").alias(user), F.coalesce("state", F.raise_error(F.lit("a session's state cannot be opened")).cast("string")).alias("state"))
+    named = turns.withColumn(user, F.col(user).cast("string"))
+    out = session_batch(named, user, order, rules, states, column, words)
+    sealed = F.when(F.col("state").isNotNull(), seal(F.col("state"), F.col(user), pepper, SESSION_INFO))
+    rows = change.append(out.select(F.col(user).alias("username"), F.col(order).alias("seq"), "sanitized_text", "n_redactions", sealed.alias("session_data")), "session_turns")
+    left = rows.filter("session_data IS NOT NULL").select("username", "session_data", F.lit(now).alias("updated_at"))
+    change.merge(left, "sessions", lambda t: latest(t.withColumn("_tie", F.xxhash64("session_data")), "username", "updated_at", "_tie"))
+    change.commit()
+    return True
+
+
+def turns_of(store: Tables) -> DataFrame:
+    """The rewritten turns of all batches."""
+    return store.read("session_turns").filter("session_data IS NULL").drop("session_data")
+
+
 def session_stream(turns: DataFrame, rules: RuleSet, words: Words | None = None, idle: int | None = IDLE) -> DataFrame:
     """A streaming frame (username, seq, text) scrubbed with session tokens; the state of a user who is silent for
     ``idle`` seconds is dropped (None: kept; queries that stop once their input is read need that).  Needs the RocksDB

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions import crypto, text as T
@@ -266,7 +266,7 @@ def dict_match_many(spark, d):
     return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"), F.sum("s").cast("long").alias("starts"), F.sum("e").cast("long").alias("ends"))
 
 
-_MANY_SQL = f"""WITH p AS (SELECT doc_id, regexp_extract_all(low, '[\p{{L}}\p{{N}}]+') AS w, string_split_regex(low, '[\p{{L}}\p{{N}}]+') AS g
+_MANY_SQL = rf"""WITH p AS (SELECT doc_id, regexp_extract_all(low, '[\p{{L}}\p{{N}}]+') AS w, string_split_regex(low, '[\p{{L}}\p{{N}}]+') AS g
   FROM (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)),
 u AS (SELECT doc_id, unnest(w) AS a, unnest(list_append(w[2:], NULL)) AS b, unnest(g[1:len(w)]) AS before, unnest(g[2:]) AS gap, unnest(range(1, len(w) + 1)) AS i FROM p),
 x AS (SELECT doc_id, a, b, gap, b IS NOT NULL AS more, sum(length(before) + length(a)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u),
@@ -328,6 +328,26 @@ def session_tokens(spark, d):
     return sessions.scrub_sessions(convs, "conv_id", "turn", pack("base", native=True))
 
 
+def sessions_in_two_batches(spark, d):
+    """Turns with two addresses each, scrubbed in two batches; the second begins with the states that the first left."""
+    sent = F.concat(F.col("role"), F.lit("."), (F.col("turn") % 3).cast("string"), F.lit("@mail.example"))
+    c = _t(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(" | ", sent, "text", F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("@mail.example"))).alias("text"))
+    rules = RuleSet([EMAIL])
+    first = sessions.session_batch(c.filter(F.col("turn") < HALF), "conv_id", "turn", rules)
+    second = sessions.session_batch(c.filter(F.col("turn") >= HALF), "conv_id", "turn", rules, first.filter("state IS NOT NULL"))
+    turns = first.unionByName(second).filter("state IS NULL")
+    found = turns.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("sanitized_text", F.lit(r"\[EMAIL_(\d+)\]"), 1)).alias("i", "n"))
+    # names that the engine finds take numbers too: addresses are numbered among themselves
+    ranked = found.withColumn("k", F.dense_rank().over(Window.partitionBy("conv_id").orderBy(F.col("n").cast("int"))))
+    return ranked.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "k"))), lambda x: x["k"].cast("string")), " ").alias("addresses"))
+
+
+_TWO_SQL = f"""WITH c AS (SELECT conv_id, turn, concat_ws(' | ', role || '.' || turn % 3 || '@mail.example', text, 'C' || conv_id || '@mail.example') AS text FROM conversations),
+m AS (SELECT conv_id, turn, i, lower(m[i]) AS v FROM (SELECT conv_id, turn, regexp_extract_all(text, {_quoted(EMAIL.pattern)}) AS m FROM c), unnest(range(1, len(m) + 1)) AS r(i)),
+n AS (SELECT conv_id, v, row_number() OVER (PARTITION BY conv_id ORDER BY min((turn, i))) AS k FROM m GROUP BY conv_id, v)
+SELECT conv_id, turn, string_agg(CAST(k AS VARCHAR), ' ' ORDER BY i) AS addresses FROM m JOIN n USING (conv_id, v) GROUP BY conv_id, turn"""
+
+
 def session_latest(spark, d):
     ev = _t(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
     return sessions.latest(ev, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
@@ -344,14 +364,17 @@ def payload_hash(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("payload_hash"))
 
 
-def _chain(spark, d, sealed: bool = False):
-    c = _t(spark, d, "conversations")
+#: The turn with which the second batch of a conversation begins.
+HALF = 3
+
+
+def _chain(c: DataFrame, sealed: bool = False, heads: DataFrame | None = None) -> DataFrame:
     ev = c.select("conv_id", "turn", F.lit("2024-01-01 00:00:00").alias("ts"), F.col("role").alias("username"), (F.col("role") == "system").alias("is_blocked"), F.lit("[]").alias("redactions_json"), F.col("text").alias("raw"))
-    return audit.append(ev, "conv_id", "turn", KEY, PEPPER, sealed=sealed)
+    return audit.append(ev, "conv_id", "turn", KEY, PEPPER, sealed=sealed, heads=heads)
 
 
 def audit_chain(spark, d):
-    return _chain(spark, d).select(F.col("chain").alias("conv_id"), "seq", "payload_hash", "integrity_hash")
+    return _chain(_t(spark, d, "conversations")).select(F.col("chain").alias("conv_id"), "seq", "payload_hash", "integrity_hash")
 
 
 def _hmac_sql(message: str) -> str:
@@ -370,9 +393,17 @@ c AS (SELECT conv_id, seq, role, payload_hash, {_hmac_sql(_MESSAGE)} AS mac FROM
 SELECT conv_id, seq, payload_hash, lower(hex(mac)) AS integrity_hash FROM c"""
 
 
+def audit_append_twice(spark, d):
+    """The same ledger, written in two batches: the second goes on from the heads of the first."""
+    c = _t(spark, d, "conversations")
+    first = _chain(c.filter(F.col("turn") < HALF))
+    second = _chain(c.filter(F.col("turn") >= HALF), heads=audit.anchor(first))
+    return first.unionByName(second).select(F.col("chain").alias("conv_id"), "seq", "payload_hash", "integrity_hash")
+
+
 def audit_verify(spark, d):
     """A sealed ledger in which the users of every fifth row with seq 2 were altered."""
-    led = _chain(spark, d, sealed=True)
+    led = _chain(_t(spark, d, "conversations"), sealed=True)
     bad = (F.col("seq") == 2) & (F.col("chain") % 5 == 0)
     return audit.verify(led.withColumn("username", F.when(bad, "mallory").otherwise(F.col("username"))), KEY).select(F.col("chain").alias("conv_id"), "seq", "verdict")
 
@@ -381,7 +412,7 @@ _VERIFY_SQL = "SELECT conv_id, seq, CASE WHEN seq = 2 AND conv_id % 5 = 0 THEN '
 
 
 def audit_anchor(spark, d):
-    led = _chain(spark, d)
+    led = _chain(_t(spark, d, "conversations"))
     kept = led.filter(~((F.col("chain") % 7 == 0) & (F.col("seq") > 1)))
     return audit.anchor_check(kept, audit.anchor(led)).select(F.col("chain").alias("conv_id"), "verdict")
 
@@ -583,10 +614,12 @@ _NAMED = {
     "retrieve_terms": (retrieve_terms, _RETRIEVE_SQL),
     "job_results": (job_results, _JOB_SQL),
     "session_tokens": (session_tokens, None),
+    "sessions_in_two_batches": (sessions_in_two_batches, _TWO_SQL),
     "session_latest": (session_latest, "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id"),
     "seal_roundtrip": (seal_roundtrip, "SELECT doc_id, sha256(text) AS opened, true AS refused FROM documents"),
     "audit_payload_hash": (payload_hash, "SELECT doc_id, sha256(text) AS payload_hash FROM documents"),
     "audit_chain": (audit_chain, _CHAIN_SQL),
+    "audit_append_twice": (audit_append_twice, _CHAIN_SQL),
     "audit_verify": (audit_verify, _VERIFY_SQL),
     "audit_anchor": (audit_anchor, _ANCHOR_SQL),
     "audit_gaps": (audit_gaps, _GAPS_SQL),
