@@ -109,6 +109,19 @@ def test_jobs(spark):
     assert retrieval.delete_documents(docs, "owner", "ann").count() == 1 and retrieval.retrieve(docs, "!!", "owner").isEmpty()
 
 
+def test_jobs_by_index_are_jobs(spark):
+    """Posting lists give the answers that all documents of an owner give: short and missing terms, repeated, null and empty rows."""
+    docs = spark.createDataFrame([(1, "ann", "Red apple pie"), (2, "ann", "apple"), (2, "ann", "apple red"), (3, "bob", "red apple"), (4, "ann", ""), (5, "ann", None), (None, "ann", "\U0001f600\U0001f600x red apples"), (6, None, "red")], "doc_id long, owner string, text string")
+    queries = ["red apple", "RED", "ap", "pie ap", "zebra", "red zebra", "the", "", "!!", "\u00e9t\u00e9", None, "apples red"]
+    asked = spark.createDataFrame([(u, str(i), q, "1") for i, q in enumerate(queries) for u in ("ann", "bob", "cat")], "username string, thread_id string, query string, created_at string")
+    jobs = retrieval.enqueue(asked, PEPPER).withColumn("id", F.concat_ws("/", "username", "thread_id"))
+    opened = lambda **kw: {r.id: r.x for r in retrieval.complete(jobs, docs, "owner", PEPPER, **kw).select("id", retrieval.unseal(F.col("result"), F.col("username"), PEPPER, retrieval.JOB_INFO).cast("string").alias("x")).collect()}
+    plain = opened()
+    assert opened(postings=retrieval.index(docs, "owner")) == plain and len(plain) == 36
+    assert plain["ann/0"].startswith("\U0001f600\U0001f600x red apples\n---\nRed apple pie") and plain["cat/0"] == retrieval.NOTHING
+    assert retrieval.index(docs.limit(0), "owner").isEmpty()
+
+
 def test_restore_is_not_recursive(spark):
     df = spark.createDataFrame([("Hello [TOKEN_1]", {"[TOKEN_1]": "Alice [TOKEN_2]", "[TOKEN_2]": "Bob"})], "t string, m map<string,string>")
     assert df.select(T.restore(F.col("t"), F.col("m")).alias("x")).first().x == "Hello Alice [TOKEN_2]"

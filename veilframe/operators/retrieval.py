@@ -17,6 +17,8 @@ STOP_WORDS = (
 ).split()
 CONTEXT_DOCS, JOB_DOCS = 5, 3
 JOB_INFO = "grounding"
+#: How many of a job's rarest runs of characters a document must hold before its text is looked at.
+RAREST = 3
 NOTHING = "No relevant context found."
 #: Stands for a document that could not be scrubbed.
 FAILED = "[REDACTION_FAILURE]"
@@ -62,18 +64,53 @@ def pending(jobs: DataFrame) -> DataFrame:
     return jobs.filter("status = 'pending'").orderBy("created_at", "id")
 
 
-def complete(jobs: DataFrame, docs: DataFrame, owner: str, pepper: bytes, scrubbed: Column | None = None, k: int = JOB_DOCS) -> DataFrame:
+def grams(low: Column) -> Column:
+    """The distinct runs of three characters of a text."""
+    chars = F.split(low, "")
+    return F.transform(F.array(chars), lambda c: F.when(F.size(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat(F.element_at(c, i), F.element_at(c, i + 1), F.element_at(c, i + 2))))).otherwise(F.array().cast("array<string>")))[0]
+
+
+def index(docs: DataFrame, owner: str) -> DataFrame:
+    """Posting lists (username, gram, doc_id): which of a user's documents hold a run of three characters, in any case.
+
+    To be written once, sorted by user and gram, and added to as documents come; a large user's lists lie apart by gram.
+    """
+    return docs.select(F.col(owner).alias("username"), F.explode(grams(F.lower("text"))).alias("gram"), "doc_id")
+
+
+def candidates(asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """(id, username, _terms, doc_id) of documents that hold the rarest runs (``RAREST``) of a job's terms, for asked (id,
+    username, _terms) whose terms have such runs.  A superset of the hits: the texts themselves decide."""
+    wanted = asked.select("id", "username", F.explode(F.array_distinct(F.flatten(F.transform("_terms", grams)))).alias("gram"))
+    sizes = postings.join(wanted.select("username", "gram").distinct(), ["username", "gram"], "left_semi").groupBy("username", "gram").agg(F.count("*").alias("n"))
+    by_size = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))
+    rare = wanted.join(sizes, ["username", "gram"], "left").groupBy("id", "username").agg(F.slice(by_size, 1, RAREST).alias("rare"))
+    lists = rare.select("id", "username", F.size("rare").alias("all"), F.explode("rare.gram").alias("gram")).join(postings, ["username", "gram"])
+    both = lists.groupBy("id", "username", "doc_id").agg(F.countDistinct("gram").alias("n"), F.first("all").alias("all")).filter("n = all")
+    return both.join(asked.select("id", "_terms"), "id").select("id", "username", "_terms", "doc_id")
+
+
+def complete(jobs: DataFrame, docs: DataFrame, owner: str, pepper: bytes, scrubbed: Column | None = None, k: int = JOB_DOCS, postings: DataFrame | None = None) -> DataFrame:
     """Pending jobs answered: their query's terms all in a document of the same user; the first k, joined and sealed.
 
-    Jobs meet documents on the owner; ``scrubbed`` is the text as it may be shown, and where it is null, as scrubbing
-    failed, FAILED stands for it.
+    With postings (the ``index`` of docs) a job meets the documents that hold the rarest parts of its terms, and only jobs
+    whose terms are all shorter than three characters, and all jobs without postings, meet every document of their owner.
+    ``scrubbed`` is the text as it may be shown, and where it is null, as scrubbing failed, FAILED stands for it.
     """
     query = unseal(F.col("query"), F.col("username"), pepper, JOB_INFO).cast("string")
     parts = F.filter(F.split(F.lower(query), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != "")
     kept = F.filter(parts, lambda t: ~t.isin(*STOP_WORDS))
     asked = jobs.filter("status = 'pending'").withColumn("_terms", F.when(F.size(kept) > 0, kept).otherwise(parts))
     shown = docs.select(F.col(owner).alias("username"), "doc_id", F.lower("text").alias("_low"), (F.coalesce(scrubbed, F.lit(FAILED)) if scrubbed is not None else F.col("text")).alias("_shown"))
-    hits = asked.select("id", "username", "_terms").join(shown, "username").filter((F.size("_terms") > 0) & F.forall("_terms", lambda t: F.contains(F.col("_low"), t)))
+    looked = asked.select("id", "username", "_terms")
+    if postings is None:
+        met = looked.join(shown, "username")
+    else:
+        long = F.exists("_terms", lambda t: F.length(t) >= 3)
+        near = candidates(looked.filter(long), postings).withColumnRenamed("doc_id", "_doc").withColumnRenamed("username", "_user")
+        met = near.join(shown, (F.col("_user") == F.col("username")) & F.col("_doc").eqNullSafe(F.col("doc_id"))).drop("_user", "_doc")
+        met = met.unionByName(looked.filter(~long).join(shown, "username"))
+    hits = met.filter((F.size("_terms") > 0) & F.forall("_terms", lambda t: F.contains(F.col("_low"), t)))
     best = first_k(hits.select("id", "doc_id", "_shown"), "id", "doc_id", k)
     answer = best.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "_shown"))), lambda x: x["_shown"]), "\n---\n").alias("_answer"))
     text = F.coalesce("_answer", F.lit(NOTHING))

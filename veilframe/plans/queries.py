@@ -323,6 +323,26 @@ a AS (SELECT source, string_agg(text, chr(10) || '---' || chr(10) ORDER BY doc_i
 SELECT s.source AS username, 'completed' AS status, sha256(coalesce(r, {_quoted(retrieval.NOTHING)})) AS result_sha256 FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN a USING (source)"""
 
 
+#: Jobs are asked for the first two long words of these documents (a stated set of queries, against all documents).
+ASKED_EVERY = 100
+
+
+def jobs_by_index(spark, d):
+    """Two words of every hundredth document looked for in all documents of its source, by posting lists."""
+    docs = _t(spark, d, "documents").select("doc_id", "source", "text")
+    found = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0), lambda t: ~t.isin(*retrieval.STOP_WORDS))
+    asked = docs.filter((F.col("doc_id") % ASKED_EVERY == 0) & (F.size(found) > 0)).select(F.col("source").alias("username"), F.col("doc_id").cast("string").alias("thread_id"), F.array_join(F.slice(found, 1, 2), " ").alias("query"), F.lit("2024-01-01 00:00:00").alias("created_at"))
+    jobs = retrieval.enqueue(asked, PEPPER).withColumn("id", F.col("thread_id"))
+    done = retrieval.complete(jobs, docs, "source", PEPPER, postings=retrieval.index(docs, "source"))
+    return done.select("id", "status", F.sha2(crypto.unseal(F.col("result"), F.col("username"), PEPPER, retrieval.JOB_INFO), 256).alias("result_sha256"))
+
+
+_INDEX_SQL = f"""WITH q AS (SELECT doc_id AS q, source, list_filter(regexp_extract_all(lower(text), '[a-z]{{6,}}'), lambda t: t NOT IN ({', '.join(map(_quoted, retrieval.STOP_WORDS))}))[1:2] AS w FROM documents WHERE doc_id % {ASKED_EVERY} = 0),
+h AS (SELECT q, doc_id, text, row_number() OVER (PARTITION BY q ORDER BY doc_id) AS rn FROM q JOIN (SELECT doc_id, source, text, lower(text) AS low FROM documents) USING (source) WHERE len(w) > 0 AND contains(low, w[1]) AND contains(low, w[-1])),
+a AS (SELECT q, string_agg(text, chr(10) || '---' || chr(10) ORDER BY doc_id) AS r FROM h WHERE rn <= 3 GROUP BY q)
+SELECT CAST(q AS VARCHAR) AS id, 'completed' AS status, sha256(r) AS result_sha256 FROM q JOIN a USING (q)"""
+
+
 def session_tokens(spark, d):
     convs = _t(spark, d, "conversations").select("conv_id", "turn", "text")
     return sessions.scrub_sessions(convs, "conv_id", "turn", pack("base", native=True))
@@ -613,6 +633,7 @@ _NAMED = {
     "url_verdict": (url_verdict, _URL_SQL),
     "retrieve_terms": (retrieve_terms, _RETRIEVE_SQL),
     "job_results": (job_results, _JOB_SQL),
+    "jobs_by_index": (jobs_by_index, _INDEX_SQL),
     "session_tokens": (session_tokens, None),
     "sessions_in_two_batches": (sessions_in_two_batches, _TWO_SQL),
     "session_latest": (session_latest, "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id"),
