@@ -1,3 +1,4 @@
+import pytest
 import collections
 
 import plain
@@ -41,3 +42,18 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path, docs):
             assert max(fill.values()) <= 1024 and {r.doc_id for r in rows} == {r.doc_id for r in before.collect()}
         before = after
     assert corpus_pipeline.run(spark, sf_dir).count() == seen["best_fit_packing"].count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from veilframe.llm.util import shared_dir
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("spark://host:7077", "hdfs://a/b/")) == "hdfs://a/b"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://host"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master, None))
+    assert shared_dir(session("local[4]", None)) == shared_dir(session("local", None))
