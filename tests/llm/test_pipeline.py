@@ -1,7 +1,7 @@
-import pytest
 import collections
 
 import plain
+import pytest
 
 import corpus_pipeline
 
