@@ -17,7 +17,7 @@ def test_queries_without_sql_against_the_engine(spark, sf_dir):
     from veilframe.operators.sessions import SessionTokens
     from veilframe.sources.words import Words
 
-    assert set(q.queries()) - set(q.oracle_sql()) == {"sanitize_base", "scrub_full", "name_spans", "name_candidates", "session_tokens"}
+    assert set(q.queries()) - set(q.oracle_sql()) == {"sanitize_base", "scrub_full", "name_spans", "name_candidates", "scrub_verdicts", "session_tokens"}
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     run = lambda name: q.queries()[name](spark, sf_dir).collect()
     full = Engine(q.pack(native=True))

@@ -1,0 +1,136 @@
+"""Questions about candidates, a table of answers, and what it confirms."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilframe.operators import verdicts as V
+from veilframe.operators import windows as W
+from veilframe.operators.engine import Engine
+from veilframe.operators.normalize import normalize
+from veilframe.sources.rules import RuleSet
+from veilframe.sources.tables import Tables
+from veilframe.sources.words import Words
+
+LONG = "x" * 520 + ". "
+
+
+def found(text, confirmed=()):
+    from veilframe.operators.names import find_candidates
+
+    return find_candidates(text, list(confirmed), Words())
+
+
+def test_windows_are_sentences_merged_where_they_touch():
+    short = "we saw Tamsin. all was well"
+    assert W.sentence_windows(short, found(short)) == [(0, len(short))] and W.sentence_windows(short, []) == []
+    text = LONG + "we saw Tamsin here. nothing at all. then Orlin left! so did Vasko? " + "y" * 40
+    got = [text[a:b] for a, b in W.sentence_windows(text, found(text))]
+    assert got == [" we saw Tamsin here.", " then Orlin left! so did Vasko?"]
+
+
+def test_windows_equal_a_plain_search():
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(200):
+        text = "".join(rnd.choice(["ab ", "Tamsin ", "q. ", "\n", "ü! ", "Vasko", "? "]) for _ in range(250)) + "z" * 513
+        cands = found(text)
+        plain = set()
+        for a, b, *_ in cands:
+            s = max((i + 1 for i in range(a) if text[i] in ".!?\n"), default=0)
+            e = min((i + 1 for i in range(b, len(text)) if text[i] in ".!?\n"), default=len(text))
+            while hit := next((w for w in plain if s <= w[1] and e >= w[0]), None):
+                plain.remove(hit)
+                s, e = min(s, hit[0]), max(e, hit[1])
+            plain.add((s, e))
+        assert W.sentence_windows(text, cands) == sorted(plain)
+
+
+def test_letters_are_raised_in_place():
+    text = "ask dr. tamsin o'vale_x <now>"
+    shown = W.asked(text, 0, len(text), [(8, 21, "intro", True)])
+    assert shown == "ask Dr. Tamsin O'Vale x (now)" and len(shown) == len(text)
+    assert W.asked("ßeta", 0, 4, [(0, 4, "intro", True)]) == "ßeta"  # a capital of other width is none
+
+
+def confirm(text, said, confirmed=(), threshold=0.85):
+    return list(W.confirmed_by(text, found(text, confirmed), list(confirmed), said, threshold, Words()))
+
+
+def test_answers_confirm_by_score_label_and_place():
+    text = "we saw Tamsin there"
+    say = lambda label, score, s=7, e=13: [("window", 0, [(s, e, label, score)])]
+    assert confirm(text, say("B-PER", 0.7)) == [(7, 13, "ai_hybrid_B-PER")]
+    assert confirm(text, say("B-PER", 0.69)) == confirm(text, say("B-LOC", 0.99)) == confirm(text, say("B-ORG", 0.99)) == []
+    assert confirm(text, say("B-PER", 0.5), threshold=0.5) != []
+    assert confirm(text, say("B-PER", 0.9, 0, 2)) == confirm(text, say("B-PER", 0.9, 7, 99)) == confirm(text, []) == []
+    assert confirm("sent by Tamsin there", say("B-ORG", 0.9, 8, 14)) == [(8, 14, "ai_hybrid_B-ORG")]
+    assert confirm(text, say("B-PER", 0.9), [(5, 9)]) == []
+
+
+def test_lists_are_confirmed_from_one_name_to_the_next():
+    text = "we saw Tamsin, Orlin and Vasko there"
+    probe = lambda at: ("probe", at, [(0, 4, "B-PER", 0.9)])
+    window = ("window", 0, [(7, 13, "B-PER", 0.9)])
+    names = lambda said: [text[a:b] for a, b, _ in confirm(text, said)]
+    assert names([window, probe(15), probe(25)]) == ["Tamsin", "Orlin", "Vasko"]
+    assert names([window, probe(25)]) == ["Tamsin"] and names([probe(15), probe(25)]) == []
+    asked = {(p, q) for kind, p, q in W.questions(text, found(text), Words()) if kind == "probe"}
+    assert asked == {(p, f"{t} {n}") for p, n in ((7, "Tamsin"), (15, "Orlin"), (25, "Vasko")) for t in ("John", "Doctor")}
+
+
+def test_settled_once_over_batches(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        import re
+
+        calls.add(len(texts))
+        return [[(m.start(), m.end(), "B-PER", 0.9) for m in re.finditer(r"[A-Z]\w+", t) if m[0] in ("Tamsin", "Vasko")] for t in texts]
+
+    rows = [(1, "we saw Tamsin there"), (2, "we saw Tamsin there"), (3, None), (4, ""), (5, "nothing here"), (6, LONG + "then Vasko left. so did Orlin")]
+    df = spark.createDataFrame(rows, "id int, text string").withColumn("_x", F.lit(7))
+    tables, rules = Tables(spark, str(tmp_path)), RuleSet([])
+    got = {r.id: r.report for r in V.settle(tables, df, rules, V.by_function(counted), app="a", batch=1).collect()}
+    assert got[1].sanitized_text == got[2].sanitized_text == "we saw [AI_REDACTED_1] there" and got[3] is None and got[4].sanitized_text == ""
+    assert got[5].sanitized_text == "nothing here" and got[6].sanitized_text == LONG + "then [AI_REDACTED_1] left. so did Orlin"
+    n = calls.value
+    assert n == tables.read("verdicts").count() == len({r.hash for r in V.questions(df, rules).collect()})
+    for batch in (1, 2):  # again, and as another batch: every question is answered
+        again = V.settle(tables, df, rules, V.by_function(counted), app="a", batch=batch)
+        assert calls.value == n and {r.id: r.report for r in again.collect()} == got
+    assert again.columns == ["id", "text", "_x", "report"]
+    none = V.scrub_with(df.limit(0), rules, tables.read("verdicts"))
+    assert none.count() == 0
+
+
+def test_tables_give_what_one_text_gives(spark, sf_dir):
+    """Whole texts of the documents by frames and one by one, the casing scorer against a plain count."""
+    import re
+
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    seen: dict[str, list[int]] = {}
+    for t in texts.values():
+        for w in re.findall(r"(?<=[^.!?\s] )[^\W\d_]+", t or ""):
+            c = seen.setdefault(w.lower(), [0, 0])
+            c[0] += 1
+            c[1] += w[0].isupper()
+    shares = {w: r / n for w, (n, r) in seen.items() if n >= 3 and r}
+    assert {r.word: r.share for r in V.casing(df).collect()} == pytest.approx(shares)
+
+    def one(asked):
+        return [(m.start(), m.end(), "B-PER", shares[m[0].lower()]) for m in re.finditer(r"[^\W\d_]+", asked) if m[0][0].isupper() and m[0].lower() in shares]
+
+    engine, rules = Engine(RuleSet([]), None, None, 0.3), RuleSet([])
+    want, asked = {}, set()
+    for k, t in texts.items():
+        n = normalize(t or "")
+        qs = list(W.questions(n.unicode, engine.candidates(n, engine.detect(n)[0]), engine.words))
+        asked |= {q for *_, q in qs}
+        want[k] = None if t is None else engine.report(t, None, None, [(kind, p, one(q)) for kind, p, q in qs])["sanitized_text"]
+    qs = V.questions(df, rules)
+    verdicts = V.by_casing(V.casing(df))(V.unseen(qs, spark.createDataFrame([], "hash string")))
+    assert {r.asked for r in qs.collect()} == asked
+    got = {r.doc_id: r.report and r.report.sanitized_text for r in V.scrub_with(df, rules, verdicts, threshold=0.3).collect()}
+    assert got == want and any(got[k] != Engine(rules).report(t)["sanitized_text"] for k, t in texts.items() if t)

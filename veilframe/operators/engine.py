@@ -18,6 +18,7 @@ from veilframe.operators.intervals import Cover, Intervals
 from veilframe.operators.names import PATTERNS, find_candidates, find_names
 from veilframe.operators.normalize import normalize
 from veilframe.operators.prefilter import Prefilter
+from veilframe.operators.windows import confirmed_by
 from veilframe.ship import ship
 from veilframe.sources.rules import RuleSet
 from veilframe.sources.words import Words
@@ -128,9 +129,10 @@ _BLANK = re.compile(r"\s*")
 
 
 class Engine:
-    def __init__(self, rules: RuleSet, words: Words | None = None, verdicts: dict[str, tuple[str, float]] | None = None):
-        """verdicts: what a model has said before of names (their ASCII reading in lower case): label and score."""
-        self.words, self.verdicts = words or Words(), verdicts or {}
+    def __init__(self, rules: RuleSet, words: Words | None = None, verdicts: dict[str, tuple[str, float]] | None = None, threshold: float = 0.85):
+        """verdicts: what a model has said before of names (their ASCII reading in lower case): label and score.
+        threshold: the score that an answer about a candidate needs, if it is less than the fixed ones."""
+        self.words, self.verdicts, self.threshold = words or Words(), verdicts or {}, threshold
         self.terms = Terms([(r, normalize(r.pattern).ascii.lower()) for r in rules.of("D")])
         self.patterns = [(r, re.compile(r.pattern)) for r in rules.of("R")]
         self.heuristics = [(r, re.compile(r.pattern)) for r in rules.of("H", "S")]
@@ -151,8 +153,18 @@ class Engine:
             yield from zip(read, self.for_rules.absent([n.unicode for n in read]), zip(*names))
             at = to
 
-    def reports(self, texts: list[str | None]) -> list[dict | None]:
-        return [None if t is None else self.report(t, None, known) for t, known in zip(texts, self.prepared(texts))]
+    def reports(self, texts: list[str | None], said: list | None = None) -> list[dict | None]:
+        said = said or [None] * len(texts)
+        return [None if t is None else self.report(t, None, known, answers) for t, known, answers in zip(texts, self.prepared(texts), said)]
+
+    def candidates(self, n, confirmed: list[Span]) -> list[tuple[int, int, str, bool]]:
+        return find_candidates(n.unicode, [(s.start, s.end) for s in confirmed], self.words)
+
+    def settled(self, n, confirmed: list[Span], said: list) -> list[Span]:
+        """The confirmed spans and those that answers of a model confirm."""
+        known = [(s.start, s.end) for s in confirmed]
+        more = [Span(a, b, rule, "Redact", "HighConfidenceAi") for a, b, rule in confirmed_by(n.unicode, self.candidates(n, confirmed), known, said, self.threshold, self.words)]
+        return sorted(confirmed + more, key=lambda s: (s.start, -s.end))
 
     def _terms(self, n) -> list[Span]:
         if not self.terms.rules:
@@ -235,9 +247,12 @@ class Engine:
         potential[:] = following.left()
         return out
 
-    def report(self, text: str, tokens=None, known: tuple | None = None) -> dict:
+    def report(self, text: str, tokens=None, known: tuple | None = None, said: list | None = None) -> dict:
+        """said: answers of a model about this text's candidates (``windows.confirmed_by``)."""
         n, *absent = known or (normalize(text),)
         confirmed, potential = self.detect(n, *absent)
+        if said:
+            confirmed = self.settled(n, confirmed, said)
         spans = self.resolve(n.unicode, confirmed, potential)
         tokens = tokens or Tokens()
         width = _byte_offsets(text)
@@ -280,24 +295,31 @@ def _byte_offsets(text: str):
     return width
 
 
-def scrub(df: DataFrame, rules: RuleSet, column: str = "text", words: Words | None = None) -> DataFrame:
-    """df with ``report``; null texts have a null report."""
+def scrub(df: DataFrame, rules: RuleSet, column: str = "text", words: Words | None = None, said: str | None = None, threshold: float = 0.85) -> DataFrame:
+    """df with ``report``; null texts have a null report.
+
+    said: a column of answers (``verdicts.SAID``) about each text's candidates; it is not returned.
+    """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
     ship(df.sparkSession)
     arrow = to_arrow_type(_parse_datatype_string(REPORT))
-    schema = StructType([*df.schema.fields, StructField("report", _parse_datatype_string(REPORT))])
+    keep = [i for i, f in enumerate(df.schema.fields) if f.name != said]
+    schema = StructType([*(df.schema.fields[i] for i in keep), StructField("report", _parse_datatype_string(REPORT))])
     made: dict = {}
 
+    def answers(part) -> list | None:
+        return said and [[(x["kind"], x["place"], [tuple(e.values()) for e in x["entities"]]) for x in row or ()] for row in part.column(said).to_pylist()]
+
     def run(batches: Iterator) -> Iterator:
-        engine = made.setdefault("engine", Engine(rules, words))
+        engine = made.setdefault("engine", Engine(rules, words, None, threshold))
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                reports = engine.reports(part.column(column).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(reports, arrow)], names=[*batch.schema.names, "report"])
+                reports = engine.reports(part.column(column).to_pylist(), answers(part))
+                yield pa.RecordBatch.from_arrays([*map(part.column, keep), pa.array(reports, arrow)], names=[*(batch.schema.names[i] for i in keep), "report"])
 
     return df.mapInArrow(run, schema)
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions import crypto, text as T
-from veilframe.operators import audit, content, dictionary, engine, evaluate, legacy, retrieval, sessions, spans
-from veilframe.plans.cases import BODIES, CANDIDATES, PLANTED, SANITIZED, SCRUBBED, SESSION_RULES, SESSIONS
+from veilframe.operators import audit, content, dictionary, engine, evaluate, legacy, retrieval, sessions, spans, verdicts
+from veilframe.plans.cases import BODIES, CANDIDATES, KNOWN_WORDS, PLANTED, SANITIZED, SCRUBBED, SESSION_RULES, SESSIONS, SETTLED
 from veilframe.sources.rules import CATEGORIES, Rule, RuleSet, pack
 from veilframe.streaming import rehydrate
 
@@ -623,6 +623,35 @@ def name_candidates(spark, d):
     return engine.name_candidates(_docs(spark, d), rules=pack("base", native=True))
 
 
+def _settled(rows: DataFrame, rules: RuleSet, shares: DataFrame) -> DataFrame:
+    asked = verdicts.questions(rows, rules)
+    new = verdicts.unseen(asked, rows.sparkSession.createDataFrame([], "hash string"))
+    return verdicts.scrub_with(rows, rules, verdicts.by_casing(shares)(new), asked=asked)
+
+
+def verdict_cases(spark, d):
+    """Candidates of known texts, for every supplier, by answers about windows of sentences and about single names."""
+    rows = _over(spark, d, [(k, t) for k, (t, _) in enumerate(SETTLED)], "id, text").select("s_suppkey", "id", _marked())
+    return _settled(rows, RuleSet([]), spark.createDataFrame(KNOWN_WORDS, "word string, share double")).select("s_suppkey", "id", "report.sanitized_text")
+
+
+def word_casing(spark, d):
+    return verdicts.casing(_docs(spark, d))
+
+
+_CASING_SQL = r"""SELECT word, count(*) AS n, count(*) FILTER (up) / count(*) AS share FROM (SELECT lower(w) AS word, regexp_matches(w, '^\p{Lu}') AS up
+FROM (SELECT regexp_extract(p[i], '^\p{L}+') AS w, p[i - 1] AS last FROM (SELECT string_split(text, ' ') AS p FROM documents), unnest(range(2, len(p) + 1)) AS r(i))
+WHERE w <> '' AND regexp_matches(last, '[^.!?\s]$')) GROUP BY word HAVING count(*) >= 3 AND count(*) FILTER (up) > 0"""
+
+
+def scrub_verdicts(spark, d):
+    """Documents with the base pack, the certain names, and the candidates that the casing of the documents' own words
+    makes names."""
+    docs = _docs(spark, d)
+    out = _settled(docs, pack("base", native=True), verdicts.casing(docs))
+    return out.select("doc_id", "report.sanitized_text", _shown("report").alias("redactions"))
+
+
 def session_store(spark, d):
     """Stored twice, opened once: the later state of each user."""
     ev = _t(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("last"))
@@ -694,6 +723,9 @@ _NAMED = {
     "session_cases": (session_cases, "SELECT username || '/' || s_suppkey AS username, turn, sanitized_text FROM (" + _over_sql([(u, t, x) for u, t, _, x in SESSIONS], "username, turn, sanitized_text") + ")"),
     "body_cases": (body_cases, "SELECT s_suppkey, id, texts, '{\"supplier\":' || s_suppkey || ',' || clean[2:] AS clean FROM (" + _over_sql([(i, t, c) for i, _, t, c in BODIES], "id, texts, clean") + ")"),
     "candidate_cases": (candidate_cases, _over_sql([(k, *c) for k, (_, found) in enumerate(CANDIDATES) for c in found], "id, kind, match")),
+    "verdict_cases": (verdict_cases, _over_sql([(k, x) for k, (_, x) in enumerate(SETTLED)], "id, sanitized_text", "sanitized_text")),
+    "word_casing": (word_casing, _CASING_SQL),
+    "scrub_verdicts": (scrub_verdicts, None),
     "guard_counters": (guard_counters, _COUNTER_SQL),
     "purge_everywhere": (purge_everywhere, _PURGE_SQL),
 }
