@@ -80,13 +80,19 @@ def scrub_with(df: DataFrame, rules: RuleSet, verdicts: DataFrame, column: str =
 def settle(tables: Tables, df: DataFrame, rules: RuleSet, scorer: Scorer, column: str = "text", words: Words | None = None, threshold: float = 0.85, app: str | None = None, batch: int | None = None) -> DataFrame:
     """scrub_with, after the scorer has been asked what the table ``verdicts`` does not answer yet.
 
-    Its answers are one transaction; a batch that was committed before asks nothing anew.
+    Its answers, and which questions the texts have (by their hashes; what was asked is not kept), are one transaction; a
+    batch that was committed before asks nothing anew.
     """
-    if (change := tables.begin(app, batch)) is not None:
-        new = unseen(questions(df, rules, column, words), change.read("verdicts"))
-        change.append(scorer(new), "verdicts")
+    if (change := tables.begin(app, batch)) is None:
+        return scrub_with(df, rules, tables.read("verdicts"), column, words, threshold)
+    asked = questions(df, rules, column, words).persist()
+    try:
+        change.append(scorer(unseen(asked, change.read("verdicts"))), "verdicts")
+        held = change.replace(asked, "questions")
         change.commit()
-    return scrub_with(df, rules, tables.read("verdicts"), column, words, threshold)
+    finally:
+        asked.unpersist()
+    return scrub_with(df, rules, tables.read("verdicts"), column, words, threshold, held)
 
 
 def by_function(score: Callable[[list[str]], list[list[tuple[int, int, str, float]]]], schema: str = f"hash string, entities {ENTITIES}") -> Scorer:
@@ -120,10 +126,11 @@ def by_casing(shares: DataFrame) -> Scorer:
     """A scorer without a model: a word that has a capital is a person with the share that ``casing`` found."""
 
     def score(asked: DataFrame) -> DataFrame:
-        words = asked.select("hash", "asked", F.explode(matches(F.col("asked"), r"(?<!\p{L})\p{Lu}\p{L}*")).alias("m"))
-        words = words.select("hash", F.col("m.s").alias("s"), F.col("m.e").alias("e"), F.substring("asked", F.col("m.s") + 1, F.col("m.e") - F.col("m.s")).alias("w"))
-        known = words.withColumn("word", F.lower("w")).join(shares, "word")
-        found = known.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("s", "e", F.lit("B-PER").alias("label"), F.col("share").alias("score")))).cast(ENTITIES).alias("entities"))
-        return asked.select("hash").join(found, "hash", "left").select("hash", F.coalesce("entities", F.array().cast(ENTITIES)).alias("entities"))
+        spot = matches(F.col("asked"), r"(?<!\p{L})\p{Lu}\p{L}*")
+        named = F.transform(spot, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.lower(F.substring(F.col("asked"), m["s"] + 1, m["e"] - m["s"])).alias("word")))
+        words = asked.select("hash", F.explode_outer(named).alias("m")).select("hash", "m.s", "m.e", "m.word")
+        entity = F.struct("s", "e", F.lit("B-PER").alias("label"), F.col("share").alias("score"))
+        known = words.join(shares, "word", "left").groupBy("hash").agg(F.collect_list(F.when(F.col("share").isNotNull(), entity)).alias("entities"))
+        return known.select("hash", F.sort_array("entities").cast(ENTITIES).alias("entities"))
 
     return score
