@@ -195,6 +195,19 @@ def test_legacy_shield(spark):
     assert got[1] == ("[TERM_1] [SSN_1] [TERM_2] [SSN_2] bar", {"[SSN_1]": "123-45-6789", "[SSN_2]": "123-45-6789", "[TERM_1]": "Foo", "[TERM_2]": "foo"}) and got[2] == (None, None)
 
 
+def test_legacy_shield_finds_distinct_matches_once(spark):
+    import time
+
+    from veilframe.operators.legacy import shield
+
+    n = 40_000
+    df = spark.createDataFrame([(1, "the und 123-45-6789 " * n)], "id int, text string")
+    began = time.time()
+    row = shield(df, ["the", "und"]).select(F.length("sanitized_text").alias("n"), F.size("token_map").alias("k")).first()
+    assert (row.n, row.k) == (sum(len(f"[TERM_1] [TERM_2] [SSN_{i}] ") for i in range(1, n + 1)), n + 2)
+    assert time.time() - began < 20  # 80,000 matches of two terms
+
+
 def test_guard_hook(spark):
     df = spark.createDataFrame([("x", True), ("y", False), ("z", None)], "text string, bad boolean")
     assert [r.s for r in df.select(T.guard_status(F.col("text"), classifier=F.col("bad")).alias("s")).collect()] == ["classifier", "ok", "classifier"]
