@@ -46,30 +46,49 @@ def widened(pattern: str) -> str | None:
     return f"(?:{''.join(out)})|[{_DOTTED}]"
 
 
+#: Patterns that are looked for in one scan; more of them make an automaton that no longer fits its cache.
+GROUP = 8
+
+
 class Prefilter:
     def __init__(self, patterns: dict[str, str]):
+        self.wide = {}
+        for name, pattern in patterns.items():
+            # the matcher may not know the pattern: its rows are all looked at
+            if (wide := widened(pattern)) is not None and self._known(wide):
+                self.wide[name] = wide
+        names = list(self.wide)
+        parts = [names[k : k + GROUP] for k in range(0, len(names), GROUP)]
+        joined = [("|".join(dict.fromkeys(self.wide[n] for n in part)), part) for part in parts]
+        self.groups = [x for any_, part in joined for x in ([(any_, part)] if self._known(any_) else [(self.wide[n], [n]) for n in part])]
+
+    @staticmethod
+    def _known(pattern: str) -> bool:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        self.wide = {}
-        for name, pattern in patterns.items():
-            if (wide := widened(pattern)) is not None:
-                try:
-                    pc.match_substring_regex(pa.array([""]), wide)
-                    self.wide[name] = wide
-                except pa.ArrowInvalid:  # the matcher does not know the pattern: its rows are all looked at
-                    pass
+        try:
+            pc.match_substring_regex(pa.array([""]), pattern)
+        except pa.ArrowInvalid:
+            return False
+        return True
 
     def absent(self, texts: list[str]) -> list[set[str]]:
-        """For each text the patterns that it cannot hold."""
+        """For each text the patterns that it cannot hold: a group's patterns are looked for one by one only in texts that
+        hold any of them."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         column = pa.array(texts, pa.large_string())
-        out: list[set[str]] = [set() for _ in texts]
-        for name, wide in self.wide.items():
-            hit = pc.match_substring_regex(column, wide).to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(~hit).tolist():
-                out[i].add(name)
+        out: list[set[str]] = [set(self.wide) for _ in texts]
+        for any_, names in self.groups:
+            held = np.flatnonzero(pc.match_substring_regex(column, any_).to_numpy(zero_copy_only=False))
+            if not len(held):
+                continue
+            rows = column.take(pa.array(held)) if len(names) > 1 else None
+            for name in names:
+                hit = held if rows is None else held[pc.match_substring_regex(rows, self.wide[name]).to_numpy(zero_copy_only=False)]
+                for i in hit.tolist():
+                    out[i].discard(name)
         return out

@@ -43,9 +43,9 @@ def questions(df: DataFrame, rules: RuleSet, column: str = "text", words: Words
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 rows = []
-                for i, (n, *absent) in enumerate(engine.prepared(part.column("text").to_pylist())):
-                    confirmed = engine.detect(n, *absent)[0]
-                    rows += ((i, *q) for q in asked_of(n.unicode, engine.candidates(n, confirmed), engine.words))
+                for i, (n, absent, names, more) in enumerate(engine.prepared(part.column("text").to_pylist(), True)):
+                    confirmed = engine.detect(n, absent, names)[0]
+                    rows += ((i, *q) for q in asked_of(n.unicode, engine.candidates(n, confirmed, more), engine.words))
                 which, *cols = zip(*rows) if rows else ([], [], [], [])
                 cols = [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([part.column("_t").take(pa.array(which, pa.int64())), *cols], names=["_t", "kind", "place", "asked"])
