@@ -140,6 +140,25 @@ def test_evolution_finds_the_optimum_of_small_cases():
         assert len(packing.evolve(lengths, [], 1024, seed=case)) == best[-1][0]
 
 
+def test_all_pieces_of_a_shard_take_part(monkeypatch):
+    rng = random.Random(4)
+    lengths = []
+    for _ in range(700):  # 2100 pieces: three fill each bin exactly
+        a = rng.randrange(390, 500)
+        b = rng.randrange(256, (1024 - a) // 2 + 1)
+        lengths += [a, b, 1024 - a - b]
+    held, plain_repair = [], packing.repair
+    monkeypatch.setattr(packing, "repair", lambda n, bins, displaced, c: held.append(sum(len(b[1]) for b in bins) + len(displaced)) or plain_repair(n, bins, displaced, c))
+    best = packing.evolve(lengths, [], 1024, seed=5)
+    assert held and min(held) == len(lengths)
+    assert sorted(i for b in best for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 1024 for b in best)
+    assert len(best) <= 700 * 1.05 < len(packing.best_fit(lengths, list(range(len(lengths))), [], 1024)) * 0.93
+
+
+def test_no_grouping_goes_below_the_bound():
+    assert [packing.bound(x, 10) for x in ([], [10], [6, 6, 6], [6, 6, 4, 4], [9, 9, 2], [5, 5, 5], [1] * 11)] == [0, 1, 3, 2, 3, 2, 2]
+
+
 # ---- media
 
 

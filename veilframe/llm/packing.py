@@ -2,8 +2,7 @@
 
 Documents become token pieces of at most ``CAPACITY`` ids; only longer documents are cut, and their first piece takes
 the remainder.  Full pieces are sequences of their own.  The others are dealt at random into shards of about
-``SHARD`` pieces.  On each shard, islands evolve groupings from best fit, on its emptiest bins and others by chance:
-crossover injects whole well-filled bins of one parent into another, bins that hold a piece twice are dissolved, and
+``SHARD`` pieces.  On each shard, islands evolve groupings of all its pieces from best fit: crossover injects whole well-filled bins of one parent into another, bins that hold a piece twice are dissolved, and
 displaced pieces first take the place of shorter ones wherever that leaves less space, then go where they fit best,
 longest first.  Between epochs the best grouping of an island migrates to the next island; at the end the best island of a shard wins.
 Bins that stay poorly filled are pooled over all shards, dealt anew and packed once more.
@@ -35,8 +34,6 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 6
 GENERATIONS = 25
-#: Items that a population rearranges.
-FOCUS = 256
 #: Bins filled less than this are pooled after the first round.
 WELL_FILLED = 0.985
 VOCABULARY = "byte_bpe_50k"
@@ -147,26 +144,48 @@ def fitness(lengths: list[int], bins: list[list[int]], capacity: int) -> tuple[i
     return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
-def exchange(lengths: list[int], bins: list[list[int]], displaced: list[int], capacity: int) -> list[int]:
+def bound(lengths: list[int], capacity: int) -> int:
+    """A number of bins that no grouping goes below: for each size, longer pieces than fit beside it have bins of their own,
+    the other halves have one each, and what is left of shorter ones fills what room these have."""
+    import numpy as np
+
+    counts = np.bincount(np.asarray(lengths, dtype=np.int64), minlength=capacity + 1)
+    n, total = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    half = capacity // 2
+    size = np.arange(1, half + 1)
+    wide = n[capacity - size] - n[half]
+    left = total[half] - total[size - 1] - (wide * capacity - (total[capacity - size] - total[half]))
+    least = n[capacity] - n[half] + np.maximum(0, -(-left // capacity))
+    return int(max(-(-total[capacity] // capacity), least.max(initial=0)))
+
+
+#: A bin as islands hold it: how full it is, and its items.
+Bin = tuple[int, list[int]]
+
+
+def exchange(lengths: list[int], bins: list[Bin], displaced: list[int], capacity: int) -> tuple[list[Bin], list[int]]:
     """Fills bins further: one or two of a bin's items give way to a displaced one, one to two displaced ones, wherever
-    that leaves less space.  Returns who is displaced now; each step fills a bin more, so it ends."""
+    that leaves less space.  Returns the bins and who is displaced now; each step fills a bin more, so it ends."""
     free = sorted((lengths[i], i) for i in displaced)
+    changed: list[Bin] = []
 
     def take(low: int, high: int) -> int | None:
         """The longest displaced item with low < length <= high leaves the list."""
         k = bisect.bisect_right(free, (high, math.inf)) - 1
         return free.pop(k)[1] if k >= 0 and free[k][0] > low else None
 
-    for b in bins:
-        space = capacity - sum(lengths[i] for i in b)
-        better = True
+    for fill, b in bins:
+        if fill == capacity or not free:
+            changed.append((fill, b))
+            continue
+        space, b, better = capacity - fill, list(b), True
         while space and free and better:
             better = False
             for out in [(i,) for i in b] + [(i, j) for k, i in enumerate(b) for j in b[:k]]:
                 gone = sum(lengths[i] for i in out)
                 came = [] if (one := take(gone, gone + space)) is None else [one]
                 if not came and len(out) == 1:
-                    for k in range(len(free) - 1, -1, -1):
+                    for k in range(bisect.bisect_right(free, (gone + space, math.inf)) - 1, -1, -1):
                         rest = gone + space - free[k][0]
                         if 2 * free[k][0] <= gone:
                             break
@@ -182,82 +201,75 @@ def exchange(lengths: list[int], bins: list[list[int]], displaced: list[int], ca
                     space -= sum(lengths[i] for i in came) - gone
                     better = True
                     break
-    return [i for _, i in free]
+        changed.append((capacity - space, b))
+    return changed, [i for _, i in free]
 
 
-def repair(lengths: list[int], bins: list[list[int]], displaced: list[int], capacity: int) -> list[list[int]]:
-    bins = [list(b) for b in bins]
-    return best_fit(lengths, exchange(lengths, bins, displaced, capacity), bins, capacity)
+def repair(lengths: list[int], bins: list[Bin], displaced: list[int], capacity: int) -> list[Bin]:
+    """Bins that are full stay as they are; the others are filled further, and who is displaced then goes where it fits best."""
+    bins, displaced = exchange(lengths, bins, displaced, capacity)
+    out = _Open(capacity)
+    for fill, b in bins:
+        if fill < capacity:
+            out.put(list(b), capacity - fill)
+    for i in sorted(displaced, key=lambda i: (-lengths[i], i)):
+        out.fit(i, lengths[i])
+    return [x for x in bins if x[0] == capacity] + [(capacity - space, b) for space, held in enumerate(out.by_space) for b in held]
 
 
-def crossover(lengths: list[int], a: list[list[int]], b: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
+def crossover(lengths: list[int], a: list[Bin], b: list[Bin], capacity: int, rng: random.Random) -> list[Bin]:
     """Well-filled bins of b go into a whole; a's bins that share an item with them are dissolved."""
-    filled = sorted(b, key=lambda x: -sum(lengths[i] for i in x))
-    good = filled[: max(1, len(filled) // 2)]
+    good = sorted(b, key=lambda x: -x[0])[: max(1, len(b) // 2)]
     injected = [x for x in good if rng.random() < 0.5] or good[:1]
-    taken = {i for x in injected for i in x}
+    taken = {i for _, x in injected for i in x}
     stay, displaced = [], []
     for x in a:
-        if taken.isdisjoint(x):
+        if taken.isdisjoint(x[1]):
             stay.append(x)
         else:
-            displaced += [i for i in x if i not in taken]
+            displaced += [i for i in x[1] if i not in taken]
     return repair(lengths, [*injected, *stay], displaced, capacity)
 
 
-def mutate(lengths: list[int], bins: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
+def mutate(lengths: list[int], bins: list[Bin], capacity: int, rng: random.Random) -> list[Bin]:
     """The emptiest bins and a few others are dissolved and their items packed anew."""
-    order = sorted(bins, key=lambda x: sum(lengths[i] for i in x))
+    order = sorted(bins, key=lambda x: x[0])
     gone = max(1, len(order) // 10)
     picked = {*range(gone), *(rng.randrange(len(order)) for _ in range(gone))}
-    return repair(lengths, [x for k, x in enumerate(order) if k not in picked], [i for k in picked for i in order[k]], capacity)
+    return repair(lengths, [x for k, x in enumerate(order) if k not in picked], [i for k in picked for i in order[k][1]], capacity)
 
 
-def restrict(lengths: list[int], bins: list[list[int]], items: set[int], capacity: int) -> list[list[int]]:
-    """A grouping of some of the items: bins that hold no other stay, the rest of the items are packed anew."""
-    whole = [b for b in bins if items.issuperset(b)]
-    left = items.difference(*whole)
-    return repair(lengths, whole, sorted(left), capacity)
+def _fitness(bins: list[Bin], capacity: int) -> tuple[int, float]:
+    return -len(bins), sum(fill * fill for fill, _ in bins) / capacity**2 / max(1, len(bins))
 
 
-def evolve(lengths: list[int], seeds: list[list[list[int]]], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION, focus: int = FOCUS) -> list[list[int]]:
-    """The best grouping found from the seeds and best fit.
-
-    A grouping of many items is bettered where space is left: its emptiest bins, and others by chance, up to ``focus``
-    items, are a problem of their own, on which the population lives; the other bins stay as they are.
-    """
+def evolve(lengths: list[int], seeds: list[list[list[int]]], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
+    """The best grouping found from the seeds and best fit.  All items take part in each generation; where the fewest bins
+    that can be are reached, there is nothing to evolve."""
     first = best_fit(lengths, list(range(len(lengths))), [], capacity)
-    best = max([*seeds, first], key=lambda x: fitness(lengths, x, capacity))
-    spare = len(best) - math.ceil(sum(lengths) / capacity)
-    if spare <= 0:
+    least = bound(lengths, capacity)
+    if (best := min([*seeds, first], key=len)) and len(best) <= least:
         return best
     rng = random.Random(seed)
-    order = sorted(best, key=lambda x: sum(lengths[i] for i in x))
-    poor = max(1, len(order) // 20)
-    rest = order[poor:]
-    rng.shuffle(rest)
-    part, stay, held = [], [], 0
-    for b in [*order[:poor], *rest]:
-        (part if held < focus else stay).append(b)
-        held += len(b)
-    items = {i for b in part for i in b}
-    bound = max(len(part) - spare, math.ceil(sum(lengths[i] for i in items) / capacity))
-    pool = [part, *(restrict(lengths, s, items, capacity) for s in [*seeds, first] if s is not best)]
+    pool = [[(sum(lengths[i] for i in b), b) for b in x] for x in [*seeds, first] if x]
+    if not pool:
+        return best
+    pool.sort(key=lambda x: _fitness(x, capacity), reverse=True)
     while len(pool) < population:
-        pool.append(mutate(lengths, part, capacity, rng))
-    scored = sorted(((fitness(lengths, x, capacity), x) for x in pool), key=lambda x: x[0], reverse=True)[:population]
+        pool.append(mutate(lengths, pool[0], capacity, rng))
+    scored = sorted(((_fitness(x, capacity), x) for x in pool), key=lambda x: x[0], reverse=True)[:population]
     for _ in range(generations):
-        if -scored[0][0][0] <= bound:
+        if -scored[0][0][0] <= least:
             break
         a, b = scored[0][1], scored[rng.randrange(1, len(scored))][1]
         for child in (crossover(lengths, a, b, capacity, rng), mutate(lengths, crossover(lengths, b, a, capacity, rng), capacity, rng)):
-            scored.append((fitness(lengths, child, capacity), child))
+            scored.append((_fitness(child, capacity), child))
         # equal groupings would leave nothing to cross
         scored = sorted({s[0]: s for s in reversed(scored)}.values(), key=lambda x: x[0], reverse=True)[:population]
         if len(scored) == 1:
             child = mutate(lengths, scored[0][1], capacity, rng)
-            scored = sorted([scored[0], (fitness(lengths, child, capacity), child)], key=lambda x: x[0], reverse=True)
-    return [*scored[0][1], *stay]
+            scored = sorted([scored[0], (_fitness(child, capacity), child)], key=lambda x: x[0], reverse=True)
+    return [b for _, b in scored[0][1]]
 
 
 def _groups(pdf, keys: list[int]) -> list[list[list[int]]]:
