@@ -21,6 +21,8 @@ import math
 import random
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,7 +177,7 @@ def exchange(lengths: list[int], bins: list[Bin], displaced: list[int], capacity
         return free.pop(k)[1] if k >= 0 and free[k][0] > low else None
 
     for fill, b in bins:
-        if fill == capacity or not free:
+        if not free:
             changed.append((fill, b))
             continue
         space, b, better = capacity - fill, list(b), True
@@ -207,24 +209,27 @@ def exchange(lengths: list[int], bins: list[Bin], displaced: list[int], capacity
 
 def repair(lengths: list[int], bins: list[Bin], displaced: list[int], capacity: int) -> list[Bin]:
     """Bins that are full stay as they are; the others are filled further, and who is displaced then goes where it fits best."""
-    bins, displaced = exchange(lengths, bins, displaced, capacity)
+    full = [x for x in bins if x[0] == capacity]
+    bins, displaced = exchange(lengths, [x for x in bins if x[0] < capacity], displaced, capacity)
     out = _Open(capacity)
     for fill, b in bins:
         if fill < capacity:
             out.put(list(b), capacity - fill)
     for i in sorted(displaced, key=lambda i: (-lengths[i], i)):
         out.fit(i, lengths[i])
-    return [x for x in bins if x[0] == capacity] + [(capacity - space, b) for space, held in enumerate(out.by_space) for b in held]
+    return full + [x for x in bins if x[0] == capacity] + [(capacity - space, b) for space, held in enumerate(out.by_space) for b in held]
 
 
 def crossover(lengths: list[int], a: list[Bin], b: list[Bin], capacity: int, rng: random.Random) -> list[Bin]:
     """Well-filled bins of b go into a whole; a's bins that share an item with them are dissolved."""
-    good = sorted(b, key=lambda x: -x[0])[: max(1, len(b) // 2)]
-    injected = [x for x in good if rng.random() < 0.5] or good[:1]
-    taken = {i for _, x in injected for i in x}
+    good = sorted(b, key=itemgetter(0), reverse=True)[: max(1, len(b) // 2)]
+    chosen = rng.getrandbits(len(good))
+    injected = list(compress(good, map(int, f"{chosen:0{len(good)}b}"))) or good[:1]
+    taken = set(chain.from_iterable(map(itemgetter(1), injected)))
     stay, displaced = [], []
+    free = taken.isdisjoint
     for x in a:
-        if taken.isdisjoint(x[1]):
+        if free(x[1]):
             stay.append(x)
         else:
             displaced += [i for i in x[1] if i not in taken]
@@ -233,14 +238,14 @@ def crossover(lengths: list[int], a: list[Bin], b: list[Bin], capacity: int, rng
 
 def mutate(lengths: list[int], bins: list[Bin], capacity: int, rng: random.Random) -> list[Bin]:
     """The emptiest bins and a few others are dissolved and their items packed anew."""
-    order = sorted(bins, key=lambda x: x[0])
+    order = sorted(bins, key=itemgetter(0))
     gone = max(1, len(order) // 10)
     picked = {*range(gone), *(rng.randrange(len(order)) for _ in range(gone))}
     return repair(lengths, [x for k, x in enumerate(order) if k not in picked], [i for k in picked for i in order[k][1]], capacity)
 
 
 def _fitness(bins: list[Bin], capacity: int) -> tuple[int, float]:
-    return -len(bins), sum(fill * fill for fill, _ in bins) / capacity**2 / max(1, len(bins))
+    return -len(bins), sum([fill * fill for fill, _ in bins]) / capacity**2 / max(1, len(bins))
 
 
 def evolve(lengths: list[int], seeds: list[list[list[int]]], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
