@@ -52,3 +52,29 @@ def test_a_scan_looks_for_several_patterns(monkeypatch):
     monkeypatch.setattr(pc, "match_substring_regex", lambda column, pattern: scans.append(len(column)) or plain(column, pattern))
     assert pre.absent(["nothing"] * 50 + ["an x7a, x8b and x39c"]) == [{str(k) for k in range(40)}] * 50 + [{str(k) for k in range(40) if k not in (7, 8, 39)}]
     assert sum(n > 1 for n in scans) == 40 // prefilter.GROUP
+
+
+def test_rules_are_looked_for_only_where_texts_hold_what_they_need():
+    import re
+
+    from veilframe.operators.spans import needs
+    from veilframe.plans.queries import FREQUENT, _rule
+
+    assert [needs(p) for p in (r"\d{3}", r"a|\d", r"(?:\d|1[2-3])+x", r"\d*", r"[0-9a]", "a@b1", r"(?:\d@)?", r"[^0-9]", r"(?=1)a")] == [{"digit"}, set(), {"digit"}, set(), set(), {"at", "digit"}, set(), set(), set()]
+    rules = [_rule(*x) for x in FREQUENT]
+    assert sum(bool(needs(r.pattern)) for r in rules) > len(rules) // 2
+    rng = random.Random(3)
+    for r in rules:
+        for m in re.finditer(r.pattern, " ".join("".join(rng.choice("ab1239.@-AZ ") for _ in range(20)) for _ in range(500))):
+            assert ("digit" not in needs(r.pattern) or re.search(r"\d", m[0])) and ("at" not in needs(r.pattern) or "@" in m[0])
+
+
+def test_rule_names_are_those_of_rule_hits(spark):
+    from veilframe.operators import spans
+    from veilframe.plans.queries import FREQUENT, _rule
+    from veilframe.sources.rules import pack
+
+    rules = [_rule(*x) for x in FREQUENT] + pack("base").of("D")
+    df = spark.createDataFrame([(1, "a@b.co 123-45-6789 Alice, Art. 9 and x@y.org 10.0.0.1"), (2, None), (3, ""), (4, "٣٤٥-٤٥-١٢٣٤ HMO ABCDEFGH")], "id long, text string")
+    count = lambda rows: sorted(map(tuple, rows.groupBy("id", "rule").count().collect()))
+    assert count(spans.rule_names(df, rules)) == count(spans.rule_hits(df, rules)) != []

@@ -6,6 +6,8 @@ and zero-width characters dropped) before rules look at it, and offsets are thos
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,10 +180,64 @@ def sanitize(df: DataFrame, rules: RuleSet, column: str = "text") -> DataFrame:
     return seen.withColumn("report", F.when(F.col("_visible").isNotNull(), full)).drop("_visible")
 
 
+#: What a text without a match often lacks altogether, and one look finds out for all rules that need it.
+NEEDED = {"digit": r"\p{Nd}", "at": "@"}
+
+
+def needs(pattern: str) -> set[str]:
+    """Which of ``NEEDED`` every match of a pattern holds."""
+    from re import _constants as C, _parser as parser
+
+    def digits(item: tuple) -> bool:
+        op, value = item
+        if op is C.RANGE:
+            return ord("0") <= value[0] and value[1] <= ord("9")
+        return (op is C.LITERAL and chr(value) in "0123456789") or (op is C.CATEGORY and value is C.CATEGORY_DIGIT)
+
+    def of(items) -> set[str]:
+        out: set[str] = set()
+        for op, value in items:
+            if op is C.LITERAL:
+                out |= {"digit"} if digits((op, value)) else {"at"} if chr(value) == "@" else set()
+            elif op is C.IN:
+                out |= {"digit"} if all(map(digits, value)) else set()
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[0]:
+                out |= of(value[2])
+            elif op is C.SUBPATTERN:
+                out |= of(value[-1])
+            elif op is C.BRANCH:
+                out |= set.intersection(*map(of, value[1]))
+        return out
+
+    return of(parser.parse(pattern))
+
+
+def _may_hold(rule: Rule) -> list[Column]:
+    """What a text must have for a match of the rule (columns of ``_seen``)."""
+    return [F.col(f"_has.{k}") for k in sorted(set() if rule.kind == "D" else needs(rule.pattern))]
+
+
+def _seen(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn("_has", F.struct(*[F.col(column).rlike(p).alias(k) for k, p in NEEDED.items()]))
+
+
+def rule_names(df: DataFrame, rules: list[Rule], column: str = "text") -> DataFrame:
+    """The other columns and rule of each row of ``rule_hits``, where nobody asks for places: matches are not placed."""
+    parts = []
+    for r in rules:
+        pattern = dictionary_pattern(r.pattern) if r.kind == "D" else java_pattern(r.pattern)
+        may = reduce(lambda a, b: a & b, _may_hold(r), F.col(column).isNotNull())
+        n = F.size(F.regexp_extract_all(column, F.lit(pattern), 0))
+        parts.append(F.when(may, F.array_repeat(F.lit(r.id), n)).otherwise(F.array().cast("array<string>")))
+    keep = [F.col(f"`{c}`") for c in df.columns if c != column]
+    return _seen(df, column).select(*keep, F.explode(F.concat(*parts)).alias("rule"))
+
+
 def rule_hits(df: DataFrame, rules: list[Rule], column: str = "text") -> DataFrame:
     """A row for each match (leftmost, not overlapping) of each rule: the other columns, rule, s, e, match.
 
-    One scan looks for all rules; a rule that is nowhere in a text costs one search there.
+    One scan looks for all rules; a rule that is nowhere in a text costs one search there, and none where the text lacks
+    what the rule's matches need (``needs``).
     """
     text, none = F.col(column), F.array().cast("array<struct<rule:string,s:int,e:int>>")
 
@@ -191,7 +247,8 @@ def rule_hits(df: DataFrame, rules: list[Rule], column: str = "text") -> DataFra
     parts = []
     for r in rules:
         pattern = dictionary_pattern(r.pattern) if r.kind == "D" else java_pattern(r.pattern)
-        parts.append(F.when(text.rlike(pattern), F.transform(matches(text, pattern), tagged(r.id))).otherwise(none))
+        may = reduce(lambda a, b: a & b, [*_may_hold(r), text.rlike(pattern)])
+        parts.append(F.when(may, F.transform(matches(text, pattern), tagged(r.id))).otherwise(none))
     keep = [F.col(f"`{c}`") for c in df.columns if c != column]
-    found = df.select(*keep, text, F.explode(F.concat(*parts)).alias("_m"))
+    found = _seen(df, column).select(*keep, text, F.explode(F.concat(*parts)).alias("_m"))
     return found.select(*keep, "_m.rule", "_m.s", "_m.e", F.substring(text, F.col("_m.s") + 1, F.col("_m.e") - F.col("_m.s")).alias("match"))

@@ -150,7 +150,7 @@ EMAIL = _rule("base", "email_address")
 
 
 def rule_frequency(spark, d):
-    hits = spans.rule_hits(_docs(spark, d), [_rule(*x) for x in FREQUENT])
+    hits = spans.rule_names(_docs(spark, d), [_rule(*x) for x in FREQUENT])
     ledger = hits.groupBy("doc_id").agg(F.to_json(F.collect_list(F.struct(F.col("rule").alias("rule_id")))).alias("redactions_json"))
     return audit.rule_frequency(ledger)
 
