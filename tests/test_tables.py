@@ -122,6 +122,26 @@ def test_jobs_by_index_are_jobs(spark):
     assert retrieval.index(docs.limit(0), "owner").isEmpty()
 
 
+def test_frequent_terms_meet_few_documents(spark, monkeypatch):
+    """Jobs grow with the documents, and all ask for words that every document holds: what they meet is no square of them."""
+    monkeypatch.setattr(retrieval, "FIRST_DOCS", 8)
+    met = {}
+    for n in (200, 800):
+        docs = spark.range(n).selectExpr("id AS doc_id", "'ann' AS owner", "concat('common words in number', id % 50, ' ', id) AS text")
+        asked = docs.selectExpr("owner AS username", "cast(doc_id AS string) AS thread_id", "concat('common words number', doc_id % 50) AS query", "'1' AS created_at")
+        jobs = retrieval.enqueue(asked, PEPPER).withColumn("id", F.col("thread_id"))
+        questions = docs.selectExpr("owner AS username", "concat('common number', doc_id % 50, ' words') AS _q", "array('common', concat('number', doc_id % 50), 'words') AS _terms").distinct()
+        near, met[n] = retrieval.candidates(questions, retrieval.index(docs, "owner"), 3)
+        assert near.count() == met[n] and near.groupBy("_q").count().filter("count >= 3").count() == 50
+        done = retrieval.complete(jobs, docs, "owner", PEPPER, postings=retrieval.index(docs, "owner"))
+        got = {r.id: r.x for r in done.select("id", retrieval.unseal(F.col("result"), F.col("username"), PEPPER, retrieval.JOB_INFO).cast("string").alias("x")).collect()}
+        plain = {r.doc_id: r.text for r in docs.collect()}
+        assert len(got) == n
+        for i, x in got.items():
+            assert x.split("\n---\n") == [t for t in plain.values() if all(w in t for w in ("common", "words", f"number{int(i) % 50}"))][:3]
+    assert met[800] <= 1.5 * met[200]
+
+
 def test_restore_is_not_recursive(spark):
     df = spark.createDataFrame([("Hello [TOKEN_1]", {"[TOKEN_1]": "Alice [TOKEN_2]", "[TOKEN_2]": "Bob"})], "t string, m map<string,string>")
     assert df.select(T.restore(F.col("t"), F.col("m")).alias("x")).first().x == "Hello Alice [TOKEN_2]"

@@ -211,6 +211,6 @@ def latest(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, tie)).alias("v")).select(key, "v.*")
 
 
-def first_k(df: DataFrame, owner: str, order: str, k: int) -> DataFrame:
+def first_k(df: DataFrame, owner: str | list[str], order: str | list[str], k: int) -> DataFrame:
     w = Window.partitionBy(owner).orderBy(order)
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
