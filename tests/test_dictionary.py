@@ -47,3 +47,15 @@ def test_the_plan_does_not_grow_with_the_terms(spark):
     size = lambda n: len(dictionary.match_terms(df, spark.range(n).selectExpr("concat('w', id) AS term"))._jdf.queryExecution().optimizedPlan().toString())
     assert size(100_000) < 1.1 * size(10)
     assert dictionary.match_terms(df, spark.range(100_000).selectExpr("concat('w', id) AS term")).count() == 2
+
+
+def test_a_large_dictionary_is_joined_once(spark):
+    """Words that no term can be are not shuffled, and rows grouped by core and more columns lie where they were joined."""
+    df = spark.createDataFrame([(1, "abcdefg bc abcdefg hi"), (2, "hi Bc abcdefh")], "id int, text string")
+    terms = spark.createDataFrame([("abcdefg",), ("bc abcdefg",), ("BC ABCDEFH",)], "term string")
+    hits = dictionary.match_terms(df, terms, broadcast_bytes=-1, core="core")
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    each = hits.groupBy("id", "core", "term").count()
+    exchanges = lambda x: x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(each) == exchanges(hits)
+    assert sorted(map(tuple, each.collect())) == [(1, "abcdefg", "abcdefg", 2), (1, "bc abcdefg", "bc abcdefg", 1), (2, "bc abcdefh", "BC ABCDEFH", 1)]

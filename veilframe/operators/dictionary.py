@@ -7,7 +7,9 @@ words, is exact.  So no row meets more than one term of a length, however many t
 plan is the same for three terms and for a hundred thousand.  (Inside the Arrow kernel of ``engine`` terms are one automaton
 in each task; this is for dictionaries that no task should hold.)
 
-The term table is broadcast while it is at most ``BROADCAST_BYTES`` of text; beyond that both joins shuffle.
+The term table is broadcast while it is at most ``BROADCAST_BYTES`` of text.  Beyond that there is one join, on the whole text of
+as many words as some term has: the first one would shuffle every word with what follows it.  Only texts of words as long as
+those of terms with so many words are shuffled, with what stands beside them only if a term begins or ends with such marks.
 """
 
 from __future__ import annotations
@@ -57,12 +59,15 @@ def places(df: DataFrame, column: str, words: int) -> DataFrame:
     return rows.select(*keep, F.col("_p.w").alias("_word"), F.col("_p.s").alias("_start"), (F.col("_p.i") == 0).alias("_at_start"), F.col("_p.b").alias("_before"), F.col("_p.n").alias("_near"), F.col("_p.left").alias("_left"))
 
 
-def match_terms(df: DataFrame, terms: DataFrame, column: str = "text", term: str = "term", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def match_terms(df: DataFrame, terms: DataFrame, column: str = "text", term: str = "term", broadcast_bytes: int = BROADCAST_BYTES, core: str | None = None) -> DataFrame:
     """A row for each place of each term: df's other columns, those of terms, s and e (code points of the visible text, e
     exclusive).
 
     Overlapping places all count; terms that differ in ASCII case alone are each found.  Null and empty terms are found
     nowhere, null texts hold nothing.
+
+    core: the name of one more column, by which the rows of a large dictionary lie (what a term has from its first letter or
+    digit to its last one, in lower case); rows grouped by it and other columns are not shuffled again.
     """
     df, known = df.withColumn(column, visible(F.col(f"`{column}`"))), prepared(terms, term)
     size = known.agg(F.max("_words").alias("words"), F.coalesce(F.sum(F.octet_length(term)), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.when(F.col("_words") == 0, 1)), F.lit(0)).alias("marks")).first()
@@ -71,22 +76,44 @@ def match_terms(df: DataFrame, terms: DataFrame, column: str = "text", term: str
     keep, of_terms = [f"`{c}`" for c in df.columns if c != column], [F.col(f"_t.`{c}`").alias(c) for c in terms.columns]
     row = F.struct(*[F.col(f"`{c}`") for c in terms.columns]).alias("_t")
     worded = known.filter("_words > 0")
-    begins = worded.groupBy(F.col("_first").alias("_word")).agg(F.collect_set("_words").alias("_counts"))  # as many as terms have words
-    rows = places(df, column, size["words"] or 1).join(sent(begins), "_word")
-    rows = rows.select(*keep, "_start", "_at_start", "_before", "_near", "_left", F.explode(F.filter("_counts", lambda k: k <= F.col("_left"))).alias("_words"))
-    rows = rows.withColumn("_core", F.array_join(F.slice("_near", F.lit(1), 2 * F.col("_words") - 1), "")).withColumn("_after", F.element_at("_near", 2 * F.col("_words"))).withColumn("_at_end", F.col("_words") == F.col("_left")).drop("_near", "_left")
-    found = rows.join(sent(worded.select("_core", "_words", "_lead", "_trail", row)), ["_core", "_words"])
+    places_ = places(df, column, size["words"] or 1)
+    if small:
+        begins = worded.groupBy(F.col("_first").alias("_word")).agg(F.collect_set("_words").alias("_counts"))  # as many as terms have words
+        rows = places_.join(sent(begins), "_word")
+        rows = rows.select(*keep, "_start", "_at_start", "_before", "_near", "_left", F.explode(F.filter("_counts", lambda k: k <= F.col("_left"))).alias("_words"))
+        rows = rows.withColumn("_core", _joined(F.col("_words"))).withColumn("_after", F.element_at("_near", 2 * F.col("_words"))).withColumn("_at_end", F.col("_words") == F.col("_left")).drop("_near", "_left")
+    else:
+        rows = _near_terms(places_, keep, worded)
+    found = rows.join(sent(worded.select("_core", "_words", "_lead", "_trail", row)), ["_core", "_words"] if small else ["_core"])
     # a lead must fit between this word and the one before, with something else between, or begin the text
     before = (F.col("_lead") == "") | (F.endswith("_before", F.col("_lead")) & (F.col("_at_start") | (F.length("_before") > F.length("_lead"))))
     after = (F.col("_trail") == "") | (F.startswith("_after", F.col("_trail")) & (F.col("_at_end") | (F.length("_after") > F.length("_trail"))))
     s = F.col("_start") - F.length("_lead")
-    out = found.filter(before & after).select(*keep, *of_terms, s.alias("s"), (F.col("_start") + F.length("_core") + F.length("_trail")).alias("e"))
+    by_core = [F.col("_core").alias(core)] if core else []
+    out = found.filter(before & after).select(*keep, *of_terms, *by_core, s.alias("s"), (F.col("_start") + F.length("_core") + F.length("_trail")).alias("e"))
     if size["marks"]:
-        out = out.unionByName(_marks(df, known.filter("_words = 0").select(ascii_lower(F.col(term)).alias("_core"), row), column, sent, keep, of_terms))
+        out = out.unionByName(_marks(df, known.filter("_words = 0").select(ascii_lower(F.col(term)).alias("_core"), row), column, sent, keep, of_terms, by_core))
     return out
 
 
-def _marks(df: DataFrame, marks: DataFrame, column: str, sent, keep: list[str], of_terms: list[Column]) -> DataFrame:
+def _joined(words: Column) -> Column:
+    return F.array_join(F.slice("_near", F.lit(1), 2 * words - 1), "")
+
+
+def _near_terms(rows: DataFrame, keep: list[str], worded: DataFrame) -> DataFrame:
+    """The texts of words that may be terms, by numbers of words, lengths and what terms have before and after their words."""
+    shapes = worded.groupBy("_words").agg(F.min(F.length("_core")).alias("least"), F.max(F.length("_core")).alias("most"), F.max(F.length("_lead")).alias("lead"), F.max(F.length("_trail")).alias("trail")).collect()
+    one = lambda x: F.struct(_joined(F.lit(x["_words"])).alias("c"), F.try_element_at("_near", F.lit(2 * x["_words"])).alias("a"), (F.col("_left") == x["_words"]).alias("z"))
+    may = lambda x: let(one(x), lambda y: F.when((F.col("_left") >= x["_words"]) & F.length(y["c"]).between(x["least"], x["most"]), y))
+    lead, trail = any(x["lead"] for x in shapes), any(x["trail"] for x in shapes)
+    beside = [*(["_at_start", "_before"] if lead else []), *([F.col("_x.a").alias("_after"), F.col("_x.z").alias("_at_end")] if trail else [])]
+    out = rows.withColumn("_x", F.explode(F.array_compact(F.array(*map(may, shapes))))).select(*keep, "_start", F.col("_x.c").alias("_core"), *beside)
+    if not lead:
+        out = out.withColumn("_before", F.lit("")).withColumn("_at_start", F.lit(True))
+    return out if trail else out.withColumn("_after", F.lit("")).withColumn("_at_end", F.lit(True))
+
+
+def _marks(df: DataFrame, marks: DataFrame, column: str, sent, keep: list[str], of_terms: list[Column], by_core: list[Column]) -> DataFrame:
     """Places of terms without a letter or digit: inside what stands between two words, by their lengths."""
     text = F.coalesce(F.col(column), F.lit(""))
     marked = F.split(F.regexp_replace(text, f"({GAP}+)", f"{MARK}$1{MARK}"), MARK)  # words and gaps by turns
@@ -99,4 +126,4 @@ def _marks(df: DataFrame, marks: DataFrame, column: str, sent, keep: list[str],
     inside = ((F.col("_i") > 0) | (F.col("_g.s") == 0)) & ((F.col("_i") + F.col("_len") < F.col("_g.len")) | ((F.col("_g.s") + F.col("_i") + F.col("_len") == F.col("_size"))))
     s = F.col("_g.s") + F.col("_i")
     rows = chars.filter(inside).withColumn("_core", F.substring(F.col("_g.x"), F.col("_i") + 1, F.col("_len")))
-    return rows.join(sent(marks), "_core").select(*keep, *of_terms, s.alias("s"), (s + F.col("_len")).alias("e"))
+    return rows.join(sent(marks), "_core").select(*keep, *of_terms, *by_core, s.alias("s"), (s + F.col("_len")).alias("e"))

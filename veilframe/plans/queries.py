@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -289,9 +290,10 @@ def dict_match_many(spark, d):
     pair = F.element_at("_near", 3)
     two = (F.size("_near") == 4) & (F.element_at("_near", 2) == " ") & (F.col("_word") < pair) & (F.length("_word") + F.length(pair) >= PAIR_LETTERS)
     found = F.array_compact(F.array(F.when(F.length("_word") >= TERM_LETTERS, F.col("_word")), F.when(two, F.concat_ws(" ", "_word", pair))))
-    terms = at.select(F.explode(found).alias("term")).distinct()
-    hits = dictionary.match_terms(docs, terms)
-    return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"), F.sum("s").cast("long").alias("starts"), F.sum("e").cast("long").alias("ends"))
+    terms = at.select(F.explode(found).alias("term")).distinct().persist(StorageLevel.DISK_ONLY)  # read twice
+    hits = dictionary.match_terms(docs, terms, core="core")
+    each = hits.groupBy("doc_id", "core", "term").agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.sum("e").alias("e"))  # where they lie
+    return each.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("terms"), F.sum("s").cast("long").alias("starts"), F.sum("e").cast("long").alias("ends"))
 
 
 _MANY_SQL = rf"""WITH p AS (SELECT doc_id, regexp_extract_all(low, '[\p{{L}}\p{{N}}]+') AS w, string_split_regex(low, '[\p{{L}}\p{{N}}]+') AS g
