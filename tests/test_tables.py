@@ -432,3 +432,22 @@ def test_bodies(spark):
     odd = spark.createDataFrame([(1, '{"prompt":"\\ud800 Bob \\ud83d\\ude00","\\udfff":"\\ud800"}')], "id int, body string")
     r = scrub_bodies(odd, RuleSet([Rule("name", "R", "IndividualName", "Redact", "Anna|Bob")])).first()
     assert r.texts == ["\ufffd Bob \U0001f600"] and r.clean == '{"prompt":"\ufffd [NAME_1] \U0001f600","\ufffd":"\ufffd"}'
+
+
+def test_turns_are_prepared_by_small_batches(spark, monkeypatch):
+    """A task's memory does not grow with the batches that Spark hands it, and sessions go on over their parts."""
+    from veilframe.operators import sessions
+    from veilframe.operators.engine import Engine
+    from veilframe.sources.rules import RuleSet, pack
+
+    class Watched(Engine):
+        def prepared(self, texts, candidates=False):
+            if len(texts) > 500:
+                raise ValueError(f"{len(texts)} texts at once")
+            return super().prepared(texts, candidates)
+
+    monkeypatch.setattr(sessions, "Engine", Watched)
+    rules = RuleSet([r for r in pack("base").rules if r.id == "email_address"])
+    turns = spark.range(1200).selectExpr("'ann' AS username", "id AS seq", "concat('x', id % 700, '@mail.example') AS text")
+    got = {r.seq: r.sanitized_text for r in sessions.scrub_sessions(turns, "username", "seq", rules).collect()}
+    assert got == {i: f"[EMAIL_{i % 700 + 1}]" for i in range(1200)}

@@ -16,6 +16,8 @@ from veilframe.sources.tables import Tables
 from veilframe.sources.words import Words
 
 PERSONS = ("IndividualName", "HighConfidenceAi")
+#: Turns that a task prepares together and gives out, so that its memory does not grow with the batches that Spark hands in.
+TURNS = 500
 
 
 def standalone(text: str, sub: str) -> bool:
@@ -105,7 +107,7 @@ def _scrubbed(df: DataFrame, user: str, order: str, rules: RuleSet, column: str,
             if keep and not pd.isna(current) and tokens.size() != before:
                 yield current, None, None, None, json.dumps(tokens.state(), ensure_ascii=False)
 
-        for pdf in frames:
+        for pdf in (whole.iloc[at : at + TURNS] for whole in frames for at in range(0, len(whole), TURNS)):
             out = []
             texts = [t or "" for t in pdf["_text"]]
             known = iter(engine.prepared([t for t, turn in zip(texts, pdf["_turn"]) if turn]))
