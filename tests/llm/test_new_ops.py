@@ -197,6 +197,34 @@ def test_runs_over_the_borders_of_ranges_are_summed(spark):
     assert counts[0] == counts[1] == counts[2] and max(counts[0].values()) == 950
 
 
+@pytest.mark.parametrize("known", [collocations.BROADCAST_WORDS, 0])
+def test_keys_come_as_a_row_for_each_range_of_a_chunk(spark, known):
+    """Not as a row for each key; ranges cut anywhere, inside the runs of a phrase too, give the same counts."""
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice("abcdefgh") for _ in range(200)), "en") for _ in range(60)] + [("a b a b a b c", "en")] * 300
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    words, _, size = collocations.dictionary(docs, 5)
+    whole = collocations.keys(docs, words, size, known)
+    want = {bytes(r.phrase): r.f for r in collocations.phrase_counts(whole, 1, 20).collect()}
+    some = collocations.keys(docs, words, size, known, every=3)
+    for tasks in (2, 9, 40):
+        borders = collocations.range_borders(some, tasks)
+        cut = collocations.keys(docs, words, size, known, borders)
+        assert 0 < len(borders) < tasks and cut.select("part").distinct().count() == len(borders) + 1
+        assert cut.count() <= whole.count() * (len(borders) + 1) < len(want) * 100
+        assert {bytes(r.phrase): r.f for r in collocations.phrase_counts(cut, tasks, 20).collect()} == want
+    assert {bytes(r.phrase): r.f for r in collocations.phrase_counts(cut, 2, 20).collect()} == want
+
+
+def test_ranges_are_cut_by_a_few_texts(spark, monkeypatch):
+    rows = phrase_rows(5)
+    docs = spark.createDataFrame(rows * 3, "text string, lang string").repartition(4)
+    for name, value in (("TASK_KEYS", 500), ("BORDER_KEYS", 20), ("BORDER_TEXTS", 4)):
+        monkeypatch.setattr(collocations, name, value)
+    got = collocations.collocations(docs, 6, 50).collect()
+    assert sorted(tuple(r) for r in got) == collocations_by_hand(rows * 3, 6, 50) != []
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     a, n, l, r = 9_007_199_254_740_993, 90_071_992_547_409_931, 9_007_199_254_740_997, 9_007_199_254_741_001
     got = spark.sql(f"SELECT {collocations._SCORE} AS s FROM (SELECT {a}L AS a, {n}L AS n, named_struct('l', {l}L, 'r', {r}L) AS c)").first().s

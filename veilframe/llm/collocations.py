@@ -2,9 +2,11 @@
 
 Words are counted in each language; those seen ``MIN_COUNT`` times or more get a number (``dictionary``), since a phrase
 cannot be more frequent than its words.  Texts are cut into pieces at punctuation and at all other words, and each place of
-a piece gives one key of twenty bytes: the numbers of the next five words, filled up with zeros.  The keys are combined in
-each chunk of texts, dealt by range, put in order by a radix sort on digits of sixteen bits, and run lengths of their
-prefixes are the counts of all phrases of two to five words at once; runs that touch the border of a range are summed.
+a piece gives one key: the numbers of the next five words, filled up with zeros.  The keys of each chunk of texts are put
+in order by a radix sort on digits of sixteen bits, equal ones combined, and cut into ranges; a row holds all keys of one
+range, column by column.  The ranges of all chunks are put in order in the same way, and run lengths of prefixes are the
+counts of all phrases of two to five words at once; runs that touch the border of a range are summed.  Where ranges are cut
+comes from the keys of a few texts, so only the evenness of the tasks depends on these; every key of every text is counted.
 
 ``dictionary`` is broadcast while it has at most ``BROADCAST_WORDS`` words (twelve bytes each); beyond that, words get
 their numbers by a join.  Words are told apart by a hash of 64 bits of word and language when texts are encoded, and two
@@ -33,6 +35,8 @@ BROADCAST_WORDS = 4_000_000
 CHUNK = 4 << 20
 #: Keys that one task puts in order.
 TASK_KEYS = 1_000_000
+#: Keys that tell where ranges are cut: for each range, for all of them, and the texts that are looked at for one of these.
+BORDER_KEYS, BORDER_TOTAL, BORDER_TEXTS = 1000, 1_000_000, 16
 #: Words of the dictionary that are numbered by one task.
 NUMBERED = 100_000
 
@@ -162,8 +166,28 @@ def _combined(ids, n):
     return ids[firsts], np.add.reduceat(n, firsts) if len(firsts) else n
 
 
-def _keys(ids, begins):
-    """A batch of the keys of a stretch of words: ids (0: not frequent) and whether each begins a piece."""
+_KEYS = "part int, keys binary, n binary"
+
+
+def _unpacked(keys, n=None):
+    """Rows of numbers, and their counts, from what stands in a row of ``keys``."""
+    import numpy as np
+
+    ids = np.frombuffer(keys, np.uint32).reshape(MAX_WORDS, -1).T
+    return ids if n is None else (ids, np.frombuffer(n, np.uint32).astype(np.int64))
+
+
+def _ordered(ids):
+    """Rows of numbers as values whose order is theirs."""
+    import numpy as np
+
+    return np.ascontiguousarray(ids.astype(">u4")).view(f"S{4 * MAX_WORDS}").ravel()
+
+
+def _keys(ids, begins, borders, every):
+    """The keys of a stretch of words, a row for each range: ids (0: not frequent) and whether each begins a piece.
+
+    every: only every so-manieth key in their order."""
     import numpy as np
     import pyarrow as pa
 
@@ -174,17 +198,17 @@ def _keys(ids, begins):
     for k in range(1, min(MAX_WORDS, size)):
         out[: size - k, k] = np.where(piece[k:] == piece[:-k], ids[k:], 0)
     out = out[(out[:, 0] > 0) & (out[:, 1] > 0)] if size else out
-    out, n = _combined(out, np.ones(len(out), np.int64))
-    width = 4 * MAX_WORDS
-    keys = pa.Array.from_buffers(pa.binary(width), len(out), [None, pa.py_buffer(np.ascontiguousarray(out.astype(">u4")))]).cast(pa.binary())
-    return pa.RecordBatch.from_arrays([keys, pa.array(n)], names=["key", "n"])
+    out, n = (x[every // 2 :: every] for x in _combined(out, np.ones(len(out), np.int64)))
+    cuts = np.concatenate([[0], np.searchsorted(_ordered(out), borders), [len(out)]])
+    parts = np.flatnonzero(cuts[1:] > cuts[:-1])
+    n = n.astype(np.uint32)
+    held = [(out[a:b].T.tobytes(), n[a:b].tobytes()) for a, b in zip(cuts[parts], cuts[parts + 1])]
+    cols = [pa.array(parts, pa.int32()), *(pa.array([x[k] for x in held], pa.binary()) for k in (0, 1))]
+    return pa.RecordBatch.from_arrays(cols, names=["part", "keys", "n"])
 
 
-def keys(texts: DataFrame, words: DataFrame, size: int, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """key (five numbers of four bytes), n: one key for each place where two frequent words or more begin."""
-    spark = texts.sparkSession
-    if size > broadcast_words:
-        return _joined_keys(texts, words)
+def known_words(words: DataFrame):
+    """A dictionary that fits: (hashes in order, their numbers), sent to all tasks once."""
     import numpy as np
 
     known = words.select("h", F.conv(F.hex("key"), 16, 10).cast("long").alias("id")).toPandas()  # at most broadcast_words rows of two numbers
@@ -193,7 +217,21 @@ def keys(texts: DataFrame, words: DataFrame, size: int, broadcast_words: int = B
     h, ids = h[order], ids[order]
     if (h[1:] == h[:-1]).any():
         raise ValueError("two words of the dictionary have one hash")
-    shared = spark.sparkContext.broadcast((h, ids))
+    return words.sparkSession.sparkContext.broadcast((h, ids))
+
+
+def keys(texts: DataFrame, words: DataFrame, size: int, broadcast_words: int = BROADCAST_WORDS, borders=None, shared=None, every: int = 1) -> DataFrame:
+    """part, keys (five numbers for each place where two frequent words or more begin), n: a row for each range of a chunk.
+
+    borders: the first key of each range but the first; shared: ``known_words``, where they were sent before; every: more
+    than 1 for a part of the keys, which only tells where ranges may be cut.
+    """
+    import numpy as np
+
+    borders = np.zeros(0, f"S{4 * MAX_WORDS}") if borders is None else borders
+    if size > broadcast_words:
+        return _joined_keys(texts, words, borders, every)
+    shared = shared or known_words(words)
 
     def run(batches: Iterator) -> Iterator:
         from veilframe.llm import kernel as K
@@ -206,12 +244,21 @@ def keys(texts: DataFrame, words: DataFrame, size: int, broadcast_words: int = B
                 if not len(h) or not len(hashes):
                     continue
                 place = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
-                yield _keys(np.where(h[place] == hashes, ids[place], 0).astype(np.uint32), begins)
+                yield _keys(np.where(h[place] == hashes, ids[place], 0).astype(np.uint32), begins, borders, every)
+
+    return texts.mapInArrow(run, _KEYS)
+
+
+def range_borders(found: DataFrame, tasks: int):
+    """The first keys of all ranges but the first, from a part of all keys."""
+    import numpy as np
 
-    return texts.mapInArrow(run, "key binary, n long")
+    some = [_ordered(_unpacked(r["keys"])) for r in found.select("keys").collect()]  # about BORDER_TOTAL keys
+    some = np.sort(np.concatenate(some)) if some else np.zeros(0, f"S{4 * MAX_WORDS}")
+    return np.unique(some[np.arange(1, tasks) * len(some) // tasks]) if len(some) else some
 
 
-def _joined_keys(texts: DataFrame, words: DataFrame) -> DataFrame:
+def _joined_keys(texts: DataFrame, words: DataFrame, borders, every: int) -> DataFrame:
     """The same keys with the numbers of the words found by a join, and the words of a piece put together again."""
     if words.groupBy("h").count().filter("count > 1").limit(1).count():
         raise ValueError("two words of the dictionary have one hash")
@@ -242,32 +289,22 @@ def _joined_keys(texts: DataFrame, words: DataFrame) -> DataFrame:
             begins = np.zeros(len(pos), bool)
             begins[(np.cumsum(size) - size)] = True  # a piece has one known word at least
             begins[1:] |= pos[1:] != pos[:-1] + 1
-            yield _keys(ids.astype(np.uint32), begins)
+            yield _keys(ids.astype(np.uint32), begins, borders, every)
 
     rows = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(split, "row long, piece long, pos long, h long")
     rows = rows.join(words.select("h", F.conv(F.hex("key"), 16, 10).cast("long").alias("id")), "h")
     pieces = rows.groupBy("row", "piece").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("found"))
-    return pieces.select("found").mapInArrow(pack, "key binary, n long")
+    return pieces.select("found").mapInArrow(pack, _KEYS)
 
 
 def phrase_counts(found: DataFrame, tasks: int, min_count: int = MIN_COUNT) -> DataFrame:
-    """phrase (numbers of four bytes), f of all phrases of two words or more with f >= min_count, from keys."""
+    """phrase (numbers of four bytes), f of all phrases of two words or more with f >= min_count, from keys; a range is
+    counted by one task."""
 
-    def count(batches: Iterator) -> Iterator:
+    def runs(parts: list) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        parts, held, known = [], 0, 2 * TASK_KEYS
-        for batch in batches:
-            key = batch.column("key").cast(pa.binary(4 * MAX_WORDS))
-            ids = np.frombuffer(key.buffers()[1], ">u4")[key.offset * MAX_WORDS :][: len(key) * MAX_WORDS].reshape(-1, MAX_WORDS).astype(np.uint32)
-            parts.append((ids, batch.column("n").to_numpy()))
-            held += len(ids)
-            if held > 2 * known:  # keys that come again and again are combined on the way
-                parts = [_combined(*(np.concatenate(x) for x in zip(*parts)))]
-                held = known = max(known, len(parts[0][0]))
-        if not held:
-            return
         ids, n = _combined(*(np.concatenate(x) for x in zip(*parts)))
         same = ids[1:] == ids[:-1]
         for k in range(2, MAX_WORDS + 1):
@@ -280,7 +317,25 @@ def phrase_counts(found: DataFrame, tasks: int, min_count: int = MIN_COUNT) -> D
             phrase = pa.Array.from_buffers(pa.binary(4 * k), len(body), [None, pa.py_buffer(body)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([phrase, pa.array(f[stay])], names=["phrase", "f"])
 
-    dealt = found.repartitionByRange(max(1, tasks), "key")
+    def count(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        at, parts, held, known = None, [], 0, 2 * TASK_KEYS
+        for batch in batches:
+            for part, ids, n in zip(batch.column("part").to_pylist(), batch.column("keys"), batch.column("n")):
+                if part != at:
+                    if parts:
+                        yield from runs(parts)
+                    at, parts, held, known = part, [], 0, 2 * TASK_KEYS
+                parts.append(_unpacked(ids.as_buffer(), n.as_buffer()))
+                held += len(parts[-1][0])
+                if held > 2 * known:  # keys that come again and again are combined on the way
+                    parts = [_combined(*(np.concatenate(x) for x in zip(*parts)))]
+                    held = known = max(known, len(parts[0][0]))
+        if parts:
+            yield from runs(parts)
+
+    dealt = found.repartitionById(max(1, tasks), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(count, "phrase binary, f long").groupBy("phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
 
 
@@ -293,7 +348,15 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, br
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     words, totals, size = dictionary(texts, min_count)
     places = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counts, _ = materialize(phrase_counts(keys(texts, words, size, broadcast_words), -(-places // TASK_KEYS), min_count), "phrase-counts")
+    tasks, shared, borders = -(-places // TASK_KEYS), None, None
+    if size <= broadcast_words:
+        shared = known_words(words)
+    if tasks > 1:
+        share = min(BORDER_KEYS * tasks, BORDER_TOTAL) / places
+        of_texts = min(1.0, share * BORDER_TEXTS)
+        some = keys(texts.sample(of_texts, 13), words, size, broadcast_words, shared=shared, every=max(1, round(of_texts / share)))
+        borders = range_borders(some, tasks)
+    counts, _ = materialize(phrase_counts(keys(texts, words, size, broadcast_words, borders, shared), tasks, min_count), "phrase-counts")
     # phrases that a longer one always holds; if any longer one does, so does one that is longer by a word
     held = counts.filter(F.octet_length("phrase") > 8)
     cuts = F.array(F.expr("substring(phrase, 1, octet_length(phrase) - 4)"), F.expr("substring(phrase, 5)"))
