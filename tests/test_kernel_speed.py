@@ -78,3 +78,45 @@ def test_rule_names_are_those_of_rule_hits(spark):
     df = spark.createDataFrame([(1, "a@b.co 123-45-6789 Alice, Art. 9 and x@y.org 10.0.0.1"), (2, None), (3, ""), (4, "٣٤٥-٤٥-١٢٣٤ HMO ABCDEFGH")], "id long, text string")
     count = lambda rows: sorted(map(tuple, rows.groupBy("id", "rule").count().collect()))
     assert count(spans.rule_names(df, rules)) == count(spans.rule_hits(df, rules)) != []
+
+
+def test_readings_by_replacing_are_those_of_each_character():
+    from veilframe.operators import normalize
+
+    bits = list("abc ü ß é ς Σ 日 한 か … ﬁ ª ½ \x00 \x7f \u200b \u00a0 \u2060 ſ İ Ж Щ ’ ．") + ["\n", "\t", "\U00010400", "\U0001d400"]
+    rng, done = random.Random(7), 0
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(0, 30)))
+        quick, plain = normalize._few_special(text), normalize._each_special(text)
+        done += quick is not None
+        assert quick is None or (quick == plain and quick.stripped == plain.stripped), text
+    assert done > 2000 and normalize._few_special("".join(map(chr, range(0x400, 0x440)))) is None
+
+
+def test_terms_are_compared_with_whole_texts_only_where_these_are_short():
+    from veilframe.operators.normalize import normalize
+    from veilframe.sources.rules import Rule
+
+    engine = Engine(RuleSet([Rule("T", "D", "Custom", "Redact", "secret")]))
+    for text, found in (("s.e_c r-e t", True), ("!!s e c r e t!!", True), ("s e c r e t s", False), ("s e c r e", False), ("", False), ("-" * 5000, False)):
+        n = normalize(text)
+        assert bool(engine.terms.equal(n)) == found
+    n = normalize("many words " * 1000)
+    assert engine.terms.equal(n) == [] and "stripped" not in n.__dict__
+
+
+def test_a_report_of_what_was_found_looks_for_nothing(monkeypatch):
+    from veilframe.operators.engine import packed
+    from veilframe.sources.rules import pack
+
+    engine = Engine(pack("base", native=True))
+    texts = [*_texts(300), "we saw Tamsin, Orlin and Vasko there, ask 123-45-6789 or ann@example.com"]
+    said = [("window", 0, [(7, 13, "B-PER", 0.9)]), ("probe", 15, [(0, 4, "B-PER", 0.9)])]
+    texts = [t.replace("\ud83d", "") for t in texts]
+    want, found = [engine.report(t, None, None, said) for t in texts], []
+    for n, absent, names, more in engine.prepared(texts, True):
+        confirmed, potential = engine.detect(n, absent, names)
+        found.append(packed(confirmed, potential, engine.candidates(n, confirmed, more)))
+    monkeypatch.setattr(Engine, "detect", None)
+    monkeypatch.setattr(Engine, "candidates", None)
+    assert [engine.report(t, None, None, said, f) for t, f in zip(texts, found)] == want and len(want[-1]["redactions"]) > 2

@@ -134,3 +134,20 @@ def test_tables_give_what_one_text_gives(spark, sf_dir):
     assert {r.asked for r in qs.collect()} == asked
     got = {r.doc_id: r.report and r.report.sanitized_text for r in V.scrub_with(df, rules, verdicts, threshold=0.3).collect()}
     assert got == want and any(got[k] != Engine(rules).report(t)["sanitized_text"] for k, t in texts.items() if t)
+
+
+def test_the_engine_reads_texts_once_for_questions_and_report(spark, sf_dir):
+    """Before, the plan ran the engine three times: twice for the questions and once for the report."""
+    from veilframe.kept import materialize
+    from veilframe.plans import queries
+    from veilframe.sources.rules import pack
+
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "we saw Tamsin there")], "doc_id long, text string"))
+    rules, shares = pack("base", native=True), V.casing(df)
+    out = queries._settled(df, rules, shares)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("MapInArrow") == 1
+    asked = V.questions(df, rules)
+    verdicts, _ = materialize(V.by_casing(shares)(V.unseen(asked, spark.createDataFrame([], "hash string"))), "verdicts")
+    want = V.scrub_with(df, rules, verdicts, asked=asked)
+    assert out.columns == want.columns and sorted(out.collect(), key=lambda r: r.doc_id) == sorted(want.collect(), key=lambda r: r.doc_id)

@@ -14,11 +14,13 @@ several answers to one question the first in order of their values counts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType, _parse_datatype_string
 
-from veilframe.operators.engine import ROWS, Engine, scrub
+from veilframe.operators.engine import ROWS, Engine, packed, scrub
 from veilframe.operators.spans import matches
 from veilframe.operators.windows import questions as asked_of
 from veilframe.ship import ship
@@ -31,28 +33,47 @@ SAID = f"array<struct<kind:string,place:int,entities:{ENTITIES}>>"
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def questions(df: DataFrame, rules: RuleSet, column: str = "text", words: Words | None = None) -> DataFrame:
-    """A row for each question about each text: _t (the text's hash), kind, place, asked, hash."""
+def studied(df: DataFrame, rules: RuleSet, column: str = "text", words: Words | None = None) -> DataFrame:
+    """df with what one reading of each text gives: _t (the text's hash), _found (see ``engine.packed``) and _asked, its
+    questions; nulls for a null text."""
     import pyarrow as pa
 
     ship(df.sparkSession)
+    fields = [pa.field("kind", pa.string()), pa.field("place", pa.int32()), pa.field("asked", pa.string()), pa.field("hash", pa.string())]
 
     def run(batches: Iterator) -> Iterator:
         engine = Engine(rules, words)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                rows = []
-                for i, (n, absent, names, more) in enumerate(engine.prepared(part.column("text").to_pylist(), True)):
-                    confirmed = engine.detect(n, absent, names)[0]
-                    rows += ((i, *q) for q in asked_of(n.unicode, engine.candidates(n, confirmed, more), engine.words))
-                which, *cols = zip(*rows) if rows else ([], [], [], [])
-                cols = [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([part.column("_t").take(pa.array(which, pa.int64())), *cols], names=["_t", "kind", "place", "asked"])
+                texts = part.column(column).to_pylist()
+                found, rows, ends = [], [], [0]
+                for text, (n, absent, names, more) in zip(texts, engine.prepared(texts, True)):
+                    if text is None:
+                        found.append(None)
+                    else:
+                        confirmed, potential = engine.detect(n, absent, names)
+                        candidates = engine.candidates(n, confirmed, more)
+                        found.append(packed(confirmed, potential, candidates))
+                        rows += ((*q, sha256(q[2].encode()).hexdigest()) for q in asked_of(n.unicode, candidates, engine.words))
+                    ends.append(len(rows))
+                cols = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, fields)]
+                asked = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, fields=fields), mask=pa.array([t is None for t in texts], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary()), asked], names=[*part.schema.names, "_found", "_asked"])
+
+    keyed = df.withColumn("_t", F.sha2(F.col(f"`{column}`"), 256))
+    kinds = "array<struct<kind:string,place:int,asked:string,hash:string>>"
+    return keyed.mapInArrow(run, StructType([*keyed.schema.fields, StructField("_found", BinaryType()), StructField("_asked", _parse_datatype_string(kinds))]))
+
+
+def asked_in(known: DataFrame) -> DataFrame:
+    """A row for each question about each of the texts that were ``studied``: _t, kind, place, asked, hash."""
+    return known.select("_t", F.explode("_asked").alias("q")).select("_t", "q.kind", "q.place", "q.asked", "q.hash")
 
-    texts = df.select(F.sha2(F.col(f"`{column}`"), 256).alias("_t"), F.col(f"`{column}`").alias("text")).where(F.col("text").isNotNull())
-    out = texts.mapInArrow(run, "_t string, kind string, place int, asked string")
-    return out.withColumn("hash", F.sha2("asked", 256))
+
+def questions(df: DataFrame, rules: RuleSet, column: str = "text", words: Words | None = None) -> DataFrame:
+    """A row for each question about each text: _t (the text's hash), kind, place, asked, hash."""
+    return asked_in(studied(df.select(F.col(f"`{column}`").alias("text")), rules, "text", words))
 
 
 def unseen(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -77,6 +98,12 @@ def scrub_with(df: DataFrame, rules: RuleSet, verdicts: DataFrame, column: str =
     return scrub(keyed, rules, column, words, "_said", threshold)
 
 
+def scrub_studied(known: DataFrame, rules: RuleSet, verdicts: DataFrame, column: str = "text", words: Words | None = None, threshold: float = 0.85) -> DataFrame:
+    """scrub_with for texts that were ``studied``, and best kept since: nothing is looked for in them again."""
+    keyed = known.drop("_asked").join(said(asked_in(known), verdicts), "_t", "left").drop("_t")
+    return scrub(keyed, rules, column, words, "_said", threshold, "_found")
+
+
 def settle(tables: Tables, df: DataFrame, rules: RuleSet, scorer: Scorer, column: str = "text", words: Words | None = None, threshold: float = 0.85, app: str | None = None, batch: int | None = None) -> DataFrame:
     """scrub_with, after the scorer has been asked what the table ``verdicts`` does not answer yet.
 
@@ -116,9 +143,9 @@ def casing(texts: DataFrame, column: str = "text", least: int = 3) -> DataFrame:
 
     Words seen less than ``least`` times there, or never with a capital, are left out.
     """
-    inside = F.regexp_extract_all(F.col(column), F.lit(r"(?<=[^.!?\s] )\p{L}+"), 0)
-    seen = texts.select(F.explode(inside).alias("w")).groupBy(F.lower("w").alias("word"))
-    counts = seen.agg(F.count("*").alias("n"), F.sum(F.when(F.col("w").rlike(r"^\p{Lu}"), 1).otherwise(0)).alias("raised"))
+    inside = F.regexp_extract_all(F.col(column), F.lit(r" (?<=[^.!?\s] )(\p{L}+)"), 1)
+    seen = texts.select(F.explode(inside).alias("w")).groupBy("w").agg(F.count("*").alias("n"))  # each spelling is looked at once
+    counts = seen.groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("w").rlike(r"^\p{Lu}"), F.col("n")).otherwise(0)).alias("raised"))
     return counts.where((F.col("n") >= least) & (F.col("raised") > 0)).select("word", "n", (F.col("raised") / F.col("n")).alias("share"))
 
 
@@ -126,9 +153,9 @@ def by_casing(shares: DataFrame) -> Scorer:
     """A scorer without a model: a word that has a capital is a person with the share that ``casing`` found."""
 
     def score(asked: DataFrame) -> DataFrame:
-        spot = matches(F.col("asked"), r"(?<!\p{L})\p{Lu}\p{L}*")
-        named = F.transform(spot, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.lower(F.substring(F.col("asked"), m["s"] + 1, m["e"] - m["s"])).alias("word")))
-        words = asked.select("hash", F.explode_outer(named).alias("m")).select("hash", "m.s", "m.e", "m.word")
+        raised = r"(?=\p{Lu})(?<!\p{L})\p{Lu}\p{L}*"
+        spots = F.arrays_zip(matches(F.col("asked"), raised).alias("spot"), F.regexp_extract_all("asked", F.lit(raised), 0).alias("said"))
+        words = asked.select("hash", F.explode_outer(spots).alias("m")).select("hash", "m.spot.s", "m.spot.e", F.lower("m.said").alias("word"))
         entity = F.struct("s", "e", F.lit("B-PER").alias("label"), F.col("share").alias("score"))
         known = words.join(shares, "word", "left").groupBy("hash").agg(F.collect_list(F.when(F.col("share").isNotNull(), entity)).alias("entities"))
         return known.select("hash", F.sort_array("entities").cast(ENTITIES).alias("entities"))
