@@ -120,3 +120,22 @@ def test_a_report_of_what_was_found_looks_for_nothing(monkeypatch):
     monkeypatch.setattr(Engine, "detect", None)
     monkeypatch.setattr(Engine, "candidates", None)
     assert [engine.report(t, None, None, said, f) for t, f in zip(texts, found)] == want and len(want[-1]["redactions"]) > 2
+
+
+def test_answers_are_read_field_by_field():
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    from veilframe.operators.engine import answers_of
+    from veilframe.operators.verdicts import SAID
+
+    rng = random.Random(5)
+    entity = lambda: {"s": rng.randrange(9), "e": rng.randrange(9), "label": rng.choice(["B-PER", None]), "score": rng.choice([0.5, 1.0])}
+    answer = lambda: {"kind": rng.choice(["window", "probe"]), "place": rng.randrange(99), "entities": [entity() for _ in range(rng.randrange(3))]}
+    rows = [rng.choice([None, [answer() for _ in range(rng.randrange(4))]]) for _ in range(200)]
+    column = pa.array(rows, to_arrow_type(_parse_datatype_string(SAID)))
+    for a, n in ((0, 200), (37, 90), (199, 1), (50, 0)):
+        want = [[(x["kind"], x["place"], [tuple(e.values()) for e in x["entities"]]) for x in row or ()] for row in rows[a : a + n]]
+        assert answers_of(column.slice(a, n)) == want
+    assert answers_of(pa.nulls(3, column.type)) == [[], [], []]
