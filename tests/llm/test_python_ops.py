@@ -84,6 +84,38 @@ def test_packing_documents(spark, sf_dir, docs):
     assert pdf.sequence_id.nunique() <= math.ceil(pdf.length.sum() / packing.CAPACITY) * 1.02 + 1
 
 
+def test_packing_cuts_white_space_as_the_library(spark):
+    """Texts without white space beside white space are cut by a pattern that looks nowhere ahead; the ids are the same."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\u0085", "\u00a0", "\u2003", "\u3000", "\x1c", "\u200b", "a", "don't", "12", "é", "!?", "日本", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 12))) for _ in range(2000)] + [None, "a" + chr(0x85) * 2 + "b"]
+    single = [t for t in texts if t and not any(a.isspace() and b.isspace() for a, b in zip(t, t[1:]))]
+    assert len(single) > 100
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: zlib.crc32(np.array(slow.encode(t or "", add_special_tokens=False).ids + [packing.END_ID], dtype="<u4").tobytes()) for i, t in enumerate(texts)}
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity=1 << 20).collect()
+    assert {r.doc_id: r.ids_crc32 for r in got} == want
+    encode = packing.encoder()
+    assert all(encode(t, False).tolist() == encode(t).tolist() == slow.encode(t, add_special_tokens=False).ids for t in single)
+
+
+def test_packing_islands_are_not_put_together_into_few_tasks(spark):
+    """The bytes of a shard are few and its evolution long, so shuffles must not be coalesced by their size."""
+    from pyspark.sql import functions as F
+
+    items = spark.range(400).select(F.col("id").alias("item"), (F.col("id") % 97 + 300).cast("long").alias("length"))
+    one = packing._round(items, 400, 1, packing.CAPACITY, 2, 2, 10)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 3
+    dealt = one.select("sequence_id", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.task for r in dealt}) > 10 and len({r.sequence_id >> 24 for r in dealt}) == 40
+
+
 def test_packing_odd_rows(spark, odd):
     pdf = packing.pack(packing.pieces(odd)).toPandas()
     assert pdf.groupby("sequence_id").length.sum().max() <= packing.CAPACITY and pdf[pdf.piece == 0].shape[0] == odd.count()
