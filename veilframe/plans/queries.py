@@ -287,11 +287,9 @@ def dict_match_many(spark, d):
     """A dictionary of words and word pairs made from the documents (over 100,000 terms at a hundredth of a million documents)
     looked for in all of them: places, terms and where they begin."""
     docs = _docs(spark, d)
-    at = dictionary.places(docs, "text", 2)
-    pair = F.element_at("_near", 3)
-    two = (F.size("_near") == 4) & (F.element_at("_near", 2) == " ") & (F.col("_word") < pair) & (F.length("_word") + F.length(pair) >= PAIR_LETTERS)
-    found = F.array_compact(F.array(F.when(F.length("_word") >= TERM_LETTERS, F.col("_word")), F.when(two, F.concat_ws(" ", "_word", pair))))
-    terms = at.select(F.explode(found).alias("term")).distinct().persist(StorageLevel.DISK_ONLY)  # read twice
+    runs = dictionary.places(docs, "text", [(1, TERM_LETTERS, dictionary.ANY, True), (2, PAIR_LETTERS + 1, dictionary.ANY, True)])
+    head, tail = F.substring("_core", F.lit(1), F.col("_head")), F.substring("_core", F.col("_head") + 2, F.col("_tail"))
+    terms = runs.filter((F.length("_core") == F.col("_head")) | (head < tail)).select(F.col("_core").alias("term")).distinct().persist(StorageLevel.DISK_ONLY)  # read twice
     hits = dictionary.match_terms(docs, terms, core="core")
     each = hits.groupBy("doc_id", "core", "term").agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.sum("e").alias("e"))  # where they lie
     return each.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("terms"), F.sum("s").cast("long").alias("starts"), F.sum("e").cast("long").alias("ends"))
