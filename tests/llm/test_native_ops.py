@@ -194,3 +194,13 @@ def test_stages_keep_columns_and_take_empty_tables(spark, odd):
         out = stage(spark, odd, "")
         assert out.dtypes == odd.dtypes and all(r.row == "row" and r.found == "found" for r in out.collect())
         assert stage(spark, odd.limit(0), "").count() == 0
+
+
+def test_windows_of_words_are_hashed_by_halves(spark):
+    """No list of eight hashes for each word, and texts about as long as a window are counted as by hand."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (*range(0, 40), 200) for _ in range(4)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", quality_rules.base_stats(F.col("text"))["n_repeat_words"].alias("n"))
+    assert {r.id: r.n for r in rows.collect()} == {i: plain.base_stats(t)[-1] for i, t in enumerate(texts)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and plan.count("zip_with(") > 3

@@ -53,8 +53,16 @@ def repeated_words(w: Column) -> Column:
         return F.when(F.size(F.array_distinct(win)) == F.size(win), F.lit(0).cast("long")).otherwise(again(win))
 
     hashed = F.transform(w, lambda x: F.xxhash64(x))
-    windows = lambda hs: F.transform(F.sequence(F.lit(1), F.size(hs) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hs, i, WINDOW)))
-    long_enough = let(hashed, lambda hs: let(windows(hs), of_windows))
+
+    def windows(hs: Column, width: int, then) -> Column:
+        """then(hashes of the windows of eight), from those of windows half as wide: no window is made as a list."""
+        if width == WINDOW:
+            return then(hs)
+        n = F.size(hs) - width
+        wider = F.zip_with(F.slice(hs, F.lit(1), n), F.slice(hs, F.lit(width + 1), n), lambda a, b: F.xxhash64(a, b))
+        return let(wider, lambda x: windows(x, 2 * width, then))
+
+    long_enough = let(hashed, lambda hs: windows(hs, 1, of_windows))
     return F.when(F.size(w) <= WINDOW, F.lit(0).cast("long")).otherwise(long_enough)
 
 
