@@ -107,3 +107,9 @@ def test_many_words_and_terms_take_little_time(spark):
     assert dictionary.match_terms(df, terms).count() == 6_000_000
     took = time.time() - began
     assert took < 10, took
+
+
+def test_invalid_utf8_is_a_gap(spark):
+    df = spark.sql("SELECT 1 AS id, CAST(X'616220FFC3206162' AS STRING) AS text")
+    rows = dictionary.places(df, "text", [(1, 1, 9, True)]).collect()
+    assert [(r["_core"], r["_start"]) for r in rows] == [("ab", 0), ("ab", 6)]

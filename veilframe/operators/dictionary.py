@@ -143,7 +143,7 @@ def places(df: DataFrame, column: str, shapes: list[tuple[int, int, int, bool]],
     begins the text; the same behind)."""
     spark, others = df.sparkSession, [c for c in df.columns if c != column]
     ship(spark)
-    rows = df.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(f"`{column}`"), F.lit("")))
+    rows = df.select(*[F.col(f"`{c}`") for c in others], F.make_valid_utf8(F.coalesce(F.col(f"`{column}`"), F.lit(""))))
     more = "_core string, _start int, _head int, _tail int" + ", _before string, _at_start boolean, _after string, _at_end boolean" * beside
     schema = T.StructType(rows.schema.fields[:-1] + T.StructType.fromDDL(more).fields)
     numbered = T.StructType([T.StructField(str(k), f.dataType, True) for k, f in enumerate(schema.fields)])
